@@ -200,6 +200,6 @@ def credit_cost(markets: Column, regions: Column, rate: float = 10.0) -> Column:
     """Credits of one odds request given comma lists of markets and regions."""
 
     def parts(c: Column) -> Column:
-        return F.size(F.array_distinct(F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != "")))
+        return F.size(F.array_distinct(F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")))
 
     return (rate * parts(markets) * parts(regions)).cast("long")

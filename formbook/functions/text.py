@@ -102,7 +102,7 @@ def fraction_parts(text: Column) -> tuple[Column, Column]:
 
 def canonical_list(text: Column) -> Column:
     """Comma list with blanks dropped and members sorted, so order does not matter."""
-    members = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), F.trim), lambda x: x != "")
+    members = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.array_join(F.array_sort(members), ",")
 
 

@@ -46,7 +46,7 @@ DEFAULT_RULE = SplitRule()
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate for the optimised plan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def small_enough(df: DataFrame, limit: int) -> bool:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from formbook.operators.skew import DEFAULT_RULE, Running, SplitRule, bounded_frame, row_numbers, running
+from formbook.operators.skew import DEFAULT_RULE, Running, SplitRule, bounded_frame, hot_keys, row_numbers, running
 
 
 def cols(names: Sequence[str]) -> list[Column]:
@@ -54,9 +54,18 @@ def prior_expanding(
 ) -> DataFrame:
     """Mean, population std and count of all earlier rows.
 
-    The std comes from running sums of deviations from a per-entity shift (its
-    smallest value), which keeps the two-sum formula well conditioned.
+    Where a key is heavy the std comes from running sums of deviations from a per-entity
+    shift (its smallest value), which keeps the two-sum formula well conditioned.
     """
+    if hot_keys(df, entity, rule) is None:
+        w = Window.partitionBy(*entity).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumns(
+            {
+                f"{prefix}_games_prior": F.count(F.lit(1)).over(w),
+                f"{prefix}_avg": F.avg(value).over(w),
+                f"{prefix}_std": F.when(F.count(value).over(w) >= min_std, F.stddev_pop(value).over(w)),
+            }
+        )
     shift = df.groupBy(*entity).agg(F.min(value).alias("__shift"))
     x = df.join(shift, list(entity), "left").withColumn("__x", F.col(value) - F.col("__shift"))
     out = running(
@@ -110,8 +119,8 @@ def prior_ema(
         decayed = acc["w"] * (1 - alpha)
         mixed = (decayed * acc["m"] + alpha * x) / (decayed + alpha)
         return (
-            F.when(x.isNull(), F.struct(acc["m"].alias("m"), decayed.alias("w")))
-            .when(acc["m"].isNull(), F.struct(x.alias("m"), F.lit(1.0).alias("w")))
+            F.when(acc["m"].isNull(), F.struct(x.alias("m"), F.lit(1.0).alias("w")))
+            .when(x.isNull(), F.struct(acc["m"].alias("m"), decayed.alias("w")))
             .otherwise(F.struct(mixed.alias("m"), F.lit(1.0).alias("w")))
         )
 

@@ -299,7 +299,7 @@ def melt_home_away(df: DataFrame, keep: Sequence[str], values: dict[str, tuple[s
 
 def explode_legs(df: DataFrame, legs: str, keep: Sequence[str], max_legs: int = 3) -> DataFrame:
     """NAME:TEAM:SIDE:LINE[:ODDS[:BOOK]] strings to leg rows with a problem column."""
-    pieces = F.filter(F.transform(F.split(F.col(legs), ";"), F.trim), lambda x: x != "")
+    pieces = F.filter(F.transform(F.split(F.col(legs), ";"), lambda x: F.trim(x)), lambda x: x != "")
     rows = df.select(*keep, F.size(pieces).alias("__n"), F.posexplode(pieces).alias("__i", "__raw"))
     f = F.split("__raw", ":")
 
