@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["scalars", "projections", "windows"]
+MODULES = ["scalars", "projections", "windows", "quotes", "joins", "aggregates"]
 
 
 def load():
