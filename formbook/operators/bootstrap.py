@@ -56,11 +56,12 @@ def resample(df: DataFrame, by: Sequence[str], cluster: Sequence[str], sums: dic
     """
     per = df.groupBy(*by, *cluster).agg(*[F.sum(e).cast("double").alias(n) for n, e in sums.items()])
     a, c = hash_parts(seed, F.concat_ws("_", *[F.col(k).cast("string") for k in cluster]))
-    spread = per.select(
-        *by, *sums, a.alias("__a"), c.alias("__c"), F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("resample")
-    )
-    w = poisson_weight(draw(F.col("__a"), F.col("__c"), F.col("resample")))
-    return spread.groupBy(*by, "resample").agg(*[F.sum(w * F.col(n)).alias(n) for n in sums])
+    # hashed once per cluster and spread evenly, because every row below does B rows of work
+    slots = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hashed = per.select(*by, *sums, a.alias("__a"), c.alias("__c")).repartition(slots, "__a", "__c")
+    spread = hashed.select("*", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("resample"))
+    weighted = spread.withColumn("__w", poisson_weight(draw(F.col("__a"), F.col("__c"), F.col("resample"))))
+    return weighted.groupBy(*by, "resample").agg(*[F.sum(F.col("__w") * F.col(n)).alias(n) for n in sums])
 
 
 def interval(reps: DataFrame, by: Sequence[str], stat: Column, level: float = 0.95) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["scalars", "projections", "windows", "quotes", "joins", "aggregates"]
+MODULES = ["scalars", "projections", "windows", "quotes", "joins", "aggregates", "resampling", "pricing"]
 
 
 def load():
