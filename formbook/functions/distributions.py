@@ -1,81 +1,108 @@
-"""Count and normal distributions as fold expressions, plus the inversions.
+"""Count and normal distributions, the prices made from them, and their inversions.
 
-Pricing a line needs only sums of a mass function, so the fold carries running sums
-rather than an array of masses.  A negative binomial thinned by a save rate ``q`` is
-again negative binomial with mean ``mu * q`` and the same dispersion, which gives the
-save distribution without the shots-by-saves matrix.
+A negative binomial thinned by a save rate ``q`` is again negative binomial with mean
+``mu * q`` and the same dispersion, which gives the save distribution without a
+shots-by-saves matrix.  Sums over a mass function run as Arrow batches: one numpy
+recurrence step per support point prices a whole batch, where a fold expression would be
+interpreted per row and point.  The normal distribution is a plain expression.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SUPPORT_CAP = 70
 
+LINE_PRICE = T.StructType([T.StructField(n, T.DoubleType()) for n in ("p_over", "p_under", "p_push")])
 
-def _ratio(k: Column, mean: Column, alpha: Column) -> Column:
-    """mass(k) / mass(k - 1): Poisson when alpha is zero, negative binomial above."""
-    return mean / k * (1.0 + alpha * (k - 1.0)) / (1.0 + alpha * mean)
 
+@F.pandas_udf(LINE_PRICE)
+def price_count_line(mu, alpha, q, line):
+    """P(over), P(under), P(push) of a thinned count at a line; Poisson where alpha is zero.
 
-def _mass_at_zero(mean: Column, alpha: Column) -> Column:
-    safe = F.when(alpha > 0, alpha).otherwise(F.lit(1.0))
-    return F.when(alpha > 0, F.exp(-F.log1p(safe * mean) / safe)).otherwise(F.exp(-mean))
+    Mass above the support cap belongs to the over side, so the three sum to one.
+    """
+    import numpy as np
+    import pandas as pd
 
+    mean = np.maximum(mu.to_numpy(dtype=float), 1e-6) * np.clip(q.to_numpy(dtype=float), 1e-6, 1 - 1e-6)
+    a = alpha.to_numpy(dtype=float)
+    at = line.to_numpy(dtype=float)
+    known = np.isfinite(mean) & np.isfinite(a) & np.isfinite(at)
+    mean, a, at = np.where(known, mean, 1.0), np.where(known, a, 0.0), np.where(known, at, 0.0)
+    safe = np.where(a > 0, a, 1.0)
+    mass = np.where(a > 0, np.exp(-np.log1p(safe * mean) / safe), np.exp(-mean))
+    under, push = np.where(at > 0, mass, 0.0), np.where(at == 0, mass, 0.0)
+    for k in range(1, min(int(max(at.max(initial=0.0), 0.0)), SUPPORT_CAP) + 1):
+        mass = mass * mean / k * (1 + a * (k - 1)) / (1 + a * mean)
+        under = under + np.where(k < at, mass, 0.0)
+        push = push + np.where(k == at, mass, 0.0)
+    over = np.maximum(1.0 - under - push, 0.0)
+    out = pd.DataFrame({"p_over": over, "p_under": under, "p_push": push})
+    return out.where(pd.Series(known), None).astype("float64")
 
-def price_count_line(mu: Column, alpha: Column, q: Column, line: Column, cap: int = SUPPORT_CAP) -> Column:
-    """struct(p_over, p_under, p_push) of a thinned count at a line, mass above cap included in over.
 
-    ``p_over`` is one minus the rest, so the three always sum to one.
-    """
-    mean = F.greatest(mu, F.lit(1e-6)) * F.least(F.greatest(q, F.lit(1e-6)), F.lit(1 - 1e-6))
-    zero = _mass_at_zero(mean, alpha)
-
-    def add(acc: Column, k: Column) -> Column:
-        x = k.cast("double")
-        mass = F.when(x == 0, acc["mass"]).otherwise(acc["mass"] * _ratio(F.greatest(x, F.lit(1.0)), mean, alpha))
-        return F.struct(
-            mass.alias("mass"),
-            (acc["under"] + F.when(x < line, mass).otherwise(F.lit(0.0))).alias("under"),
-            (acc["push"] + F.when(x == line, mass).otherwise(F.lit(0.0))).alias("push"),
-        )
-
-    start = F.struct(zero.alias("mass"), F.lit(0.0).alias("under"), F.lit(0.0).alias("push"))
-    upto = F.least(F.greatest(F.floor(line).cast("int"), F.lit(0)), F.lit(cap))
-    return F.when(
-        line.isNotNull() & mu.isNotNull() & q.isNotNull(),
-        F.aggregate(
-            F.sequence(F.lit(0), upto),
-            start,
-            add,
-            lambda acc: F.struct(
-                F.greatest(1.0 - acc["under"] - acc["push"], F.lit(0.0)).alias("p_over"),
-                acc["under"].alias("p_under"),
-                acc["push"].alias("p_push"),
-            ),
-        ),
-    )
-
-
-def count_pmf(mean: Column, alpha: Column, k: Column) -> Column:
-    """Mass of a Poisson or negative binomial at one support point, by the same recurrence."""
-    steps = F.when(k >= 1, F.sequence(F.lit(1), k.cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, _mass_at_zero(mean, alpha), lambda m, i: m * _ratio(i.cast("double"), mean, alpha))
-
-
-def normal_cdf(x: Column, terms: int = 120) -> Column:
-    """Standard normal distribution function by its odd-factorial series, clamped at eight sigma."""
-    z = F.least(F.greatest(x, F.lit(-8.0)), F.lit(8.0))
-    start = F.struct(z.alias("term"), z.alias("total"))
-
-    def add(acc: Column, k: Column) -> Column:
-        term = acc["term"] * z * z / (2.0 * k + 1.0)
-        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
-
-    total = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), start, add, lambda acc: acc["total"])
-    return 0.5 + total * F.exp(-z * z / 2.0) * 0.3989422804014327
+def _poly(coefficients: list[float], x: Column) -> Column:
+    """Polynomial with the highest power first."""
+    return reduce(lambda acc, c: acc * x + c, coefficients[1:], F.lit(coefficients[0]))
+
+
+# fixed values: rational approximations of the error function by range (Cody 1969)
+_ERF_NUM = [1.85777706184603153e-1, 3.16112374387056560e0, 1.13864154151050156e2, 3.77485237685302021e2, 3.20937758913846947e3]
+_ERF_DEN = [1.0, 2.36012909523441209e1, 2.44024637934444173e2, 1.28261652607737228e3, 2.84423683343917062e3]
+_ERFC_NUM = [2.15311535474403846e-8, 5.64188496988670089e-1, 8.88314979438837594e0, 6.61191906371416295e1, 2.98635138197400131e2,
+             8.81952221241769090e2, 1.71204761263407058e3, 2.05107837782607147e3, 1.23033935479799725e3]
+_ERFC_DEN = [1.0, 1.57449261107098347e1, 1.17693950891312499e2, 5.37181101862009858e2, 1.62138957456669019e3,
+             3.29079923573345963e3, 4.36261909014324716e3, 3.43936767414372164e3, 1.23033935480374942e3]
+_TAIL_NUM = [1.63153871373020978e-2, 3.05326634961232344e-1, 3.60344899949804439e-1, 1.25781726111229246e-1,
+             1.60837851487422766e-2, 6.58749161529837803e-4]
+_TAIL_DEN = [1.0, 2.56852019228982242e0, 1.87295284992346047e0, 5.27905102951428412e-1, 6.05183413124413191e-2, 2.33520497626869185e-3]
+
+
+def _erfc(x: Column) -> Column:
+    """Complementary error function of a non-negative argument."""
+    small = 1.0 - x * _poly(_ERF_NUM, x * x) / _poly(_ERF_DEN, x * x)
+    middle = F.exp(-x * x) * _poly(_ERFC_NUM, x) / _poly(_ERFC_DEN, x)
+    inv = 1.0 / (F.greatest(x, F.lit(1.0)) * F.greatest(x, F.lit(1.0)))
+    tail = F.exp(-x * x) / F.greatest(x, F.lit(1.0)) * (0.5641895835477563 - inv * _poly(_TAIL_NUM, inv) / _poly(_TAIL_DEN, inv))
+    return F.when(x <= 0.46875, small).when(x <= 4.0, middle).otherwise(tail)
+
+
+def normal_cdf(x: Column) -> Column:
+    """Standard normal distribution function to double precision."""
+    half = 0.5 * _erfc(F.abs(x) * 0.7071067811865476)
+    return F.when(x > 0, 1.0 - half).otherwise(half)
+
+
+def _named(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it many times in ``body``; keeps expression trees small."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
+# fixed values: rational approximations of the normal quantile, centre and tail (Acklam)
+_Q_NUM = [-3.969683028665376e1, 2.209460984245205e2, -2.759285104469687e2, 1.383577518672690e2, -3.066479806614716e1, 2.506628277459239e0]
+_Q_DEN = [-5.447609879822406e1, 1.615858368580409e2, -1.556989798598866e2, 6.680131188771972e1, -1.328068155288572e1, 1.0]
+_QT_NUM = [-7.784894002430293e-3, -3.223964580411365e-1, -2.400758277161838e0, -2.549732539343734e0, 4.374664141464968e0, 2.938163982698783e0]
+_QT_DEN = [7.784695709041462e-3, 3.224671290700398e-1, 2.445134137142996e0, 3.754408661907416e0, 1.0]
+
+
+def normal_quantile(p: Column) -> Column:
+    """Inverse of ``normal_cdf``: a rational start and one third-order correction."""
+    tail = F.sqrt(-2.0 * F.log(F.least(p, 1.0 - p)))
+    far = _named(tail, lambda t: _poly(_QT_NUM, t) / _poly(_QT_DEN, t))
+    centre = _named(p - 0.5, lambda r: r * _poly(_Q_NUM, r * r) / _poly(_Q_DEN, r * r))
+    start = F.when(F.abs(p - 0.5) <= 0.47575, centre).when(p < 0.5, far).otherwise(-far)
+
+    def correct(z: Column) -> Column:
+        step = (normal_cdf(z) - p) * 2.5066282746310002 * F.exp(z * z / 2.0)
+        return _named(step, lambda u: z - u / (1.0 + z * u / 2.0))
+
+    return _named(start, correct)
 
 
 def ladder_baseline(line: Column, mean: Column, sigma: Column) -> Column:
@@ -146,17 +173,6 @@ def invert_count_mean(line, prob, alpha):
     return pd.Series(np.where(good & reached, (lo + hi) / 2, np.nan)).replace({np.nan: None}).astype("float64")
 
 
-def invert_normal_mean(line: Column, prob: Column, sigma: float, steps: int = 60) -> Column:
-    """Mean of a normal whose P(x > line) equals ``prob``, by folding a bisection on z."""
-    p = F.least(F.greatest(prob, F.lit(1e-4)), F.lit(1 - 1e-4))
-    start = F.struct(F.lit(-8.0).alias("lo"), F.lit(8.0).alias("hi"))
-
-    def halve(acc: Column, _: Column) -> Column:
-        mid = (acc["lo"] + acc["hi"]) / 2.0
-        below = normal_cdf(mid, 80) < p
-        return F.struct(
-            F.when(below, mid).otherwise(acc["lo"]).alias("lo"), F.when(below, acc["hi"]).otherwise(mid).alias("hi")
-        )
-
-    z = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda acc: (acc["lo"] + acc["hi"]) / 2.0)
-    return line + sigma * z
+def invert_normal_mean(line: Column, prob: Column, sigma: float) -> Column:
+    """Mean of a normal whose P(x > line) equals ``prob``."""
+    return line + sigma * normal_quantile(F.least(F.greatest(prob, F.lit(1e-4)), F.lit(1 - 1e-4)))
