@@ -17,6 +17,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for row-heavy work on a table stored as fewer pieces than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def form(spark: SparkSession, folder: str) -> DataFrame:
     """Entity results in time order; team is the customer key modulo 30."""
     o = table(spark, folder, "orders")
