@@ -193,29 +193,26 @@ def policy_grid() -> list[Policy]:
 
 
 def side_scores(df: DataFrame) -> DataFrame:
-    """True EV, probability edge and no-vig edge of both sides as an array of structs.
+    """True EV, probability edge and no-vig edge of both sides.
 
-    A side is usable only when all three exist; OVER comes first so it wins exact ties.
+    A side whose price or probability is unusable has a NULL no-vig edge and is never bet.
     """
-
-    def one(side: str, p: str, q: str, o: str, other: str, rank: int) -> Column:
-        return F.struct(
-            F.lit(side).alias("bet"),
-            true_ev(F.col(p), F.col(q), F.col(o)).alias("true_ev"),
-            edge(F.col(p), F.col(o)).alias("prob_edge"),
-            novig_edge(F.col(p), F.col(q), F.col(o), F.col(other)).alias("novig_edge"),
-            F.col(o).cast("double").alias("bet_odds"),
-            F.lit(rank).alias("rank"),
-        )
-
-    both = F.array(
-        one("OVER", "p_over", "p_under", "odds_over", "odds_under", 1), one("UNDER", "p_under", "p_over", "odds_under", "odds_over", 0)
-    )
-    return df.withColumn("sides", F.filter(both, lambda s: s["true_ev"].isNotNull() & s["novig_edge"].isNotNull()))
+    out = {}
+    for side, p, q, mine, other in (
+        ("over", "p_over", "p_under", "odds_over", "odds_under"), ("under", "p_under", "p_over", "odds_under", "odds_over")
+    ):
+        out[f"true_ev_{side}"] = true_ev(F.col(p), F.col(q), F.col(mine))
+        out[f"prob_edge_{side}"] = edge(F.col(p), F.col(mine))
+        out[f"novig_edge_{side}"] = novig_edge(F.col(p), F.col(q), F.col(mine), F.col(other))
+    return df.withColumns(out)
 
 
 def apply_policies(df: DataFrame, policies: Sequence[Policy], row_id: Sequence[str], cluster: Sequence[str]) -> DataFrame:
-    """Chosen side per (policy, row); line-shop policies keep the best quote per cluster."""
+    """Chosen side per (policy, row); line-shop policies keep the best quote per cluster.
+
+    Both sides' scores are made once per row, then the declared policies are laid over it.
+    OVER wins an exact tie of score, true EV and probability edge.
+    """
     table = F.array(
         *[
             F.struct(
@@ -227,21 +224,30 @@ def apply_policies(df: DataFrame, policies: Sequence[Policy], row_id: Sequence[s
     )
     spread = side_scores(df).select("*", F.inline(table))
 
-    def score(s: Column) -> Column:
-        return F.when(F.col("family") == "probability_edge", s["prob_edge"]).otherwise(s["true_ev"])
+    def score(side: str) -> Column:
+        return F.when(F.col("family") == "probability_edge", F.col(f"prob_edge_{side}")).otherwise(F.col(f"true_ev_{side}"))
 
-    ranked = F.array_sort(
-        F.transform(
-            F.filter("sides", lambda s: (score(s) >= F.col("min_score")) & (s["novig_edge"] >= F.col("min_novig"))),
-            lambda s: F.struct(
-                (-score(s)).alias("k1"), (-s["true_ev"]).alias("k2"), (-s["prob_edge"]).alias("k3"), (-s["rank"]).alias("k4"), s.alias("s")
-            ),
-        )
-    )
-    chosen = spread.withColumn("pick", F.try_element_at(ranked, F.lit(1))).where("pick is not null").select(
-        *df.columns, "policy", "line_shop", "pick.s.*", (-F.col("pick.k1")).alias("score")
+    spread = spread.withColumns({"score_over": score("over"), "score_under": score("under")})
+
+    def usable(side: str) -> Column:
+        ok = (F.col(f"score_{side}") >= F.col("min_score")) & (F.col(f"novig_edge_{side}") >= F.col("min_novig"))
+        return F.coalesce(ok, F.lit(False))
+
+    def rank(side: str) -> Column:
+        return F.struct(*[F.col(f"{m}_{side}").alias(m) for m in ("score", "true_ev", "prob_edge")])
+
+    over = usable("over") & (~usable("under") | (rank("over") >= rank("under")))
+    bet = F.when(over, F.lit("OVER")).when(usable("under"), F.lit("UNDER"))
+    marked = spread.withColumn("bet", bet).where("bet is not null")
+
+    def chosen_side(measure: str) -> Column:
+        return F.when(F.col("bet") == "OVER", F.col(f"{measure}_over")).otherwise(F.col(f"{measure}_under"))
+
+    chosen = marked.select(
+        *df.columns, "policy", "line_shop", "bet",
+        *[chosen_side(m).alias(m) for m in ("true_ev", "prob_edge", "novig_edge", "score")],
+        chosen_side("odds").cast("double").alias("bet_odds"),
     )
-    plain = chosen.where(~F.col("line_shop"))
     rest = [c for c in chosen.columns if c not in (*cluster, "policy")]
     shopped = (
         chosen.where(F.col("line_shop"))
@@ -249,7 +255,7 @@ def apply_policies(df: DataFrame, policies: Sequence[Policy], row_id: Sequence[s
         .agg(F.max_by(F.struct(*rest), F.struct("true_ev", "score", "novig_edge", *[F.col(c) for c in row_id])).alias("__b"))
         .select("policy", *cluster, "__b.*")
     )
-    return plain.unionByName(shopped).drop("rank", "line_shop")
+    return chosen.where(~F.col("line_shop")).unionByName(shopped).drop("line_shop")
 
 
 def grade_choices(chosen: DataFrame) -> DataFrame:

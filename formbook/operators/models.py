@@ -96,7 +96,7 @@ def apply_isotonic(df: DataFrame, model, name: str) -> DataFrame:
 
 def blend(model_p: str, market_p: str, weights: Sequence[float]):
     """Candidate mixtures of model and market probability."""
-    return {f"blend_{w:g}": w * F.col(model_p) + (1.0 - w) * F.col(market_p) for w in weights}
+    return {f"blend_{round(100 * w)}": w * F.col(model_p) + (1.0 - w) * F.col(market_p) for w in weights}
 
 
 def brier_by_candidate(df: DataFrame, candidates: Sequence[str], label: str) -> DataFrame:
