@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from formbook.functions.odds import edge, ev_side, grade, novig_edge, profit, safe_div, true_ev
 from formbook.operators.grading import summary_columns
 from formbook.operators.quality import GateFailed
-from formbook.operators.skew import DEFAULT_RULE, SplitRule, broadcast_if_small, row_numbers
+from formbook.operators.skew import DEFAULT_RULE, SplitRule, join_back, row_numbers
 
 # --- splits ---------------------------------------------------------------------
 
@@ -55,17 +55,17 @@ def fraction_split(df: DataFrame, date: str, cuts: Sequence[tuple[str, float]])
     before = F.sum("__n").over(Window.orderBy("__day").rowsBetween(Window.unboundedPreceding, -1))
     share = F.coalesce(before, F.lit(0)) / F.sum("__n").over(Window.partitionBy())
     labels = daily.select("__day", _label(share, cuts).alias("split"))
-    return df.withColumn("__day", F.to_date(date)).join(broadcast_if_small(labels), "__day").drop("__day")
+    return join_back(df.withColumn("__day", F.to_date(date)), labels, ["__day"]).drop("__day")
 
 
 def fraction_split_rows(df: DataFrame, order: Sequence[str], cuts: Sequence[tuple[str, float]], rule: SplitRule = DEFAULT_RULE) -> DataFrame:
     """Chronological fractions by exact row rank."""
     ranked = row_numbers(df, [], [F.col(o) for o in order], "__rn", rule)
-    total = df.agg(F.count(F.lit(1)).alias("__total"))  # a single row
+    total = df.agg(F.count(F.lit(1))).scalar()
     out = F.lit(cuts[-1][0])
     for label, upper in reversed(list(cuts)[:-1]):
         out = F.when(F.col("__rn") <= F.floor(F.col("__total") * upper), F.lit(label)).otherwise(out)
-    return ranked.crossJoin(F.broadcast(total)).withColumn("split", out).drop("__rn", "__total")
+    return ranked.withColumn("__total", total).withColumn("split", out).drop("__rn", "__total")
 
 
 def _roles(df: DataFrame, season: str, roles: Sequence[tuple[str, object, str]]) -> DataFrame:

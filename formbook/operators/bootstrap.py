@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formbook.functions.odds import safe_div
+from formbook.operators.stats import beside
 
 # cumulative Poisson(1) probabilities: weight is the number of bounds at or below u
 _POISSON_ONE = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
@@ -76,7 +77,7 @@ def interval(reps: DataFrame, by: Sequence[str], stat: Column, level: float = 0.
 
 def _with_point(df: DataFrame, by: Sequence[str], cluster: Sequence[str], point: dict[str, Column], ci: DataFrame) -> DataFrame:
     est = df.groupBy(*by).agg(*[e.alias(n) for n, e in point.items()], F.count_distinct(*cluster).alias("n_clusters"))
-    return est.join(ci, list(by)) if by else est.crossJoin(F.broadcast(ci))  # a single row each
+    return beside(est, ci, by)
 
 
 def cluster_bootstrap(df: DataFrame, cluster: Sequence[str], num: Column, den: Column, resamples: int = 200,

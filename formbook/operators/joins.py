@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from formbook.functions.text import last_name, pair_key, person_initial, person_last, person_name, plain_name
 from formbook.operators.quality import GateFailed, duplicate_keys, require_unique
-from formbook.operators.skew import DEFAULT_RULE, Running, SplitRule, bounded_frame, running
+from formbook.operators.skew import DEFAULT_RULE, Running, SplitRule, bounded_frame, join_back, running
 
 
 def enrich(
@@ -33,7 +33,7 @@ def enrich(
     if check:
         require_unique(right, on)
     renamed = right.select(*on, *[F.col(c).alias(prefix + c) for c in values], F.lit(1).alias(matched))
-    return left.join(renamed, list(on), "left").withColumn(matched, F.coalesce(matched, F.lit(0)))
+    return join_back(left, renamed, on, "left").withColumn(matched, F.coalesce(matched, F.lit(0)))
 
 
 def choose_join_key(left: DataFrame, right: DataFrame, candidates: Sequence[Sequence[str]]) -> list[str]:
@@ -55,9 +55,8 @@ def both_sides(
             *game_keys, F.col(team).alias(column), *[F.col(v).alias(f"{prefix}_{v}") for v in values]
         )
 
-    return games.join(side("own", own), [*game_keys, own], "left").join(
-        side("opp", opponent), [*game_keys, opponent], "left"
-    )
+    with_own = join_back(games, side("own", own), [*game_keys, own], "left")
+    return join_back(with_own, side("opp", opponent), [*game_keys, opponent], "left")
 
 
 def opponent_row(df: DataFrame, game: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -70,7 +69,7 @@ def opponent_row(df: DataFrame, game: Sequence[str], values: Sequence[str]) -> D
         *[F.sum(v).alias(f"__s_{v}") for v in values],
         *[F.count(v).alias(f"__c_{v}") for v in values],
     )
-    joined = df.join(totals, list(game), "left")
+    joined = join_back(df, totals, game, "left")
     out = {}
     for v in values:
         other = F.col(f"__s_{v}") - F.coalesce(F.col(v), F.lit(0))
@@ -114,7 +113,7 @@ def asof_join(
     hits = carried.where(F.col("__side") == 1)
     if fallback:
         latest = right.groupBy(*by).agg(F.max_by(payload, F.struct(right_ts, *right_order)).alias("__latest"))
-        hits = hits.join(latest, list(by), "left").withColumn("__last", F.coalesce("__last", "__latest"))
+        hits = join_back(hits, latest, by, "left", rule).withColumn("__last", F.coalesce("__last", "__latest"))
     return hits.select("__l.*", *[F.col(f"__last.{v}").alias(f"asof_{v}") for v in values])
 
 
@@ -132,7 +131,7 @@ def closing_snapshot(
     ok = F.coalesce(F.col(ts) <= F.col("scheduled_start"), F.lit(False))
     best = F.max_by(F.struct(tie, ts, *values), F.struct(ok, ts, tie))
     return (
-        df.join(starts, list(key))
+        join_back(df, starts, key)
         .groupBy(*key, "scheduled_start")
         .agg(best.alias("__b"), F.max(ok.cast("int")).alias("had_pregame"))
         .select(
@@ -152,9 +151,10 @@ def latest_pregame(df: DataFrame, event: Sequence[str], ts: str, start: str, fac
     canon = fresh.select(
         *event, F.col(f"__f.{start}").alias("canonical_start"), *[F.col(f"__f.{c}").alias(f"canonical_{c}") for c in facts]
     )
-    joined = df.join(canon, list(event))
+    joined = join_back(df, canon, event)
     last = joined.groupBy(*event).agg(F.max(F.when(F.col(ts) <= F.col("canonical_start"), F.col(ts))).alias("__last"))
-    return joined.join(last, list(event)).withColumn("is_latest_pregame", F.coalesce(F.col(ts) == F.col("__last"), F.lit(False)).cast("int")).drop("__last")
+    flag = F.coalesce(F.col(ts) == F.col("__last"), F.lit(False)).cast("int")
+    return join_back(joined, last, event).withColumn("is_latest_pregame", flag).drop("__last")
 
 
 def asof_anchor(df: DataFrame, game: Sequence[str], ts: str, anchor: str) -> DataFrame:
@@ -163,7 +163,7 @@ def asof_anchor(df: DataFrame, game: Sequence[str], ts: str, anchor: str) -> Dat
         F.max(F.when(F.col(ts) <= F.col(anchor), F.col(ts))).alias("asof_ts"),
         F.count_if(F.col(ts) > F.col(anchor)).alias("n_after_anchor"),
     )
-    return df.join(stats, list(game)).where(F.col(ts) == F.col("asof_ts"))
+    return join_back(df, stats, game).where(F.col(ts) == F.col("asof_ts"))
 
 
 def tolerant_date_join(
@@ -185,7 +185,7 @@ def tolerant_date_join(
         "__d", F.date_add(F.to_date(date), F.col("__t.offset"))
     )
     facts = right.select(*entity, F.to_date(date).alias("__d"), *[F.col(v).alias(f"__r_{v}") for v in values], F.lit(1).alias("__hit"))
-    found = asked.join(facts, [*entity, "__d"], "inner")
+    found = join_back(asked, facts, [*entity, "__d"])
     best = found.groupBy(*left_id).agg(
         F.min_by(
             F.struct(F.col("__t.offset").alias("offset"), *[F.col(f"__r_{v}").alias(v) for v in values]), F.col("__t.rank")
@@ -237,7 +237,7 @@ def match_entities(
         F.col(roster_name).alias("__r_name"),
         plain_name(last_name(F.col(roster_name))).alias("__have"),
     )
-    joined = asked.join(facts, ["__d", "__team"], "left")
+    joined = join_back(asked, facts, ["__d", "__team"], "left")
     same_versus = F.coalesce(F.col("__r_versus") == F.col("__versus"), F.lit(False))
     same_name = F.coalesce((F.col("__have") == F.col("__want")) & (F.col("__want") != ""), F.lit(False))
     hit = same_versus & same_name
@@ -269,7 +269,7 @@ def attribute_names(asks: DataFrame, roster: DataFrame, scope: Sequence[str], na
     keyed = asks.withColumns(
         {"__full": person_name(F.col(name)), "__init": person_initial(F.col(name)), "__last": person_last(F.col(name))}
     )
-    joined = keyed.join(full, [*scope, "__full"], "left").join(short, [*scope, "__init", "__last"], "left")
+    joined = join_back(join_back(keyed, full, [*scope, "__full"], "left"), short, [*scope, "__init", "__last"], "left")
     n = F.coalesce("__n_full", "__n_short", F.lit(0))
     status = F.when(n == 0, F.lit("unresolved")).when(n == 1, F.lit("resolved")).otherwise(F.lit("ambiguous"))
     return joined.select(
@@ -290,34 +290,34 @@ def map_events_to_games(
     e = events.withColumns({"__d": F.to_date(date), "__pair": pair_key(F.col(home), F.col(away))})
     n = F.coalesce("__n", F.lit(0))
     status = F.when(n == 0, F.lit("unmatched")).when(n == 1, F.lit("matched")).otherwise(F.lit("ambiguous"))
-    return e.join(g, key, "left").select(
+    return join_back(e, g, key, "left").select(
         event_id, status.alias("map_status"), F.when(n == 1, F.col("game_id_matched")).alias("game_id_matched")
     )
 
 
 def replacement_candidates(
-    asks: DataFrame, events: DataFrame, pair: Sequence[str], date: str, event_id: str, ask_id: str, radius_days: int = 30
+    asks: DataFrame, events: DataFrame, pair: Sequence[str], date: str, ask_id: str, radius_days: int = 30
 ) -> DataFrame:
-    """Events of the same pair within the radius: counts and the nearest one per ask.
+    """How many events of the same pair lie within the radius of each ask, and how near the nearest is.
 
-    Dates are cut into radius-wide cells and an ask visits its own and both neighbours, so
-    each partition meets only nearby dates.  Events are counted per (pair, date) first, so
-    a busy pair contributes one row per day.
+    Everything happens on one row per (pair, day): a range window counts the events around
+    each day and two running windows find the nearest event day on either side, so no ask
+    is paired with its candidates.
     """
-    width = radius_days + 1
-    cell = F.floor(F.unix_date(F.to_date(F.col(date))) / width)
-    days = events.groupBy(*pair, F.to_date(date).alias("__d")).agg(
-        F.count(F.lit(1)).alias("__n"), F.min(event_id).alias("__first")
-    ).withColumn("__cell", F.floor(F.unix_date("__d") / width))
-    asked = asks.select(
-        ask_id, *pair, F.to_date(date).alias("__ask"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("__cell")
-    )
-    gap = F.datediff("__d", "__ask")
-    near = asked.join(days, [*pair, "__cell"]).where(F.abs(gap) <= radius_days)
-    best = near.groupBy(ask_id).agg(
-        F.sum("__n").alias("n_candidates"), F.min(F.abs(gap)).alias("nearest_gap_days")
+    day = F.to_date(F.col(date))
+    held = events.groupBy(*pair, day.alias("__d")).agg(F.count(F.lit(1)).alias("__n"))
+    asked = asks.select(*pair, day.alias("__d")).distinct().withColumn("__n", F.lit(0).cast("long"))
+    days = held.unionByName(asked).groupBy(*pair, "__d").agg(F.sum("__n").alias("__n"))
+    line = Window.partitionBy(*pair).orderBy(F.unix_date("__d"))  # bounded by the calendar
+    has = F.when(F.col("__n") > 0, F.col("__d"))
+    before = F.last(has, ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first(has, ignorenulls=True).over(line.rowsBetween(0, Window.unboundedFollowing))
+    gap = F.least(F.datediff("__d", before), F.datediff(after, "__d"))
+    facts = days.select(
+        *pair, "__d", F.sum("__n").over(line.rangeBetween(-radius_days, radius_days)).alias("n_candidates"),
+        F.when(gap <= radius_days, gap).alias("nearest_gap_days"),
     )
-    return asks.select(ask_id).join(best, ask_id, "left").withColumn("n_candidates", F.coalesce("n_candidates", F.lit(0)))
+    return join_back(asks.withColumn("__d", day), facts, [*pair, "__d"], "left").select(ask_id, "n_candidates", "nearest_gap_days")
 
 
 def covered_requests(
@@ -354,8 +354,7 @@ def covered_requests(
     )
     exact = manifest.select(*key, F.col(manifest_requested).alias(requested), F.lit(True).alias("__exact")).distinct()
     return (
-        requests.join(inside, list(request_id))
-        .join(exact, [*key, requested], "left")
+        join_back(requests.join(inside, list(request_id)), exact, [*key, requested], "left", rule)
         .withColumn("is_covered", (F.col("__inside") | F.coalesce("__exact", F.lit(False))).cast("int"))
         .drop("__inside", "__exact")
     )
@@ -364,7 +363,7 @@ def covered_requests(
 def anchor_gaps(events: DataFrame, snapshots: DataFrame, event: str, anchor: str, ts: str, tolerance_seconds: float) -> DataFrame:
     """Smallest distance of any snapshot to each event's anchor, and whether none is close."""
     gap = F.abs(F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col(anchor).cast("timestamp"))) / 1e6
-    best = events.select(event, anchor).join(snapshots.select(event, ts), event).groupBy(event).agg(F.min(gap).alias("min_gap_seconds"))
+    best = join_back(snapshots.select(event, ts), events.select(event, anchor), [event]).groupBy(event).agg(F.min(gap).alias("min_gap_seconds"))
     near = F.coalesce(F.col("min_gap_seconds") <= tolerance_seconds, F.lit(False))
     return events.join(best, event, "left").withColumn("needs_purchase", (~near).cast("int"))
 
@@ -372,7 +371,7 @@ def anchor_gaps(events: DataFrame, snapshots: DataFrame, event: str, anchor: str
 def key_coverage(left: DataFrame, right: DataFrame, on: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Share of distinct left keys that exist on the right, overall per ``by`` group."""
     marks = right.select(*on).distinct().withColumn("__hit", F.lit(1))
-    keys = left.select(*by, *[c for c in on if c not in by]).distinct().join(marks, list(on), "left")
+    keys = join_back(left.select(*by, *[c for c in on if c not in by]).distinct(), marks, on, "left")
     return keys.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_keys"), F.count("__hit").alias("n_matched"), F.avg(F.coalesce("__hit", F.lit(0)).cast("double")).alias("match_rate")
     )
@@ -385,13 +384,12 @@ def shifted_season_join(df: DataFrame, history: DataFrame, team: str, season: st
         return reduce(lambda acc, kv: F.when(F.col(c) == kv[0], F.lit(kv[1])).otherwise(acc), aliases.items(), F.col(c))
 
     means = history.groupBy((F.col(season) + 1).alias(season), franchise(team).alias("__fr")).agg(F.avg(value).alias(name))
-    return df.withColumn("__fr", franchise(team)).join(means, [season, "__fr"], "left").drop("__fr")
+    return join_back(df.withColumn("__fr", franchise(team)), means, [season, "__fr"], "left").drop("__fr")
 
 
 def supplement(first: DataFrame, second: DataFrame, date: str) -> DataFrame:
     """All of the first source, and the second only after the first one ends."""
-    end = first.agg(F.max(date).alias("__end"))  # a single row
-    late = second.join(F.broadcast(end), F.col(date) > F.col("__end"), "inner").drop("__end")
+    late = second.where(F.col(date) > first.agg(F.max(date)).scalar())
     return first.unionByName(late, allowMissingColumns=True)
 
 
@@ -405,10 +403,13 @@ def next_row(
 
 
 def season_of(df: DataFrame, season_dates: DataFrame, date: str) -> DataFrame:
-    """Label rows by an inclusive date range from a small dimension (checked unique ranges)."""
+    """Label rows by an inclusive date range from a declared dimension of disjoint ranges."""
     w = Window.orderBy("start_date")
     overlap = season_dates.withColumn("__prev", F.lag("end_date").over(w)).where(F.col("__prev") >= F.col("start_date"))
     if overlap.limit(1).count():
         raise GateFailed("season ranges overlap")
-    inside = F.to_date(date).between(F.col("start_date"), F.col("end_date"))
-    return df.join(F.broadcast(season_dates), inside, "left").withColumn("season", F.coalesce("season", F.lit("other")))
+    ranges = season_dates.agg(F.collect_list(F.struct("season", "start_date", "end_date"))).scalar()
+    day = F.to_date(date)
+    hit = F.filter("__ranges", lambda r: (day >= r["start_date"]) & (day <= r["end_date"]))
+    label = F.coalesce(F.try_element_at(hit, F.lit(1))["season"], F.lit("other"))
+    return df.withColumn("__ranges", ranges).withColumn("season", label).drop("__ranges")

@@ -112,8 +112,10 @@ def random_configs(grid: dict[str, Sequence], n: int, seed: int) -> list[dict]:
 
 def sample_weights(df: DataFrame, value: str, low: float, high: float, name: str, rule: SplitRule = DEFAULT_RULE) -> DataFrame:
     """Value clipped at its own exact percentiles (winsorised target)."""
-    ends = exact_percentiles(df, [], value, {"__lo": low, "__hi": high}, rule)  # a single row
-    return df.crossJoin(F.broadcast(ends)).withColumn(name, F.least(F.greatest(F.col(value), F.col("__lo")), F.col("__hi"))).drop("__lo", "__hi")
+    lo, hi = (exact_percentiles(df, [], value, {"at": p}, rule).scalar() for p in (low, high))
+    return df.withColumns({"__lo": lo, "__hi": hi}).withColumn(
+        name, F.least(F.greatest(F.col(value), F.col("__lo")), F.col("__hi"))
+    ).drop("__lo", "__hi")
 
 
 def score_batch(df: DataFrame, model, odds_over: str, odds_under: str, threshold: float) -> DataFrame:

@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formbook.functions.odds import devig_decimal, nearest_half
-from formbook.operators.skew import DEFAULT_RULE, SplitRule, exact_percentiles
+from formbook.operators.skew import DEFAULT_RULE, SplitRule, exact_percentiles, join_back
 
 
 def earliest_snapshot(df: DataFrame, event: Sequence[str], ts: str) -> DataFrame:
     """Rows taken at each event's first snapshot time."""
     first = df.groupBy(*event).agg(F.min(ts).alias("__first"))
-    return df.join(first, list(event)).where(F.col(ts) == F.col("__first")).drop("__first")
+    return join_back(df, first, event).where(F.col(ts) == F.col("__first")).drop("__first")
 
 
 def drop_exact_duplicates(df: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -38,7 +38,7 @@ def duplicate_census(df: DataFrame, key: Sequence[str], price: str) -> DataFrame
 def exclude_conflicts(df: DataFrame, key: Sequence[str], price: str) -> DataFrame:
     """Drop every key that carries more than one price."""
     bad = df.groupBy(*key).agg(F.min(price).alias("__lo"), F.max(price).alias("__hi")).where("__lo <> __hi").select(*key)
-    return df.join(bad, list(key), "left_anti")
+    return join_back(df, bad, key, "left_anti")
 
 
 def pair_sides(
@@ -95,7 +95,7 @@ def devig_group(df: DataFrame, group: Sequence[str], price: str) -> DataFrame:
     raw = F.when(F.col(price) > 0, 1.0 / F.col(price))
     totals = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"), F.count(raw).alias("__priced"), F.sum(raw).alias("__t"))
     clean = (F.col("__n") == 2) & (F.col("__priced") == 2)
-    return df.join(totals, list(group)).withColumn("p_devig", F.when(clean, raw / F.col("__t"))).drop("__n", "__priced", "__t")
+    return join_back(df, totals, group).withColumn("p_devig", F.when(clean, raw / F.col("__t"))).drop("__n", "__priced", "__t")
 
 
 def consensus_prob(df: DataFrame, key: Sequence[str], book: str) -> DataFrame:
@@ -124,12 +124,8 @@ def consensus_line(df: DataFrame, entity: Sequence[str], all_books: Sequence[str
         F.avg(F.when(F.col(side) == labels[1], F.col(price))).alias("mean_under"),
         F.count_distinct(book).alias("quoting_books"),
     )
-    return (
-        out.where(F.col("mean_over").isNotNull() & F.col("mean_under").isNotNull())
-        .withColumn("betting_line", nearest_half(F.col("__line")))
-        .drop("__line")
-        .join(books, list(all_books))
-    )
+    priced = out.where(F.col("mean_over").isNotNull() & F.col("mean_under").isNotNull())
+    return join_back(priced.withColumn("betting_line", nearest_half(F.col("__line"))).drop("__line"), books, all_books)
 
 
 def devig_consensus(df: DataFrame, key: Sequence[str], prob: str, book: str, rule: SplitRule = DEFAULT_RULE) -> DataFrame:
@@ -170,14 +166,14 @@ def all_modal_lines(df: DataFrame, key: Sequence[str], line: str) -> DataFrame:
     """Every line that reaches the highest quote count."""
     counts = df.groupBy(*key, line).agg(F.count(F.lit(1)).alias("n_at_line"))
     top = counts.groupBy(*key).agg(F.max("n_at_line").alias("__top"))
-    return counts.join(top, list(key)).where("n_at_line = __top").drop("__top")
+    return join_back(counts, top, key).where("n_at_line = __top").drop("__top")
 
 
 def dispersion(df: DataFrame, key: Sequence[str], line: str, prob: str, overround: str, book: str, rule: SplitRule = DEFAULT_RULE) -> DataFrame:
     """Spread of lines over all books, and price spread at the modal line."""
     whole = df.groupBy(*key).agg(F.count_distinct(book).alias("n_books"), F.stddev_pop(line).alias("line_dispersion"))
     modal = modal_line(df, key, line).drop("n_at_modal")
-    at = df.join(modal, list(key)).where(F.col(line) == F.col("modal_line"))
+    at = join_back(df, modal, key).where(F.col(line) == F.col("modal_line"))
     spread = at.groupBy(*key).agg(F.stddev_pop(prob).alias("prob_dispersion"))
     mid = exact_percentiles(at, key, overround, {"overround_median": 0.5}, rule)
     return whole.join(modal, list(key), "left").join(spread, list(key), "left").join(mid, list(key), "left")
@@ -188,7 +184,7 @@ def leave_one_out(df: DataFrame, group: Sequence[str], value: str, name: str) ->
     totals = df.groupBy(*group).agg(F.sum(value).alias("__s"), F.count(value).alias("__c"))
     others = F.col("__c") - F.when(F.col(value).isNotNull(), 1).otherwise(0)
     rest = F.col("__s") - F.coalesce(F.col(value), F.lit(0.0))
-    return df.join(totals, list(group)).withColumn(name, F.when(others > 0, rest / others)).drop("__s", "__c")
+    return join_back(df, totals, group).withColumn(name, F.when(others > 0, rest / others)).drop("__s", "__c")
 
 
 def two_level_median(df: DataFrame, inner: Sequence[str], outer: Sequence[str], value: str, name: str, rule: SplitRule = DEFAULT_RULE) -> DataFrame:
@@ -202,10 +198,8 @@ def group_context(df: DataFrame, key: Sequence[str], line: str, book: str) -> Da
     stats = df.groupBy(*key).agg(
         F.count_distinct(book).alias("n_books"), (F.max(line) - F.min(line)).alias("line_spread")
     )
-    return (
-        df.join(stats.join(modal_line(df, key, line).drop("n_at_modal"), list(key)), list(key))
-        .withColumn("off_modal", (F.col(line) != F.col("modal_line")).cast("int"))
-    )
+    facts = stats.join(modal_line(df, key, line).drop("n_at_modal"), list(key))
+    return join_back(df, facts, key).withColumn("off_modal", (F.col(line) != F.col("modal_line")).cast("int"))
 
 
 def market_state(df: DataFrame, event: Sequence[str], market: str, label: str, home: str, prob: str, point: str, rule: SplitRule = DEFAULT_RULE) -> DataFrame:
@@ -223,7 +217,7 @@ def market_state(df: DataFrame, event: Sequence[str], market: str, label: str, h
 def drop_drifted_events(df: DataFrame, event: Sequence[str], requested: str, commence: str, minutes: int = 10) -> DataFrame:
     """Drop every event with a snapshot closer to the start than the limit."""
     late = df.where(F.col(commence) - F.col(requested) < F.expr(f"INTERVAL '{minutes}' MINUTE")).select(*event).distinct()
-    return df.join(late, list(event), "left_anti")
+    return join_back(df, late, event, "left_anti")
 
 
 def duplicate_free(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:

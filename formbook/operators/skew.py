@@ -68,6 +68,29 @@ def hot_keys(df: DataFrame, by: Sequence[str], rule: SplitRule = DEFAULT_RULE) -
     return df.sparkSession.createDataFrame(rows, heavy.schema) if rows else None
 
 
+def join_back(
+    rows: DataFrame, per_key: DataFrame, on: Sequence[str], how: str = "inner", rule: SplitRule = DEFAULT_RULE
+) -> DataFrame:
+    """Join one-row-per-key facts to rows whose keys may be heavy.
+
+    Adaptive skew joins only split a side that comes straight from a shuffle, which a side
+    made by an aggregate does not.  Here a heavy key's rows are cut into slices by a hash of
+    the row, and only that key's single fact is repeated once per slice.  Rows with a NULL
+    key match nothing, so they are spread as well.
+    """
+    keys = hot_keys(rows, on, rule)
+    if keys is None:
+        return rows.join(per_key, list(on), how)
+    cut = F.ceil(F.col("__rows") / rule.block_rows).cast("int")
+    marks = F.broadcast(keys.select(*on, cut.alias("__slices")))  # at most MAX_HOT rows
+    slices = F.coalesce("__slices", F.lit(1))
+    no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
+    salt = F.pmod(F.xxhash64(*rows.columns), F.when(no_key, F.lit(MAX_HOT)).otherwise(slices)).cast("int")
+    left = rows.join(marks, list(on), "left").withColumn("__salt", salt).drop("__slices")
+    right = per_key.join(marks, list(on), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), slices - 1))).drop("__slices")
+    return left.join(right, [*on, "__salt"], how).drop("__salt")
+
+
 def _on_keys(left: DataFrame, right: DataFrame, by: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in by])
 
@@ -241,21 +264,19 @@ def exact_percentiles(
     """Exact linearly interpolated percentiles per key.
 
     Works on counts per distinct value, so no task holds a key's values in memory
-    the way a ``percentile`` buffer does.
+    the way a ``percentile`` buffer does.  Rows with a NULL key are left out.
     """
     counts = (
-        df.where(F.col(value).isNotNull())
+        df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (value, *by)]))
         .groupBy(*by, F.col(value).cast("double").alias("__v"))
         .agg(F.count(F.lit(1)).alias("__n"))
     )
     upto = running(counts, by, [F.col("__v")], {"__upto": Running("sum", F.col("__n"))}, rule=rule)
     totals = counts.groupBy(*by).agg(F.sum("__n").alias("__total"))
     if by:
-        totals = totals.select(*[F.col(k).alias(f"__k_{k}") for k in by], "__total")
-        same = reduce(lambda a, b: a & b, [upto[k].eqNullSafe(totals[f"__k_{k}"]) for k in by])
-        ranked = upto.join(totals, same)
+        ranked = join_back(upto, totals, by, rule=rule)
     else:
-        ranked = upto.join(F.broadcast(totals), F.lit(True))  # a single row
+        ranked = upto.withColumn("__total", totals.scalar())
     parts: list[Column] = []
     final: list[Column] = []
     for name, p in probs.items():

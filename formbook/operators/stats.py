@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formbook.functions.odds import safe_div
-from formbook.operators.skew import DEFAULT_RULE, Running, SplitRule, broadcast_if_small, exact_percentiles, running
+from formbook.operators.skew import DEFAULT_RULE, Running, SplitRule, exact_percentiles, join_back, running
+
+
+def beside(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Two summaries of the same groups side by side; without groups each is a single row."""
+    if by:
+        return a.join(b, list(by))
+    return a.withColumn("__one", F.lit(1)).join(b.withColumn("__one", F.lit(1)), "__one").drop("__one")
 
 
 def clipped(p: Column, eps: float = 1e-15) -> Column:
@@ -89,11 +96,11 @@ def quantile_edges(df: DataFrame, value: str, bins: int, rule: SplitRule = DEFAU
 
 def reliability_quantile(df: DataFrame, p: str, y: str, bins: int = 10, rule: SplitRule = DEFAULT_RULE) -> DataFrame:
     """Predicted against observed per quantile bin; repeated edges merge bins."""
-    edges = quantile_edges(df, p, bins, rule)  # a single row
+    edges = quantile_edges(df, p, bins, rule).scalar()
     left_of = F.size(F.filter("edges", lambda e: e < F.col(p)))
     return (
         df.where(F.col(p).isNotNull())
-        .crossJoin(F.broadcast(edges))
+        .withColumn("edges", edges)
         .withColumn("bin", F.greatest(left_of, F.lit(1)) - 1)
         .groupBy("bin")
         .agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("mean_pred"), F.avg(F.col(y).cast("double")).alias("actual_rate"))
@@ -136,7 +143,7 @@ def numeric_profile(df: DataFrame, by: Sequence[str], value: str, rule: SplitRul
         F.min(value).alias("low"), F.max(value).alias("high"),
     )
     mids = exact_percentiles(df, by, value, {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}, rule)
-    return stats.join(mids, list(by)) if by else stats.crossJoin(F.broadcast(mids))  # one row each
+    return beside(stats, mids, by)
 
 
 def bucket_summary(df: DataFrame, value: str, y: str, edges: Sequence[float]) -> DataFrame:
@@ -159,8 +166,8 @@ def smoothed_histogram(df: DataFrame, value: str, low: float, high: float, width
     counts = df.where(F.col(value).between(low, high)).groupBy(slot.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     grid = df.sparkSession.range(n_bins).select(F.col("id").cast("int").alias("bin"))
     full = grid.join(counts, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    total = full.agg(F.sum("n").alias("__t"))
-    return full.crossJoin(F.broadcast(total)).select(
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
+    return full.withColumn("__t", total).select(
         "bin",
         "n",
         ((F.col("n") + laplace) / (F.col("__t") + laplace * n_bins)).alias("weight"),
@@ -222,7 +229,7 @@ def gap_stats(df: DataFrame, by: Sequence[str], gap: str, limits: Sequence[float
         F.count(gap).alias("n"), F.max(gap).alias("max_gap"), *[F.count_if(F.col(gap) > x).alias(f"over_{x:g}") for x in limits]
     )
     mids = exact_percentiles(df, by, gap, {"median_gap": 0.5, "p95_gap": 0.95}, rule)
-    return counts.join(mids, list(by)) if by else counts.crossJoin(F.broadcast(mids))  # one row each
+    return beside(counts, mids, by)
 
 
 def funnel(df: DataFrame, steps: Sequence[tuple[str, Column]], kept: str = "kept") -> DataFrame:
@@ -244,14 +251,14 @@ def empirical_shares(df: DataFrame, residuals: DataFrame, pred: str, line: str,
     asks = df.select((F.col(line) - F.col(pred)).alias("__x")).distinct()
     merged = counts.unionByName(asks.withColumn("__n", F.lit(0).cast("long"))).groupBy("__x").agg(F.sum("__n").alias("__n"))
     swept = running(merged, [], [F.col("__x")], {"__upto": Running("sum", F.col("__n"))}, rule=rule)
-    total = counts.agg(F.sum("__n").alias("__total"))
-    at = asks.join(swept, "__x").crossJoin(F.broadcast(total)).select(
+    total = counts.agg(F.sum("__n")).scalar()
+    at = asks.join(swept, "__x").withColumn("__total", total).select(
         "__x",
         (1.0 - F.col("__upto") / F.col("__total")).alias("p_over"),
         ((F.col("__upto") - F.col("__n")) / F.col("__total")).alias("p_under"),
         (F.col("__n") / F.col("__total")).alias("p_push"),
     )
-    return df.withColumn("__x", F.col(line) - F.col(pred)).join(broadcast_if_small(at), "__x").drop("__x")
+    return join_back(df.withColumn("__x", F.col(line) - F.col(pred)), at, ["__x"], rule=rule).drop("__x")
 
 
 def drift_baseline(df: DataFrame, side: str, bettime: str, closing: str) -> DataFrame:
@@ -261,21 +268,11 @@ def drift_baseline(df: DataFrame, side: str, bettime: str, closing: str) -> Data
 
 
 def net_of_drift(df: DataFrame, side: str, bettime: str, closing: str) -> DataFrame:
-    base = drift_baseline(df, side, bettime, closing).select(side, "mean_drift")  # one row per side
-    return df.join(F.broadcast(base), side).withColumn(
+    base = drift_baseline(df, side, bettime, closing).select(side, "mean_drift")
+    return join_back(df, base, [side]).withColumn(
         "net_clv", F.col(closing) - F.col(bettime) - F.col("mean_drift")
     )
 
 
 def month_of(ts: str) -> Column:
     return F.trunc(F.to_date(ts), "MM")
-
-
-def cumulative_share(df: DataFrame, date: str) -> DataFrame:
-    """Rows per date with the share of all rows on earlier dates (one row per calendar date)."""
-    daily = df.groupBy(F.to_date(date).alias("__day")).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    return daily.select(
-        "__day", (F.coalesce(F.sum("__n").over(before), F.lit(0)) / F.sum("__n").over(every)).alias("__share_before")
-    )

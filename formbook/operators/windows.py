@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from formbook.operators.skew import DEFAULT_RULE, Running, SplitRule, bounded_frame, hot_keys, row_numbers, running
+from formbook.operators.skew import DEFAULT_RULE, Running, SplitRule, bounded_frame, hot_keys, join_back, row_numbers, running
 
 
 def cols(names: Sequence[str]) -> list[Column]:
@@ -67,7 +67,7 @@ def prior_expanding(
             }
         )
     shift = df.groupBy(*entity).agg(F.min(value).alias("__shift"))
-    x = df.join(shift, list(entity), "left").withColumn("__x", F.col(value) - F.col("__shift"))
+    x = join_back(df, shift, entity, "left", rule).withColumn("__x", F.col(value) - F.col("__shift"))
     out = running(
         x,
         entity,
@@ -159,7 +159,7 @@ def games_last_days(df: DataFrame, entity: Sequence[str], date: str, days: int =
     daily = df.groupBy(*entity, day.alias("__day")).agg(F.count(F.lit(1)).alias("__n"))
     w = Window.partitionBy(*entity).orderBy(F.unix_date("__day")).rangeBetween(-(days - 1), 0)
     counted = daily.withColumn(name, F.sum("__n").over(w)).drop("__n")
-    return df.withColumn("__day", day).join(counted, [*entity, "__day"], "left").drop("__day")
+    return join_back(df.withColumn("__day", day), counted, [*entity, "__day"], "left").drop("__day")
 
 
 def recent_rows(df: DataFrame, entity: Sequence[str], order_desc: Sequence[Column], n: int) -> DataFrame:
@@ -194,7 +194,7 @@ def prior_league(df: DataFrame, season: Sequence[str], date: str, value: str) ->
 def prior_league_z(df: DataFrame, season: Sequence[str], date: str, value: str, name: str) -> DataFrame:
     league = prior_league(df, season, date, value)
     z = F.try_divide(F.col(value) - F.col("prior_mean"), F.nullif(F.col("prior_std"), F.lit(0.0)))
-    return df.withColumn("league_date", F.to_date(date)).join(league, [*season, "league_date"], "left").withColumn(name, z)
+    return join_back(df.withColumn("league_date", F.to_date(date)), league, [*season, "league_date"], "left").withColumn(name, z)
 
 
 def latest_version(

@@ -238,7 +238,7 @@ def j12(spark, d):
 def j13(spark, d):
     e = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 40).alias("p"), F.to_date("o_orderdate").alias("day"))
     held = e.where(F.col("o_orderkey") % 2 == 0)
-    return jn.replacement_candidates(e, held, ["p"], "day", "o_orderkey", "o_orderkey")
+    return jn.replacement_candidates(e, held, ["p"], "day", "o_orderkey")
 
 
 _MANIFEST = """m AS (SELECT user_id AS scope, ts AS resolved, CASE WHEN event_id % 9 <> 0 THEN ts + to_minutes(CAST(30 + event_id % 600 AS INTEGER)) END AS next_at, date_trunc('hour', ts) AS requested FROM events WHERE event_type = 'click'),

@@ -43,8 +43,8 @@ def f2(spark, d):
         scored = md.probability(val, model).select(F.lit(depth).alias("depth"), "p_over", "label")
         out = scored if out is None else out.unionByName(scored)
     scores = st.score_probabilities(out, ["depth"], "p_over", "label").select("depth", "n", "brier", "log_loss")
-    best = scores.agg(F.min_by("depth", F.struct("brier", "depth")).alias("best"))
-    return scores.crossJoin(F.broadcast(best)).withColumn("selected", (c("depth") == c("best")).cast("int")).drop("best")
+    best = scores.agg(F.min_by("depth", F.struct("brier", "depth"))).scalar()
+    return scores.withColumn("selected", (c("depth") == best).cast("int"))
 
 
 @query("f2_rate_model_scores")
@@ -99,8 +99,8 @@ def f5(spark, d):
     test = md.apply_isotonic(md.apply_platt(data.where("split = 'test'"), platt, "p_over", "platt"), iso, "isotonic")
     test = test.withColumns(md.blend("platt", "p_under", [0.25, 0.5]))
     scores = md.brier_by_candidate(test, ["p_over", "platt", "isotonic", "blend_25", "blend_50"], "y")
-    best = scores.agg(F.min_by("candidate", F.struct("brier", "candidate")).alias("best"))
-    return scores.crossJoin(F.broadcast(best)).withColumn("selected", (c("candidate") == c("best")).cast("int")).drop("best")
+    best = scores.agg(F.min_by("candidate", F.struct("brier", "candidate"))).scalar()
+    return scores.withColumn("selected", (c("candidate") == best).cast("int"))
 
 
 @query("f6_huber_line")

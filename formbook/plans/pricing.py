@@ -9,7 +9,7 @@ from formbook.functions import odds as O
 from formbook.operators import bootstrap as bs
 from formbook.operators import stats as st
 from formbook.operators.joins import enrich
-from formbook.operators.skew import broadcast_if_small
+from formbook.operators.skew import join_back
 from formbook.operators.windows import forward_min_clip
 from formbook.plans.frames import BETS, PAIRS, bets, table, with_sql
 from formbook.plans.quotes import pairs
@@ -103,7 +103,8 @@ def m15(spark, d):
 
 def mixture_price(rows, bins, key="entity_id"):
     """Weighted price over exposure bins, and the mean shots a single distribution would need."""
-    spread = rows.crossJoin(F.broadcast(bins))  # the declared grid of exposure bins
+    grid = bins.agg(F.collect_list(F.struct("weight", "midpoint"))).scalar()  # the declared exposure bins
+    spread = rows.withColumn("__grid", grid).select("*", F.inline("__grid")).drop("__grid")
     mean = F.col("mu") * F.col("midpoint") / 60.0
     p = ds.price_count_line(mean, F.col("alpha"), F.col("q"), F.col("line"))
     priced = spread.withColumns({"p": p, "mean": mean})
@@ -206,7 +207,7 @@ def f1(spark, d):
     """Mean behind each pair's line and fair probability, inverted once per distinct pair."""
     p = pairs(spark, d).withColumns({"at": F.col("line") + 20.5, "alpha": F.lit(0.03), "prob": F.round("p_over", 6)})
     means = p.select("at", "prob", "alpha").distinct().withColumn("implied_mean", ds.invert_count_mean("at", "prob", "alpha"))
-    return p.join(broadcast_if_small(means), ["at", "prob", "alpha"]).select("event_id", "book", "line", "prob", "implied_mean")
+    return join_back(p, means, ["at", "prob", "alpha"]).select("event_id", "book", "line", "prob", "implied_mean")
 
 
 @query(

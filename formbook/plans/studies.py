@@ -303,8 +303,8 @@ def b13(spark, d):
 def b14(spark, d):
     b = bets(spark, d).withColumn("season", F.year("bet_date"))
     folds = b.groupBy("season").agg((F.sum("profit") / F.sum("stake")).alias("roi"))
-    pooled = bs.cluster_bootstrap(b, ["game_id"], F.col("profit"), F.col("stake"), RESAMPLES, "pool").select("lower")  # one row
-    return bt.pooled_verdict(folds.crossJoin(F.broadcast(pooled)), "roi", F.col("lower"))
+    pooled = bs.cluster_bootstrap(b, ["game_id"], F.col("profit"), F.col("stake"), RESAMPLES, "pool").select("lower")
+    return bt.pooled_verdict(folds.withColumn("lower", pooled.scalar()), "roi", F.col("lower"))
 
 
 @query(
