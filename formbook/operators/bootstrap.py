@@ -88,6 +88,21 @@ def cluster_bootstrap(df: DataFrame, cluster: Sequence[str], num: Column, den: C
     return _with_point(df, by, cluster, {"estimate": safe_div(F.sum(num), F.sum(den)) * scale}, ci)
 
 
+def ratios_bootstrap(df: DataFrame, cluster: Sequence[str], nums: dict[str, Column], den: Column, label: str, resamples: int = 200,
+                     seed: str = "form", by: Sequence[str] = ()) -> DataFrame:
+    """Several ratios over one denominator on the same draws, one row per (by, ratio)."""
+    total = "__den"
+    reps = resample(df, by, cluster, {**nums, total: den}, resamples, seed)
+
+    def long(frame: DataFrame, keep: Sequence[str], name: str) -> DataFrame:
+        pairs = [F.struct(F.lit(n).alias(label), safe_div(F.col(n), F.col(total)).alias(name)) for n in nums]
+        return frame.select(*keep, F.inline(F.array(*pairs)))
+
+    ci = interval(long(reps, by, "__ratio"), [*by, label], F.col("__ratio"))
+    whole = df.groupBy(*by).agg(*[F.sum(e).alias(n) for n, e in nums.items()], F.sum(den).alias(total), F.count_distinct(*cluster).alias("n_clusters"))
+    return long(whole, [*by, "n_clusters"], "estimate").join(ci, [*by, label])
+
+
 def row_bootstrap(df: DataFrame, row_id: Sequence[str], value: Column, **kw) -> DataFrame:
     """Mean of rows: every row is its own cluster."""
     seen = F.when(value.isNotNull(), F.lit(1.0)).otherwise(F.lit(0.0))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formbook.functions.odds import safe_div
-from formbook.operators.skew import DEFAULT_RULE, Running, SplitRule, join_back, running
+from formbook.operators.skew import DEFAULT_RULE, Running, SplitRule, hot_keys, running, with_group_totals
 
 
 def summary_columns(result: str = "result", profit: str = "profit", stake: str = "stake") -> list[Column]:
@@ -68,11 +68,11 @@ def clv_report(df: DataFrame, dims: Sequence[str], clv: str, rule: SplitRule = D
 def weighted_median(df: DataFrame, by: Sequence[str], value: str, count: str, name: str, rule: SplitRule = DEFAULT_RULE) -> DataFrame:
     """Median of values given with repeat counts."""
     counts = df.groupBy(*by, F.col(value).alias("__v")).agg(F.sum(count).alias("__n"))
-    upto = running(counts, by, [F.col("__v")], {"__upto": Running("sum", F.col("__n"))}, rule=rule)
-    totals = counts.groupBy(*by).agg(F.sum("__n").alias("__t"))
+    heavy = hot_keys(counts, by, rule)
+    upto = running(counts, by, [F.col("__v")], {"__upto": Running("sum", F.col("__n"))}, rule=rule, heavy=heavy)
     at = (F.col("__t") - 1) / 2.0
     return (
-        join_back(upto, totals, by, rule=rule)
+        with_group_totals(upto, by, {"__t": F.sum("__n")}, rule, heavy)
         .groupBy(*by)
         .agg(
             F.min(F.when(F.col("__upto") > F.floor(at), F.col("__v"))).alias("__lo"),

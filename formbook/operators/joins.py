@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from formbook.functions.text import last_name, pair_key, person_initial, person_last, person_name, plain_name
 from formbook.operators.quality import GateFailed, duplicate_keys, require_unique
-from formbook.operators.skew import DEFAULT_RULE, Running, SplitRule, bounded_frame, join_back, running
+from formbook.operators.skew import DEFAULT_RULE, Running, SplitRule, bounded_frame, hot_keys, join_back, running, with_group_totals
 
 
 def enrich(
@@ -62,14 +62,12 @@ def both_sides(
 def opponent_row(df: DataFrame, game: Sequence[str], values: Sequence[str]) -> DataFrame:
     """The other row's values where a game has exactly two rows; NULL elsewhere.
 
-    One aggregate per game and a join back, so no pairs are formed.
+    Game totals less the row's own value, so no pairs are formed.
     """
-    totals = df.groupBy(*game).agg(
-        F.count(F.lit(1)).alias("__n"),
-        *[F.sum(v).alias(f"__s_{v}") for v in values],
-        *[F.count(v).alias(f"__c_{v}") for v in values],
-    )
-    joined = join_back(df, totals, game, "left")
+    totals = {"__n": F.count(F.lit(1))}
+    for v in values:
+        totals |= {f"__s_{v}": F.sum(v), f"__c_{v}": F.count(v)}
+    joined = with_group_totals(df, game, totals)
     out = {}
     for v in values:
         other = F.col(f"__s_{v}") - F.coalesce(F.col(v), F.lit(0))
@@ -122,16 +120,13 @@ def closing_snapshot(
 ) -> DataFrame:
     """Last snapshot at or before the start, where the start is the first one recorded.
 
-    With no start, or nothing before it, the last snapshot of the key is used.  Two
-    aggregates over decomposable structs.
+    With no start, or nothing before it, the last snapshot of the key is used.
     """
-    starts = df.groupBy(*key).agg(
-        F.min_by(start, F.when(F.col(start).isNotNull(), F.struct(ts, tie))).alias("scheduled_start")
-    )
+    first_start = F.min_by(start, F.when(F.col(start).isNotNull(), F.struct(ts, tie)))
     ok = F.coalesce(F.col(ts) <= F.col("scheduled_start"), F.lit(False))
     best = F.max_by(F.struct(tie, ts, *values), F.struct(ok, ts, tie))
     return (
-        join_back(df, starts, key)
+        with_group_totals(df, key, {"scheduled_start": first_start})
         .groupBy(*key, "scheduled_start")
         .agg(best.alias("__b"), F.max(ok.cast("int")).alias("had_pregame"))
         .select(
@@ -147,23 +142,20 @@ def closing_snapshot(
 
 def latest_pregame(df: DataFrame, event: Sequence[str], ts: str, start: str, facts: Sequence[str]) -> DataFrame:
     """Flag each event's newest snapshot at or before its start, with the freshest facts."""
-    fresh = df.groupBy(*event).agg(F.max_by(F.struct(start, *facts), F.struct(ts, start, *facts)).alias("__f"))
-    canon = fresh.select(
-        *event, F.col(f"__f.{start}").alias("canonical_start"), *[F.col(f"__f.{c}").alias(f"canonical_{c}") for c in facts]
+    heavy = hot_keys(df, event)
+    fresh = F.max_by(F.struct(start, *facts), F.struct(ts, start, *facts))
+    joined = with_group_totals(df, event, {"__f": fresh}, heavy=heavy).select(
+        *df.columns, F.col(f"__f.{start}").alias("canonical_start"), *[F.col(f"__f.{c}").alias(f"canonical_{c}") for c in facts]
     )
-    joined = join_back(df, canon, event)
-    last = joined.groupBy(*event).agg(F.max(F.when(F.col(ts) <= F.col("canonical_start"), F.col(ts))).alias("__last"))
+    last = F.max(F.when(F.col(ts) <= F.col("canonical_start"), F.col(ts)))
     flag = F.coalesce(F.col(ts) == F.col("__last"), F.lit(False)).cast("int")
-    return join_back(joined, last, event).withColumn("is_latest_pregame", flag).drop("__last")
+    return with_group_totals(joined, event, {"__last": last}, heavy=heavy).withColumn("is_latest_pregame", flag).drop("__last")
 
 
 def asof_anchor(df: DataFrame, game: Sequence[str], ts: str, anchor: str) -> DataFrame:
     """Rows at each game's newest time not after its anchor, with the dropped counts."""
-    stats = df.groupBy(*game).agg(
-        F.max(F.when(F.col(ts) <= F.col(anchor), F.col(ts))).alias("asof_ts"),
-        F.count_if(F.col(ts) > F.col(anchor)).alias("n_after_anchor"),
-    )
-    return join_back(df, stats, game).where(F.col(ts) == F.col("asof_ts"))
+    stats = {"asof_ts": F.max(F.when(F.col(ts) <= F.col(anchor), F.col(ts))), "n_after_anchor": F.count_if(F.col(ts) > F.col(anchor))}
+    return with_group_totals(df, game, stats).where(F.col(ts) == F.col("asof_ts"))
 
 
 def tolerant_date_join(

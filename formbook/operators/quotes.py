@@ -8,13 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formbook.functions.odds import devig_decimal, nearest_half
-from formbook.operators.skew import DEFAULT_RULE, SplitRule, exact_percentiles, join_back
+from formbook.operators.skew import DEFAULT_RULE, SplitRule, exact_percentiles, join_back, with_group_totals
 
 
 def earliest_snapshot(df: DataFrame, event: Sequence[str], ts: str) -> DataFrame:
     """Rows taken at each event's first snapshot time."""
-    first = df.groupBy(*event).agg(F.min(ts).alias("__first"))
-    return join_back(df, first, event).where(F.col(ts) == F.col("__first")).drop("__first")
+    return with_group_totals(df, event, {"__first": F.min(ts)}).where(F.col(ts) == F.col("__first")).drop("__first")
 
 
 def drop_exact_duplicates(df: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -93,9 +92,9 @@ def paired(df: DataFrame, *args, **kwargs) -> DataFrame:
 def devig_group(df: DataFrame, group: Sequence[str], price: str) -> DataFrame:
     """Fair probability within a group of exactly two priced outcomes, NULL otherwise."""
     raw = F.when(F.col(price) > 0, 1.0 / F.col(price))
-    totals = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"), F.count(raw).alias("__priced"), F.sum(raw).alias("__t"))
+    totals = {"__n": F.count(F.lit(1)), "__priced": F.count(raw), "__t": F.sum(raw)}
     clean = (F.col("__n") == 2) & (F.col("__priced") == 2)
-    return join_back(df, totals, group).withColumn("p_devig", F.when(clean, raw / F.col("__t"))).drop("__n", "__priced", "__t")
+    return with_group_totals(df, group, totals).withColumn("p_devig", F.when(clean, raw / F.col("__t"))).drop("__n", "__priced", "__t")
 
 
 def consensus_prob(df: DataFrame, key: Sequence[str], book: str) -> DataFrame:
@@ -165,8 +164,7 @@ def modal_line(df: DataFrame, key: Sequence[str], line: str) -> DataFrame:
 def all_modal_lines(df: DataFrame, key: Sequence[str], line: str) -> DataFrame:
     """Every line that reaches the highest quote count."""
     counts = df.groupBy(*key, line).agg(F.count(F.lit(1)).alias("n_at_line"))
-    top = counts.groupBy(*key).agg(F.max("n_at_line").alias("__top"))
-    return join_back(counts, top, key).where("n_at_line = __top").drop("__top")
+    return with_group_totals(counts, key, {"__top": F.max("n_at_line")}).where("n_at_line = __top").drop("__top")
 
 
 def dispersion(df: DataFrame, key: Sequence[str], line: str, prob: str, overround: str, book: str, rule: SplitRule = DEFAULT_RULE) -> DataFrame:
@@ -181,10 +179,10 @@ def dispersion(df: DataFrame, key: Sequence[str], line: str, prob: str, overroun
 
 def leave_one_out(df: DataFrame, group: Sequence[str], value: str, name: str) -> DataFrame:
     """Mean of the other rows of the group, NULL when there is none."""
-    totals = df.groupBy(*group).agg(F.sum(value).alias("__s"), F.count(value).alias("__c"))
+    totals = {"__s": F.sum(value), "__c": F.count(value)}
     others = F.col("__c") - F.when(F.col(value).isNotNull(), 1).otherwise(0)
     rest = F.col("__s") - F.coalesce(F.col(value), F.lit(0.0))
-    return join_back(df, totals, group).withColumn(name, F.when(others > 0, rest / others)).drop("__s", "__c")
+    return with_group_totals(df, group, totals).withColumn(name, F.when(others > 0, rest / others)).drop("__s", "__c")
 
 
 def two_level_median(df: DataFrame, inner: Sequence[str], outer: Sequence[str], value: str, name: str, rule: SplitRule = DEFAULT_RULE) -> DataFrame:

@@ -42,6 +42,7 @@ class SplitRule:
 
 
 DEFAULT_RULE = SplitRule()
+DETECT = object()  # look for heavy keys; pass the result of ``hot_keys`` to share one look
 
 
 def plan_bytes(df: DataFrame) -> int:
@@ -69,7 +70,7 @@ def hot_keys(df: DataFrame, by: Sequence[str], rule: SplitRule = DEFAULT_RULE) -
 
 
 def join_back(
-    rows: DataFrame, per_key: DataFrame, on: Sequence[str], how: str = "inner", rule: SplitRule = DEFAULT_RULE
+    rows: DataFrame, per_key: DataFrame, on: Sequence[str], how: str = "inner", rule: SplitRule = DEFAULT_RULE, heavy=DETECT
 ) -> DataFrame:
     """Join one-row-per-key facts to rows whose keys may be heavy.
 
@@ -78,7 +79,7 @@ def join_back(
     the row, and only that key's single fact is repeated once per slice.  Rows with a NULL
     key match nothing, so they are spread as well.
     """
-    keys = hot_keys(rows, on, rule)
+    keys = hot_keys(rows, on, rule) if heavy is DETECT else heavy
     if keys is None:
         return rows.join(per_key, list(on), how)
     cut = F.ceil(F.col("__rows") / rule.block_rows).cast("int")
@@ -91,6 +92,23 @@ def join_back(
     return left.join(right, [*on, "__salt"], how).drop("__salt")
 
 
+def with_group_totals(
+    df: DataFrame, by: Sequence[str], totals: dict[str, Column], rule: SplitRule = DEFAULT_RULE, heavy=DETECT
+) -> DataFrame:
+    """Add per-key aggregates to every row.
+
+    Ordinary keys take one shuffle and a window; where a key is heavy the aggregate is
+    combined before its shuffle and joined back in slices.  Rows with a NULL key keep NULLs.
+    """
+    keys = hot_keys(df, by, rule) if heavy is DETECT else heavy
+    if keys is None:
+        whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in by])
+        w = Window.partitionBy(*by)
+        return df.withColumns({n: F.when(whole, agg.over(w)) for n, agg in totals.items()})
+    facts = df.groupBy(*by).agg(*[agg.alias(n) for n, agg in totals.items()])
+    return join_back(df, facts, by, "left", rule, keys)
+
+
 def _on_keys(left: DataFrame, right: DataFrame, by: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in by])
 
@@ -102,14 +120,14 @@ def _blocks(rows: DataFrame, by: Sequence[str], order: Sequence[Column], total:
 
 
 def split_hot(
-    df: DataFrame, by: Sequence[str], order: Sequence[Column], rule: SplitRule = DEFAULT_RULE
+    df: DataFrame, by: Sequence[str], order: Sequence[Column], rule: SplitRule = DEFAULT_RULE, heavy=DETECT
 ) -> tuple[DataFrame | None, DataFrame | None]:
     """(ordinary rows, heavy rows with a ``__block`` column); either may be None."""
     if not by:
         if small_enough(df, rule.check_bytes):
             return df, None
         return None, _blocks(df, [], order, df.count(), rule)
-    keys = hot_keys(df, by, rule)
+    keys = hot_keys(df, by, rule) if heavy is DETECT else heavy
     if keys is None:
         return df, None
     total = sum(r["__rows"] for r in keys.collect())
@@ -161,6 +179,7 @@ def running(
     aggs: dict[str, Running],
     prior: bool = False,
     rule: SplitRule = DEFAULT_RULE,
+    heavy=DETECT,
 ) -> DataFrame:
     """Add running aggregates from the start of each key up to this row.
 
@@ -173,18 +192,18 @@ def running(
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, last_row)
         return {name: a.over(w) for name, a in aggs.items()}
 
-    plain, heavy = split_hot(df, by, order, rule)
-    if heavy is None:
+    plain, split = split_hot(df, by, order, rule, heavy)
+    if split is None:
         return plain.withColumns(local(list(by)))
 
     keys = [*by, "__block"]
-    totals = heavy.groupBy(*keys).agg(*[a.total(order).alias(f"__t_{n}") for n, a in aggs.items()])
+    totals = split.groupBy(*keys).agg(*[a.total(order).alias(f"__t_{n}") for n, a in aggs.items()])
     before = Window.partitionBy(*by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     carries = totals.select(
         *[F.col(k).alias(f"__k_{k}") for k in keys],
         *[a.carry(f"__t_{n}", before).alias(f"__c_{n}") for n, a in aggs.items()],
     )
-    inside = heavy.withColumns({f"__l_{n}": c for n, c in local(keys).items()})
+    inside = split.withColumns({f"__l_{n}": c for n, c in local(keys).items()})
     same = reduce(lambda a, b: a & b, [inside[k].eqNullSafe(carries[f"__k_{k}"]) for k in keys])
     # one carry per (heavy key, block): at most blocks + MAX_HOT rows
     joined = inside.join(F.broadcast(carries), same, "left")
@@ -271,12 +290,12 @@ def exact_percentiles(
         .groupBy(*by, F.col(value).cast("double").alias("__v"))
         .agg(F.count(F.lit(1)).alias("__n"))
     )
-    upto = running(counts, by, [F.col("__v")], {"__upto": Running("sum", F.col("__n"))}, rule=rule)
-    totals = counts.groupBy(*by).agg(F.sum("__n").alias("__total"))
+    heavy = hot_keys(counts, by, rule) if by else None
+    upto = running(counts, by, [F.col("__v")], {"__upto": Running("sum", F.col("__n"))}, rule=rule, heavy=heavy)
     if by:
-        ranked = join_back(upto, totals, by, rule=rule)
+        ranked = with_group_totals(upto, by, {"__total": F.sum("__n")}, rule, heavy)
     else:
-        ranked = upto.withColumn("__total", totals.scalar())
+        ranked = upto.withColumn("__total", counts.agg(F.sum("__n")).scalar())
     parts: list[Column] = []
     final: list[Column] = []
     for name, p in probs.items():

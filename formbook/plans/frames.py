@@ -48,7 +48,7 @@ FORM = """form AS (
 
 def quotes(spark: SparkSession, folder: str) -> DataFrame:
     """Long quotes, one row per side."""
-    li = table(spark, folder, "lineitem")
+    li = spread(table(spark, folder, "lineitem"))
     return li.select(
         F.col("l_partkey").alias("event_id"),
         (F.col("l_suppkey") % 4).alias("book"),
@@ -89,7 +89,7 @@ pairs AS (
 
 def bets(spark: SparkSession, folder: str) -> DataFrame:
     """Priced candidates with outcomes, and one graded bet per row on the row's own side."""
-    li = table(spark, folder, "lineitem")
+    li = spread(table(spark, folder, "lineitem"))
     tick = F.round(F.col("l_tax") * 100).cast("int")
     whole = F.col("l_linenumber") % 2 != 0
     base = li.select(

@@ -111,17 +111,14 @@ def a39(spark, d):
 
 
 def paired_deltas(b, p, market, by, resamples=RESAMPLES, seed="delta"):
-    """Model minus market score deltas, three scores in one pass, clustered by game."""
+    """Model minus market score deltas, three scores on the same draws, clustered by game."""
     y = (F.col("actual") > F.col("line")).cast("int")
     rows = b.withColumns({"__m": market, "__y": y})
     m, q, y = F.col("__m"), F.col(p), F.col("__y")
-    scores = F.array(
-        F.struct(F.lit("brier").alias("score"), (st.brier(q, y) - st.brier(m, y)).alias("delta")),
-        F.struct(F.lit("log_loss").alias("score"), (st.log_loss(q, y) - st.log_loss(m, y)).alias("delta")),
-        F.struct(F.lit("abs_error").alias("score"), (F.abs(q - y) - F.abs(m - y)).alias("delta")),
-    )
-    long = rows.select(*by, "game_id", F.inline(scores))
-    return bs.cluster_bootstrap(long, ["game_id"], F.col("delta"), F.lit(1.0), resamples, seed, by=[*by, "score"])
+    deltas = {
+        "brier": st.brier(q, y) - st.brier(m, y), "log_loss": st.log_loss(q, y) - st.log_loss(m, y), "abs_error": F.abs(q - y) - F.abs(m - y),
+    }
+    return bs.ratios_bootstrap(rows, ["game_id"], deltas, F.lit(1.0), "score", resamples, seed, by)
 
 
 @query(

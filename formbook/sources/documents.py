@@ -63,8 +63,12 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def parse_json(df: DataFrame, column: str, schema: str, keep: Sequence[str] = ()) -> DataFrame:
-    """The same from a string column."""
-    return df.select(*keep, F.from_json(F.col(column), schema).alias("__doc")).select(*keep, "__doc.*")
+    """The same from a string column.
+
+    The generator keeps later filters above the parse, which would otherwise be pushed down
+    and parse every document once per filter.
+    """
+    return df.select(*keep, F.inline(F.array(F.from_json(F.col(column), schema))))
 
 
 def _box_sides(keep_players: str) -> Column:

@@ -175,3 +175,9 @@ def test_leave_one_out_and_group_context_against_pandas(frame, df):
     own = frame["value"].notna().astype(int)
     want = (g.transform("sum") - frame["value"].fillna(0)) / (g.transform("count") - own)
     np.testing.assert_allclose(got, want, rtol=1e-9)
+
+
+def test_group_totals_take_either_plan(df, hot):
+    rows = df.withColumn("key", F.when(F.col("id") % 7 != 0, F.col("key")))
+    totals = {"s": F.sum("value"), "n": F.count(F.lit(1)), "newest": F.max_by("value", F.struct("day", "id"))}
+    same(skew.with_group_totals(rows, ["key"], totals, hot), skew.with_group_totals(rows, ["key"], totals))
