@@ -16,6 +16,7 @@ from formbook.functions.odds import edge, ev_side, grade, novig_edge, profit, sa
 from formbook.operators.grading import summary_columns
 from formbook.operators.quality import GateFailed
 from formbook.operators.skew import DEFAULT_RULE, SplitRule, join_back, row_numbers
+from formbook.operators.windows import first_per_key
 
 # --- splits ---------------------------------------------------------------------
 
@@ -213,16 +214,28 @@ def apply_policies(df: DataFrame, policies: Sequence[Policy], row_id: Sequence[s
     Both sides' scores are made once per row, then the declared policies are laid over it.
     OVER wins an exact tie of score, true EV and probability edge.
     """
+    scored = side_scores(df)
+    plain = _lay_over(scored, [p for p in policies if not p.line_shop], df.columns)
+    shops = [p for p in policies if p.line_shop]
+    if not shops:
+        return plain
+    best_first = [F.desc(c) for c in ("true_ev", "score", "novig_edge", *row_id)]
+    shopped = first_per_key(_lay_over(scored, shops, df.columns), ["policy", *cluster], best_first)
+    return plain.unionByName(shopped)
+
+
+def _lay_over(scored: DataFrame, policies: Sequence[Policy], keep: Sequence[str]) -> DataFrame:
+    """Rows each policy bets, with the chosen side's scores and price."""
     table = F.array(
         *[
             F.struct(
                 F.lit(p.name).alias("policy"), F.lit(p.family).alias("family"), F.lit(float(p.min_score)).alias("min_score"),
-                F.lit(float(p.min_novig)).alias("min_novig"), F.lit(p.line_shop).alias("line_shop"),
+                F.lit(float(p.min_novig)).alias("min_novig"),
             )
             for p in policies
         ]
     )
-    spread = side_scores(df).select("*", F.inline(table))
+    spread = scored.select("*", F.inline(table))
 
     def score(side: str) -> Column:
         return F.when(F.col("family") == "probability_edge", F.col(f"prob_edge_{side}")).otherwise(F.col(f"true_ev_{side}"))
@@ -237,25 +250,15 @@ def apply_policies(df: DataFrame, policies: Sequence[Policy], row_id: Sequence[s
         return F.struct(*[F.col(f"{m}_{side}").alias(m) for m in ("score", "true_ev", "prob_edge")])
 
     over = usable("over") & (~usable("under") | (rank("over") >= rank("under")))
-    bet = F.when(over, F.lit("OVER")).when(usable("under"), F.lit("UNDER"))
-    marked = spread.withColumn("bet", bet).where("bet is not null")
+    marked = spread.withColumn("bet", F.when(over, F.lit("OVER")).when(usable("under"), F.lit("UNDER"))).where("bet is not null")
 
-    def chosen_side(measure: str) -> Column:
+    def chosen(measure: str) -> Column:
         return F.when(F.col("bet") == "OVER", F.col(f"{measure}_over")).otherwise(F.col(f"{measure}_under"))
 
-    chosen = marked.select(
-        *df.columns, "policy", "line_shop", "bet",
-        *[chosen_side(m).alias(m) for m in ("true_ev", "prob_edge", "novig_edge", "score")],
-        chosen_side("odds").cast("double").alias("bet_odds"),
+    return marked.select(
+        *keep, "policy", "bet", *[chosen(m).alias(m) for m in ("true_ev", "prob_edge", "novig_edge", "score")],
+        chosen("odds").cast("double").alias("bet_odds"),
     )
-    rest = [c for c in chosen.columns if c not in (*cluster, "policy")]
-    shopped = (
-        chosen.where(F.col("line_shop"))
-        .groupBy("policy", *cluster)
-        .agg(F.max_by(F.struct(*rest), F.struct("true_ev", "score", "novig_edge", *[F.col(c) for c in row_id])).alias("__b"))
-        .select("policy", *cluster, "__b.*")
-    )
-    return chosen.where(~F.col("line_shop")).unionByName(shopped).drop("line_shop")
 
 
 def grade_choices(chosen: DataFrame) -> DataFrame:
