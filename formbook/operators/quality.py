@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -119,7 +118,3 @@ def schema_surprises(df: DataFrame, expected: T.StructType) -> dict[str, list[st
         "extra": sorted(set(have) - set(want)),
         "retyped": sorted(n for n in set(have) & set(want) if have[n] != want[n]),
     }
-
-
-def any_of(conditions: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

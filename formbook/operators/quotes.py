@@ -11,9 +11,9 @@ from formbook.functions.odds import devig_decimal, nearest_half
 from formbook.operators.skew import DEFAULT_RULE, SplitRule, exact_percentiles, join_back, with_group_totals
 
 
-def earliest_snapshot(df: DataFrame, event: Sequence[str], ts: str) -> DataFrame:
+def earliest_snapshot(df: DataFrame, event: Sequence[str], ts: str, rule: SplitRule = DEFAULT_RULE) -> DataFrame:
     """Rows taken at each event's first snapshot time."""
-    return with_group_totals(df, event, {"__first": F.min(ts)}).where(F.col(ts) == F.col("__first")).drop("__first")
+    return with_group_totals(df, event, {"__first": F.min(ts)}, rule).where(F.col(ts) == F.col("__first")).drop("__first")
 
 
 def drop_exact_duplicates(df: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -34,10 +34,10 @@ def duplicate_census(df: DataFrame, key: Sequence[str], price: str) -> DataFrame
     )
 
 
-def exclude_conflicts(df: DataFrame, key: Sequence[str], price: str) -> DataFrame:
+def exclude_conflicts(df: DataFrame, key: Sequence[str], price: str, rule: SplitRule = DEFAULT_RULE) -> DataFrame:
     """Drop every key that carries more than one price."""
     bad = df.groupBy(*key).agg(F.min(price).alias("__lo"), F.max(price).alias("__hi")).where("__lo <> __hi").select(*key)
-    return join_back(df, bad, key, "left_anti")
+    return join_back(df, bad, key, "left_anti", rule)
 
 
 def pair_sides(
@@ -89,12 +89,12 @@ def paired(df: DataFrame, *args, **kwargs) -> DataFrame:
     )
 
 
-def devig_group(df: DataFrame, group: Sequence[str], price: str) -> DataFrame:
+def devig_group(df: DataFrame, group: Sequence[str], price: str, rule: SplitRule = DEFAULT_RULE) -> DataFrame:
     """Fair probability within a group of exactly two priced outcomes, NULL otherwise."""
     raw = F.when(F.col(price) > 0, 1.0 / F.col(price))
     totals = {"__n": F.count(F.lit(1)), "__priced": F.count(raw), "__t": F.sum(raw)}
     clean = (F.col("__n") == 2) & (F.col("__priced") == 2)
-    return with_group_totals(df, group, totals).withColumn("p_devig", F.when(clean, raw / F.col("__t"))).drop("__n", "__priced", "__t")
+    return with_group_totals(df, group, totals, rule).withColumn("p_devig", F.when(clean, raw / F.col("__t"))).drop("__n", "__priced", "__t")
 
 
 def consensus_prob(df: DataFrame, key: Sequence[str], book: str) -> DataFrame:
@@ -171,18 +171,18 @@ def dispersion(df: DataFrame, key: Sequence[str], line: str, prob: str, overroun
     """Spread of lines over all books, and price spread at the modal line."""
     whole = df.groupBy(*key).agg(F.count_distinct(book).alias("n_books"), F.stddev_pop(line).alias("line_dispersion"))
     modal = modal_line(df, key, line).drop("n_at_modal")
-    at = join_back(df, modal, key).where(F.col(line) == F.col("modal_line"))
+    at = join_back(df, modal, key, rule=rule).where(F.col(line) == F.col("modal_line"))
     spread = at.groupBy(*key).agg(F.stddev_pop(prob).alias("prob_dispersion"))
     mid = exact_percentiles(at, key, overround, {"overround_median": 0.5}, rule)
     return whole.join(modal, list(key), "left").join(spread, list(key), "left").join(mid, list(key), "left")
 
 
-def leave_one_out(df: DataFrame, group: Sequence[str], value: str, name: str) -> DataFrame:
+def leave_one_out(df: DataFrame, group: Sequence[str], value: str, name: str, rule: SplitRule = DEFAULT_RULE) -> DataFrame:
     """Mean of the other rows of the group, NULL when there is none."""
     totals = {"__s": F.sum(value), "__c": F.count(value)}
     others = F.col("__c") - F.when(F.col(value).isNotNull(), 1).otherwise(0)
     rest = F.col("__s") - F.coalesce(F.col(value), F.lit(0.0))
-    return with_group_totals(df, group, totals).withColumn(name, F.when(others > 0, rest / others)).drop("__s", "__c")
+    return with_group_totals(df, group, totals, rule).withColumn(name, F.when(others > 0, rest / others)).drop("__s", "__c")
 
 
 def two_level_median(df: DataFrame, inner: Sequence[str], outer: Sequence[str], value: str, name: str, rule: SplitRule = DEFAULT_RULE) -> DataFrame:
@@ -191,13 +191,13 @@ def two_level_median(df: DataFrame, inner: Sequence[str], outer: Sequence[str],
     return exact_percentiles(sums, outer, "__sum", {name: 0.5}, rule)
 
 
-def group_context(df: DataFrame, key: Sequence[str], line: str, book: str) -> DataFrame:
+def group_context(df: DataFrame, key: Sequence[str], line: str, book: str, rule: SplitRule = DEFAULT_RULE) -> DataFrame:
     """Books, line spread and modal flag of its group on every quote."""
     stats = df.groupBy(*key).agg(
         F.count_distinct(book).alias("n_books"), (F.max(line) - F.min(line)).alias("line_spread")
     )
     facts = stats.join(modal_line(df, key, line).drop("n_at_modal"), list(key))
-    return join_back(df, facts, key).withColumn("off_modal", (F.col(line) != F.col("modal_line")).cast("int"))
+    return join_back(df, facts, key, rule=rule).withColumn("off_modal", (F.col(line) != F.col("modal_line")).cast("int"))
 
 
 def market_state(df: DataFrame, event: Sequence[str], market: str, label: str, home: str, prob: str, point: str, rule: SplitRule = DEFAULT_RULE) -> DataFrame:
@@ -216,10 +216,3 @@ def drop_drifted_events(df: DataFrame, event: Sequence[str], requested: str, com
     """Drop every event with a snapshot closer to the start than the limit."""
     late = df.where(F.col(commence) - F.col(requested) < F.expr(f"INTERVAL '{minutes}' MINUTE")).select(*event).distinct()
     return join_back(df, late, event, "left_anti")
-
-
-def duplicate_free(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """One row per key, the smallest by ``order`` (a decomposable struct minimum)."""
-    rest = [c for c in df.columns if c not in key]
-    best = df.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__b"))
-    return best.select(*key, "__b.*")

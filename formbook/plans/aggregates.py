@@ -10,7 +10,7 @@ from formbook.operators import quality as ql
 from formbook.operators import quotes as qt
 from formbook.operators import stats as st
 from formbook.operators.joins import next_row
-from formbook.plans.frames import BET_ID, BETS, FORM, PAIRS, SNAPSHOTS, bets, form, quotes, snapshots, table, with_sql
+from formbook.plans.frames import BETS, FORM, PAIRS, SNAPSHOTS, bets, form, quotes, snapshots, table, with_sql
 from formbook.plans.projections import SHOTS, rolled, rolled_sql, shots_frame
 from formbook.plans.quotes import pairs
 from formbook.plans.registry import query

@@ -93,25 +93,29 @@ _BINS = """tc AS (SELECT CAST(least(floor((p_partkey % 60) / 15), 3) AS INTEGER)
 @query(
     "m15_mixture_price",
     with_sql(NIGHTS, _K, _BINS, f"m AS (SELECT entity_id, line, k, weight * {safe_mass('(mu * midpoint / 60 * q)', 'alpha', 'k')} AS mass FROM nights CROSS JOIN bins CROSS JOIN k WHERE k <= line)")
-    + """, e AS (SELECT entity_id, sum(weight * mu * midpoint / 60) AS mean_shots FROM nights CROSS JOIN bins GROUP BY 1),
+    + f""", e AS (SELECT entity_id, line, alpha, q, sum(weight * mu * midpoint / 60) AS mean_shots FROM nights CROSS JOIN bins GROUP BY ALL),
+    o AS (SELECT entity_id, mean_shots, 1 - sum({safe_mass('(mean_shots * q)', 'alpha', 'k')}) AS p_over_single FROM e CROSS JOIN k WHERE k <= line GROUP BY ALL),
     p AS (SELECT entity_id, coalesce(sum(mass) FILTER (k < line), 0) AS p_under, coalesce(sum(mass) FILTER (k = line), 0) AS p_push FROM m GROUP BY 1)
-    SELECT entity_id, 1 - p_under - p_push AS p_over, p_under, p_push, mean_shots FROM p JOIN e USING (entity_id)""",
+    SELECT entity_id, 1 - p_under - p_push AS p_over, p_under, p_push, mean_shots, p_over_single FROM p JOIN o USING (entity_id)""",
 )
 def m15(spark, d):
-    return mixture_price(nights(spark, d), toi_bins(spark, d)).select("entity_id", "p_over", "p_under", "p_push", "mean_shots")
+    return mixture_price(nights(spark, d), toi_bins(spark, d)).select("entity_id", "p_over", "p_under", "p_push", "mean_shots", "p_over_single")
 
 
 def mixture_price(rows, bins, key="entity_id"):
-    """Weighted price over exposure bins, and the mean shots a single distribution would need."""
+    """Weighted price over exposure bins, beside a single distribution with the same mean shots."""
     grid = bins.agg(F.collect_list(F.struct("weight", "midpoint"))).scalar()  # the declared exposure bins
     spread = rows.withColumn("__grid", grid).select("*", F.inline("__grid")).drop("__grid")
     mean = F.col("mu") * F.col("midpoint") / 60.0
     p = ds.price_count_line(mean, F.col("alpha"), F.col("q"), F.col("line"))
     priced = spread.withColumns({"p": p, "mean": mean})
-    return priced.groupBy(key).agg(
+    out = priced.groupBy(key).agg(
         F.sum(F.col("weight") * F.col("p.p_over")).alias("p_over"), F.sum(F.col("weight") * F.col("p.p_under")).alias("p_under"),
         F.sum(F.col("weight") * F.col("p.p_push")).alias("p_push"), F.sum(F.col("weight") * F.col("mean")).alias("mean_shots"),
+        *[F.max(c).alias(f"__{c}") for c in ("alpha", "q", "line")],
     )
+    single = ds.price_count_line(F.col("mean_shots"), F.col("__alpha"), F.col("__q"), F.col("__line"))
+    return out.withColumn("p_over_single", single["p_over"]).drop("__alpha", "__q", "__line")
 
 
 @query(

@@ -227,10 +227,10 @@ UNRELIABLE_BOOKS = ("prizepicks", "manual", "unknown")
 
 @query(
     "p18_unusable_quote_filter",
-    """SELECT event_type, count(*) AS n_rows FROM events WHERE event_type NOT IN ('error', 'unknown') AND NOT regexp_matches(props, '"k": 1[0-9]}') GROUP BY 1""",
+    """SELECT event_type, count(*) AS n_rows FROM events WHERE event_type NOT IN ('prizepicks', 'manual', 'unknown', 'error') AND NOT regexp_matches(props, '"k": 1[0-9]}') GROUP BY 1""",
 )
 def p18(spark, d):
-    e = table(spark, d, "events").where(~F.col("event_type").isin("error", "unknown") & ~F.col("props").rlike('"k": 1[0-9]}'))
+    e = table(spark, d, "events").where(~F.col("event_type").isin(*UNRELIABLE_BOOKS, "error") & ~F.col("props").rlike('"k": 1[0-9]}'))
     return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_rows"))
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from formbook.operators import quotes as qt
-from formbook.plans.frames import BETS, PAIRS, QUOTE_POSITION, QUOTES, bets, quotes, table, with_sql
+from formbook.operators.skew import EVEN
+from formbook.plans.frames import PAIRS, QUOTE_POSITION, QUOTES, quotes, table, with_sql
 from formbook.plans.registry import query
 
 KEY = ["event_id", "book", "line"]
@@ -115,7 +116,7 @@ def a6(spark, d):
     + "SELECT event_id, line, avg(p_over) AS mean_p_over, count(DISTINCT book) AS n_books, quantile_cont(p_over, 0.5) AS median_p_over FROM pairs GROUP BY ALL",
 )
 def a7(spark, d):
-    return qt.devig_consensus(pairs(spark, d), ["event_id", "line"], "p_over", "book")
+    return qt.devig_consensus(pairs(spark, d), ["event_id", "line"], "p_over", "book", EVEN)
 
 
 @query(
@@ -206,7 +207,7 @@ def a11(spark, d):
 )
 def a12(spark, d):
     p = pairs(spark, d).withColumn("x", F.when(F.col("book") != 3, F.col("p_over")))
-    return qt.leave_one_out(p, ["event_id", "line"], "x", "peer_mean").select("event_id", "line", "book", "peer_mean")
+    return qt.leave_one_out(p, ["event_id", "line"], "x", "peer_mean", EVEN).select("event_id", "line", "book", "peer_mean")
 
 
 @query(
@@ -239,7 +240,8 @@ def flagship(spark, d):
     from formbook.functions.odds import grade
     from formbook.operators.grading import bet_breakdown
 
-    p = qt.leave_one_out(pairs(spark, d), ["event_id", "line"], "p_over", "fair_over").where("fair_over is not null")
+    # pairs are unique per (event, book, line), so a group holds at most one row per book
+    p = qt.leave_one_out(pairs(spark, d), ["event_id", "line"], "p_over", "fair_over", EVEN).where("fair_over is not null")
     ev_o, ev_u = F.col("fair_over") * F.col("price_over") - 1, (1 - F.col("fair_over")) * F.col("price_under") - 1
     p = p.withColumn("bet", F.when((ev_o >= 0) & (ev_o > ev_u), F.lit("OVER")).when(ev_u >= 0, F.lit("UNDER"))).where("bet is not null")
     outcomes = table(spark, d, "part").select(F.col("p_partkey").alias("event_id"), (F.col("p_size") % 5).cast("double").alias("actual"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from formbook.functions import odds as O
 from formbook.functions import text as X
-from formbook.plans.frames import BETS, bets, decimal_sql, micros, prob_sql, table, with_sql
+from formbook.plans.frames import BETS, bets, decimal_sql, prob_sql, table, with_sql
 from formbook.plans.registry import query
 
 KEYS = ["game_id", "seq", "entity_id", "venue"]

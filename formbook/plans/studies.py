@@ -310,12 +310,13 @@ def b14(spark, d):
 @query(
     "b15_agree_arms",
     with_sql(BETS)
-    + f""", c AS (SELECT entity_id, avg(p_over) AS consensus FROM bets GROUP BY 1), a AS (SELECT CASE WHEN (side = 'OVER') = (consensus >= 0.5) THEN 'agree' ELSE 'disagree' END AS arm, profit, stake, result FROM bets JOIN c USING (entity_id))
+    + f""", c AS (SELECT entity_id, round(avg(p_over), 9) AS consensus FROM bets GROUP BY 1), a AS (SELECT CASE WHEN (side = 'OVER') = (consensus >= 0.5) THEN 'agree' ELSE 'disagree' END AS arm, profit, stake, result FROM bets JOIN c USING (entity_id))
     SELECT arm, count(*) AS n_bets, sum(profit) / sum(stake) AS roi, avg(CAST(result = 'WIN' AS DOUBLE)) FILTER (result <> 'PUSH') AS hit_rate FROM a GROUP BY 1""",
 )
 def b15(spark, d):
     b = bets(spark, d)
-    consensus = b.groupBy("entity_id").agg(F.avg("p_over").alias("consensus"))
+    # rounded, so that a mean of exactly one half does not depend on the order of summing
+    consensus = b.groupBy("entity_id").agg(F.round(F.avg("p_over"), 9).alias("consensus"))
     arm = F.when((F.col("side") == "OVER") == (F.col("consensus") >= 0.5), F.lit("agree")).otherwise(F.lit("disagree"))
     won = F.when(F.col("result") != "PUSH", (F.col("result") == "WIN").cast("double"))
     return b.join(consensus, "entity_id").groupBy(arm.alias("arm")).agg(

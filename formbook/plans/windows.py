@@ -8,6 +8,7 @@ from formbook.operators import windows as wn
 from formbook.operators.grading import recent_performance
 from formbook.operators.joins import both_sides
 from formbook.operators.quotes import earliest_snapshot, group_context, paired
+from formbook.operators.skew import EVEN
 from formbook.plans.frames import BETS, FORM, PAIRS, QUOTE_POSITION, SNAPSHOTS, bets, form, quotes, snapshots, table, with_sql
 from formbook.plans.projections import SHOTS, shots_frame
 from formbook.plans.registry import query
@@ -272,7 +273,8 @@ def w16(spark, d):
     SELECT event_id, book, line, p_clipped, CAST(p_over > p_clipped AS INTEGER) AS was_clipped FROM c""",
 )
 def w17(spark, d):
-    out = wn.forward_min_clip(pairs(spark, d), ["event_id", "book"], ["line"], "p_over", "p_clipped")
+    # one row per rung: a ladder holds no more rows than there are distinct lines
+    out = wn.forward_min_clip(pairs(spark, d), ["event_id", "book"], ["line"], "p_over", "p_clipped", EVEN)
     return out.select("event_id", "book", "line", "p_clipped", "was_clipped")
 
 
