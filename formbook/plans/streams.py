@@ -54,7 +54,7 @@ def t2(spark, d):
 def t3(spark, d):
     key = ["game_date", "entity_id", "book"]
     work = work_folder(spark, "t3")
-    state = sn.line_state(landed(spark, d), key, "fetched_at", "id", "start_at", "line")
+    state = sn.line_state(landed(spark, d), key, "fetched_at", "id", "start_at", "line", day="game_date")
     sn.run_to_end(state, work, sn.batch_log(f"{work}/log"), mode="update")
     return sn.fold_log(spark, f"{work}/log", key, ["current_ts"]).select(*key, "current_line", "closing_line", "n_snapshots")
 
@@ -67,7 +67,7 @@ def t4(spark, d):
     key = ["game_date", "entity_id", "book"]
     work = work_folder(spark, "t4")
     rows = landed(spark, d).select(*key, "id", "line")
-    sn.run_to_end(rows, work, sn.insert_if_absent(spark, f"{work}/table", key, ["id"]))
+    sn.run_to_end(rows, work, sn.insert_if_absent(f"{work}/table", key, ["id"]))
     return sn.read_log(spark, f"{work}/table")
 
 

@@ -1,6 +1,6 @@
 """The snapshot log as Structured Streaming jobs.
 
-State is bounded by the watermark; keyed results go to a log folder with one directory
+State is released by watermarks; keyed results go to a log folder with one directory
 per micro-batch, written with overwrite, so a replayed batch replaces itself.
 """
 
@@ -74,11 +74,21 @@ def firewall(path: str, ts: str, start: str) -> Callable[[DataFrame, int], None]
     return write
 
 
-def line_state(stream: DataFrame, key: Sequence[str], ts: str, tie: str, start: str, line: str) -> DataFrame:
-    """Current and closing line per key; the start is the newest one seen, so a moved start counts."""
+def line_state(
+    stream: DataFrame, key: Sequence[str], ts: str, tie: str, start: str, line: str, day: str | None = None, keep: str = "7 days"
+) -> DataFrame:
+    """Current and closing line per key; the start is the newest one seen, so a moved start counts.
+
+    ``day`` names a date column of the key: state of days older than ``keep`` behind the
+    newest day is released.  Without it every key is remembered for good.
+    """
+    groups = list(key)
+    if day is not None:
+        stream = stream.withColumn("__day", F.col(day).cast("timestamp")).withWatermark("__day", keep)
+        groups.append("__day")
     newest = F.struct(ts, tie)
     rows = F.struct(ts, tie, line)
-    return stream.groupBy(*key).agg(
+    return stream.groupBy(*groups).agg(
         F.max_by(line, newest).alias("current_line"),
         F.max(ts).alias("current_ts"),
         F.max_by(start, newest).alias("scheduled_start"),
@@ -89,7 +99,7 @@ def line_state(stream: DataFrame, key: Sequence[str], ts: str, tie: str, start:
     )
 
 
-def insert_if_absent(spark: SparkSession, path: str, key: Sequence[str], position: Sequence[str]) -> Callable[[DataFrame, int], None]:
+def insert_if_absent(path: str, key: Sequence[str], position: Sequence[str]) -> Callable[[DataFrame, int], None]:
     """Sink: append rows whose key no earlier batch holds.
 
     The comparison reads only batches before this one, so replaying a batch gives the same

@@ -154,6 +154,24 @@ def test_line_state_follows_a_moved_start_across_batches(spark, tmp_path):
     assert go() == {"a": (27.5, 26.5, 4)}
 
 
+def test_state_of_old_days_is_released(spark, tmp_path):
+    folder, work = str(tmp_path / "in"), str(tmp_path / "work")
+    schema = spark.createDataFrame([], LOG).schema
+
+    def go():
+        stream = sn.landing_stream(spark, folder, schema, max_files=1).withColumn("day", F.to_date("at"))
+        state = sn.line_state(stream, ["day", "k"], "at", "id", "start", "line", day="day", keep="2 days")
+        sn.run_to_end(state, work, sn.batch_log(f"{work}/log"), mode="update")
+        return {(r["day"].day, r["n_snapshots"]) for r in sn.fold_log(spark, f"{work}/log", ["day", "k"], ["current_ts"]).collect()}
+
+    land(spark, folder, [(1, t(9), t(12), "a", 24.5)])
+    go()
+    land(spark, folder, [(2, dt.datetime(2024, 1, 9, 9), t(12), "a", 24.5)])
+    go()
+    land(spark, folder, [(3, t(10), t(12), "a", 24.5), (4, dt.datetime(2024, 1, 9, 10), t(12), "a", 24.5)])
+    assert go() == {(1, 1), (9, 2)}  # the late row of a released day is not counted
+
+
 def test_repeats_are_dropped_and_the_firewall_splits(spark, tmp_path):
     folder, work = str(tmp_path / "in"), str(tmp_path / "work")
     schema = spark.createDataFrame([], LOG).schema
@@ -166,7 +184,7 @@ def test_repeats_are_dropped_and_the_firewall_splits(spark, tmp_path):
 
 def test_insert_sink_is_idempotent(spark, tmp_path):
     path = str(tmp_path / "table")
-    sink = sn.insert_if_absent(spark, path, ["k"], ["id"])
+    sink = sn.insert_if_absent(path, ["k"], ["id"])
     first = spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "id long, k string")
     second = spark.createDataFrame([(4, "a"), (5, "b"), (6, None)], "id long, k string")
     sink(first, 0), sink(second, 1), sink(second, 1), sink(first, 0)  # replays
