@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formbook.functions.odds import devig_decimal, nearest_half
-from formbook.operators.skew import DEFAULT_RULE, SplitRule, exact_percentiles, join_back, with_group_totals
+from formbook.operators.skew import DEFAULT_RULE, SplitRule, exact_percentiles, join_back, summarise, with_group_totals
 
 
 def earliest_snapshot(df: DataFrame, event: Sequence[str], ts: str, rule: SplitRule = DEFAULT_RULE) -> DataFrame:
@@ -129,14 +129,14 @@ def consensus_line(df: DataFrame, entity: Sequence[str], all_books: Sequence[str
 
 def devig_consensus(df: DataFrame, key: Sequence[str], prob: str, book: str, rule: SplitRule = DEFAULT_RULE) -> DataFrame:
     """Mean and median fair probability with the number of books."""
-    means = df.groupBy(*key).agg(F.avg(prob).alias("mean_p_over"), F.count_distinct(book).alias("n_books"))
-    return means.join(exact_percentiles(df, key, prob, {"median_p_over": 0.5}, rule), list(key))
+    extra = {"mean_p_over": F.avg(prob), "n_books": F.count_distinct(book)}
+    return summarise(df, key, prob, {"median_p_over": 0.5}, extra, rule)
 
 
 def book_median_line(df: DataFrame, key: Sequence[str], line: str, book: str, rule: SplitRule = DEFAULT_RULE) -> DataFrame:
     """Median line over books with the sorted list of those books (a set of book names)."""
-    books = df.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_set(F.col(book).cast("string"))), ",").alias("books"))
-    return books.join(exact_percentiles(df, key, line, {"median_line": 0.5}, rule), list(key))
+    books = F.array_join(F.array_sort(F.collect_set(F.col(book).cast("string"))), ",")
+    return summarise(df, key, line, {"median_line": 0.5}, {"books": books}, rule)
 
 
 def deviation_census(df: DataFrame, by: Sequence[str], line: str, consensus: str) -> DataFrame:
@@ -172,9 +172,8 @@ def dispersion(df: DataFrame, key: Sequence[str], line: str, prob: str, overroun
     whole = df.groupBy(*key).agg(F.count_distinct(book).alias("n_books"), F.stddev_pop(line).alias("line_dispersion"))
     modal = modal_line(df, key, line).drop("n_at_modal")
     at = join_back(df, modal, key, rule=rule).where(F.col(line) == F.col("modal_line"))
-    spread = at.groupBy(*key).agg(F.stddev_pop(prob).alias("prob_dispersion"))
-    mid = exact_percentiles(at, key, overround, {"overround_median": 0.5}, rule)
-    return whole.join(modal, list(key), "left").join(spread, list(key), "left").join(mid, list(key), "left")
+    spread = summarise(at, key, overround, {"overround_median": 0.5}, {"prob_dispersion": F.stddev_pop(prob)}, rule)
+    return whole.join(modal, list(key), "left").join(spread, list(key), "left")
 
 
 def leave_one_out(df: DataFrame, group: Sequence[str], value: str, name: str, rule: SplitRule = DEFAULT_RULE) -> DataFrame:
@@ -207,9 +206,8 @@ def market_state(df: DataFrame, event: Sequence[str], market: str, label: str, h
     a = h2h.groupBy(*event).agg(
         F.avg(prob).alias("home_prob_mean"), F.stddev_pop(prob).alias("home_prob_std"), F.count(prob).alias("home_prob_n")
     )
-    b = totals.groupBy(*event).agg(F.stddev_pop(point).alias("total_std"), F.count(point).alias("total_n"))
-    mid = exact_percentiles(totals, event, point, {"total_median": 0.5}, rule)
-    return a.join(b.join(mid, list(event), "left"), list(event), "full")
+    b = summarise(totals, event, point, {"total_median": 0.5}, {"total_std": F.stddev_pop(point), "total_n": F.count(point)}, rule)
+    return a.join(b, list(event), "full")
 
 
 def drop_drifted_events(df: DataFrame, event: Sequence[str], requested: str, commence: str, minutes: int = 10) -> DataFrame:

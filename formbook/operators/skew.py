@@ -314,3 +314,25 @@ def exact_percentiles(
             ).alias(name)
         )
     return ranked.groupBy(*by, "__total").agg(*parts).select(*by, *final)
+
+
+def summarise(
+    df: DataFrame,
+    by: Sequence[str],
+    value: str,
+    probs: dict[str, float],
+    extra: dict[str, Column],
+    rule: SplitRule = DEFAULT_RULE,
+) -> DataFrame:
+    """Exact percentiles of a value beside other aggregates of the same groups.
+
+    A plan small enough by estimate is one aggregation with percentile buffers; beyond that
+    the percentiles go through counts per value and are joined on.  Rows with a NULL key
+    are left out.
+    """
+    rows = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in by]))
+    others = [e.alias(n) for n, e in extra.items()]
+    if small_enough(df, rule.check_bytes):
+        mids = [F.percentile(F.col(value).cast("double"), p).alias(n) for n, p in probs.items()]
+        return rows.groupBy(*by).agg(*others, *mids)
+    return rows.groupBy(*by).agg(*others).join(exact_percentiles(df, by, value, probs, rule), list(by), "left")

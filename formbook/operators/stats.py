@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formbook.functions.odds import safe_div
-from formbook.operators.skew import DEFAULT_RULE, Running, SplitRule, exact_percentiles, join_back, running
+from formbook.operators.skew import DEFAULT_RULE, Running, SplitRule, exact_percentiles, join_back, running, summarise
 
 
 def beside(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -18,6 +18,12 @@ def beside(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
     return a.withColumn("__one", F.lit(1)).join(b.withColumn("__one", F.lit(1)), "__one").drop("__one")
 
 
+def _with_percentiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], extra: dict[str, Column], rule: SplitRule) -> DataFrame:
+    if by:
+        return summarise(df, by, value, probs, extra, rule)
+    return beside(df.agg(*[e.alias(n) for n, e in extra.items()]), exact_percentiles(df, by, value, probs, rule), by)
+
+
 def clipped(p: Column, eps: float = 1e-15) -> Column:
     return F.least(F.greatest(p, F.lit(eps)), F.lit(1 - eps))
 
@@ -138,12 +144,8 @@ def tail_calibration(df: DataFrame, cdf: dict[int, Column], y: str, keep: Column
 
 
 def numeric_profile(df: DataFrame, by: Sequence[str], value: str, rule: SplitRule = DEFAULT_RULE) -> DataFrame:
-    stats = df.groupBy(*by).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
-        F.min(value).alias("low"), F.max(value).alias("high"),
-    )
-    mids = exact_percentiles(df, by, value, {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}, rule)
-    return beside(stats, mids, by)
+    stats = {"n": F.count(value), "mean": F.avg(value), "std": F.stddev_samp(value), "low": F.min(value), "high": F.max(value)}
+    return _with_percentiles(df, by, value, {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}, stats, rule)
 
 
 def bucket_summary(df: DataFrame, value: str, y: str, edges: Sequence[float]) -> DataFrame:
@@ -225,11 +227,8 @@ def null_rates(df: DataFrame, by: Sequence[Column], columns: Sequence[str]) -> D
 
 
 def gap_stats(df: DataFrame, by: Sequence[str], gap: str, limits: Sequence[float], rule: SplitRule = DEFAULT_RULE) -> DataFrame:
-    counts = df.groupBy(*by).agg(
-        F.count(gap).alias("n"), F.max(gap).alias("max_gap"), *[F.count_if(F.col(gap) > x).alias(f"over_{x:g}") for x in limits]
-    )
-    mids = exact_percentiles(df, by, gap, {"median_gap": 0.5, "p95_gap": 0.95}, rule)
-    return beside(counts, mids, by)
+    counts = {"n": F.count(gap), "max_gap": F.max(gap)} | {f"over_{x:g}": F.count_if(F.col(gap) > x) for x in limits}
+    return _with_percentiles(df, by, gap, {"median_gap": 0.5, "p95_gap": 0.95}, counts, rule)
 
 
 def funnel(df: DataFrame, steps: Sequence[tuple[str, Column]], kept: str = "kept") -> DataFrame:

@@ -137,13 +137,11 @@ def a18(spark, d):
     SELECT book, count(DISTINCT l_partkey) AS n_events, count(*) AS n_nights, avg(rungs) AS mean_rungs, max(rungs) AS max_rungs, quantile_cont(rungs, 0.95) AS p95_rungs FROM r GROUP BY 1""",
 )
 def a19(spark, d):
-    from formbook.operators.skew import exact_percentiles
+    from formbook.operators.skew import summarise
 
     r = table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 4).alias("book"), "l_partkey", "l_shipdate").agg(F.count(F.lit(1)).alias("rungs"))
-    base = r.groupBy("book").agg(
-        F.count_distinct("l_partkey").alias("n_events"), F.count(F.lit(1)).alias("n_nights"), F.avg("rungs").alias("mean_rungs"), F.max("rungs").alias("max_rungs")
-    )
-    return base.join(exact_percentiles(r, ["book"], "rungs", {"p95_rungs": 0.95}), "book")
+    extra = {"n_events": F.count_distinct("l_partkey"), "n_nights": F.count(F.lit(1)), "mean_rungs": F.avg("rungs"), "max_rungs": F.max("rungs")}
+    return summarise(r, ["book"], "rungs", {"p95_rungs": 0.95}, extra)
 
 
 @query(

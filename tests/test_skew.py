@@ -181,3 +181,9 @@ def test_group_totals_take_either_plan(df, hot):
     rows = df.withColumn("key", F.when(F.col("id") % 7 != 0, F.col("key")))
     totals = {"s": F.sum("value"), "n": F.count(F.lit(1)), "newest": F.max_by("value", F.struct("day", "id"))}
     same(skew.with_group_totals(rows, ["key"], totals, hot), skew.with_group_totals(rows, ["key"], totals))
+
+
+def test_summaries_take_either_plan(df, hot):
+    extra = {"n": F.count(F.lit(1)), "mean": F.avg("value")}
+    probs = {"p10": 0.1, "p50": 0.5}
+    same(skew.summarise(df, ["key"], "value", probs, extra, hot), skew.summarise(df, ["key"], "value", probs, extra), "key")
