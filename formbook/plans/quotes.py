@@ -224,7 +224,7 @@ def a13(spark, d):
     with_sql(PAIRS)
     + """, loo AS (SELECT *, sum(p_over) OVER w AS s, count(p_over) OVER w AS c FROM pairs WINDOW w AS (PARTITION BY event_id, line)),
     priced AS (SELECT event_id, book, line, price_over, price_under, (s - p_over) / (c - 1) AS fair_over FROM loo WHERE c > 1),
-    bet AS (SELECT *, fair_over * price_over - 1 AS ev_over, (1 - fair_over) * price_under - 1 AS ev_under FROM priced),
+    bet AS (SELECT *, round(fair_over * price_over - 1, 9) AS ev_over, round((1 - fair_over) * price_under - 1, 9) AS ev_under FROM priced),
     chosen AS (SELECT *, CASE WHEN ev_over >= 0 AND ev_over > ev_under THEN 'OVER' WHEN ev_under >= 0 THEN 'UNDER' END AS bet FROM bet),
     p AS (SELECT p_partkey AS event_id, CAST(p_size % 5 AS DOUBLE) AS actual FROM part),
     g AS (SELECT *, CASE WHEN actual = line THEN 'PUSH' WHEN (bet = 'OVER') = (actual > line) THEN 'WIN' ELSE 'LOSS' END AS result FROM chosen JOIN p USING (event_id) WHERE bet IS NOT NULL),
@@ -242,7 +242,8 @@ def flagship(spark, d):
 
     # pairs are unique per (event, book, line), so a group holds at most one row per book
     p = qt.leave_one_out(pairs(spark, d), ["event_id", "line"], "p_over", "fair_over", EVEN).where("fair_over is not null")
-    ev_o, ev_u = F.col("fair_over") * F.col("price_over") - 1, (1 - F.col("fair_over")) * F.col("price_under") - 1
+    # rounded, so that a fair price is worth exactly zero whatever the order of summing
+    ev_o, ev_u = F.round(F.col("fair_over") * F.col("price_over") - 1, 9), F.round((1 - F.col("fair_over")) * F.col("price_under") - 1, 9)
     p = p.withColumn("bet", F.when((ev_o >= 0) & (ev_o > ev_u), F.lit("OVER")).when(ev_u >= 0, F.lit("UNDER"))).where("bet is not null")
     outcomes = table(spark, d, "part").select(F.col("p_partkey").alias("event_id"), (F.col("p_size") % 5).cast("double").alias("actual"))
     held = F.when(F.col("bet") == "OVER", F.col("price_over")).otherwise(F.col("price_under"))
