@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from formbook.session import checkpointed
 
-EXACT = float(2**52)  # sums of products below this are exact in doubles
-CHUNK = 256
+FIRST = 256  # candidates scored at first
+TOGETHER = 32  # queries whose bounds are computed in one step
 
 
 def whole(vector: Column, scale: float) -> Column:
@@ -38,11 +38,10 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & F.coalesce(fine, F.lit(False))
 
 
-def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact inner products, as long integers."""
-    if float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[-1] < EXACT:
-        return np.rint(q.astype(float) @ x.astype(float).T).astype(np.int64)
-    return q @ x.T
+def exact_type(q: np.ndarray, x: np.ndarray) -> type:
+    """The narrowest type in which inner products of these integers are exact."""
+    most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(q.shape[-1], 1)
+    return np.float32 if most < 2**23 else np.float64 if most < 2**52 else np.int64
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -52,36 +51,53 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, pivots: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query its place, and the ids and scores of the k best of this block (fewer, if there are fewer)."""
-    table = distances(rows, pivots)
-    to_pivots = distances(queries, pivots)
-    norms = (rows.astype(float) ** 2).sum(1)
-    largest = np.sqrt(norms.max(initial=0))
-    for i in range(len(queries)):
-        gap = np.abs(table - to_pivots[i]).max(1)
-        own = float((queries[i].astype(float) ** 2).sum())
-        # rounding of distances must not hide anybody: the margin exceeds it by far
-        margin = 1 + 1e-9 * (own + largest**2)
-        bound = (own + norms - np.maximum(gap - 1e-7 * (1 + gap), 0) ** 2) / 2 + margin
-        bound[row_ids == query_ids[i]] = -np.inf
-        order = np.argsort(-bound, kind="stable")
-        order = order[: len(order) - int((row_ids == query_ids[i]).sum())]
-        ids = np.zeros(0, np.int64)
-        scores = np.zeros(0, np.int64)
-        at, step = 0, CHUNK
-        while at < len(order):
-            if len(scores) >= k and bound[order[at]] < scores[k - 1]:
-                break
-            part = order[at : at + step]
-            ids = np.concatenate([ids, row_ids[part]])
-            scores = np.concatenate([scores, products(queries[i], rows[part])])
-            best = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[best], scores[best]
-            at, step = at + step, step * 4
-        yield i, ids, scores
+    kind = exact_type(queries, rows)
+    x, qs = np.ascontiguousarray(rows.astype(kind)), queries.astype(kind)
+    table = np.ascontiguousarray(distances(pivots, rows), np.float32)
+    to_pivots = distances(queries, pivots).astype(np.float32)
+    norms, own = (rows.astype(float) ** 2).sum(1), (queries.astype(float) ** 2).sum(1)
+    # distances are rounded to single precision; what that can move is taken off the gap
+    slack = np.float32(4e-7) * (table.max(initial=0) + to_pivots.max(initial=0)) + np.float32(1e-3)
+    for at in range(0, len(queries), TOGETHER):
+        part = slice(at, at + TOGETHER)
+        gap = np.zeros((len(to_pivots[part]), len(rows)), np.float32)
+        for p in range(len(pivots)):
+            np.maximum(gap, np.abs(table[p][None, :] - to_pivots[part, p][:, None]), out=gap)
+        np.maximum(gap - slack, 0, out=gap)
+        bounds = (own[part, None] + norms[None, :] - gap.astype(float) ** 2) / 2 + 1e-6 * (1 + own[part, None] + norms[None, :])
+        for j, bound in enumerate(bounds):
+            i = at + j
+            bound[row_ids == query_ids[i]] = -np.inf
+            yield i, *best_of(bound, x, qs[i], row_ids, k)
+
+
+def best_of(bound: np.ndarray, x: np.ndarray, q: np.ndarray, row_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores candidates in the order of their bounds, in growing steps, until no bound left reaches the k-th best score."""
+    ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    left = np.flatnonzero(bound > -np.inf)
+    step = max(FIRST, k)
+    while len(left):
+        if len(left) > step:
+            order = np.argpartition(-bound[left], step - 1)
+            now, left = left[order[:step]], left[order[step:]]
+        else:
+            now, left = left, left[:0]
+        found = (x[now] @ q) if len(now) < len(x) // 2 else (x @ q)[now]
+        found = found.astype(np.int64)
+        if len(scores) >= k:
+            worth = found >= scores[k - 1]
+            now, found = now[worth], found[worth]
+        ids, scores = np.concatenate([ids, row_ids[now]]), np.concatenate([scores, found])
+        order = np.lexsort((ids, -scores))[:k]
+        ids, scores = ids[order], scores[order]
+        if len(scores) >= k:
+            left = left[bound[left] >= scores[k - 1]]
+        step *= 8
+    return ids, scores
 
 
 def top_k(
-    vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64, pivots: int = 32, query_block: int = 2048, row_block: int = 16384, key: str = "vec_id", vector: str = "embedding"
+    vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64, pivots: int = 16, query_block: int = 2048, row_block: int = 16384, key: str = "vec_id", vector: str = "embedding"
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest scores of every query."""
     good = vectors.where(F.col(key).isNotNull() & usable(F.col(vector))).select(F.col(key).cast("long").alias("id"), whole(F.col(vector), scale).alias("v"), is_query.alias("q"))
@@ -105,7 +121,7 @@ def top_k(
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
         # a query row written twice is one query
         q = q.drop_duplicates("id")
-        found = list(search(np.array(q["v"].tolist(), np.int64), q["id"].to_numpy(np.int64), np.array(x["v"].tolist(), np.int64), x["id"].to_numpy(np.int64), table, k))
+        found = list(search(np.stack(q["v"].to_numpy()).astype(np.int64), q["id"].to_numpy(np.int64), np.stack(x["v"].to_numpy()).astype(np.int64), x["id"].to_numpy(np.int64), table, k))
         ids = q["id"].to_numpy(np.int64)
         return pd.DataFrame({"query_id": np.repeat([ids[i] for i, _, _ in found], [len(a) for _, a, _ in found]), "vec_id": np.concatenate([a for _, a, _ in found]), "score": np.concatenate([s for _, _, s in found])})
 
