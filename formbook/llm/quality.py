@@ -100,8 +100,8 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, limit: int = 8_000
     """Rules and weights from at most ``limit`` labelled rows for which ``usable`` holds (chosen by a hash of the id)."""
     sample = with_statistics(labelled_sample(docs, labels, "quality", usable, limit))
     columns = [f"_q_{s}" for s in STATISTICS]
-    # bounded, narrow rows: written once, read by every round of fitting
-    frame = checkpointed(sample.select(F.col("label").cast("double").alias("label"), *columns).coalesce(8))
+    # bounded, narrow rows: brought together once, read by every round of fitting
+    frame = checkpointed(sample.select(F.col("label").cast("double").alias("label"), *columns).repartition(8))
     share = frame.agg(F.avg("label").alias("p")).first()["p"]
     if share is None or share in (0.0, 1.0):
         return RuleModel({None: 0.0, 0.0: -30.0, 1.0: 30.0}[share])

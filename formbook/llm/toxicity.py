@@ -127,7 +127,7 @@ def _count(batches: Iterator[pa.RecordBatch], wanted: set[str] | None = None) ->
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["entry", "n"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, usable: Column, limit: int = 12_000, most_entries: int = 4_000, least: float = 1.0) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, usable: Column, limit: int = 24_000, most_entries: int = 4_000, least: float = 1.0) -> Lexicon:
     """Lexicon and curve from at most ``limit`` labelled rows for which ``usable`` holds.
 
     Counts per entry are summed by Spark; what reaches the driver is at most the entries of the toxic texts of
@@ -160,7 +160,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, limit: int = 12_00
             out = pd.DataFrame([lexicon.features(t) for t in frame["text"]], columns=["a", "b", "c"], dtype=float)
             yield out.assign(y=frame["label"].to_numpy())
 
-    seen = sample.where(F.col("part") == 0).select("text", "label").mapInPandas(look, "a double, b double, c double, y int").orderBy("a", "b", "c", "y").toPandas()
+    seen = sample.where(F.col("part") == 0).select("text", "label").mapInPandas(look, "a double, b double, c double, y int").toPandas().sort_values(["a", "b", "c", "y"])
     sample.unpersist()
     return Lexicon(lexicon.weights, lexicon.exceptions, fit_curve(seen[["a", "b", "c"]].to_numpy(float), seen["y"].to_numpy(float)))
 
