@@ -40,7 +40,7 @@ LENGTH = 100
 ANCHOR = 32
 BLOCK = 8
 CORE = LENGTH - BLOCK + 1
-STRETCH = 1 << 20
+STRETCH = 1 << 18
 _SPREAD = LENGTH - ANCHOR + 1  # anchors in a string
 _PLACE = np.uint64((1 << 24) - 1)
 _NAMES = ["part", "kind", "rest", "doc", "spot"]
