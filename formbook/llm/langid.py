@@ -6,7 +6,7 @@ log2(size of the training piece) per symbol estimate the cross entropy; the lang
 Texts are read in blocks of ``BLOCK`` symbols, at whose ends a phrase ends too, so that many blocks, of any texts,
 advance through the automaton together in array operations. No block is left out.
 
-Symbols are lower-cased letters; each run of anything else is one blank.
+Symbols are lower-cased letters; each run of anything else after a letter is one blank.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; ties go to the language with more
 training documents, then by name; with nothing to learn from every text is ``und``. Repeated rows are treated alike.

@@ -48,7 +48,8 @@ class _Fold(dict):
 
     def __missing__(self, code: int) -> str:
         letters = unicodedata.normalize("NFKD", chr(code)).lower()
-        out = "".join(HOMOGLYPHS.get(c, LOOKS.get(c, c)) for c in letters if not unicodedata.combining(c))
+        # signs are letters only inside a word, which fold() sees to
+        out = "".join(HOMOGLYPHS.get(c, c if c in SIGNS else LOOKS.get(c, c)) for c in letters if not unicodedata.combining(c))
         out = "".join(c if c.isalnum() else " " for c in out)
         if len(self) < 100_000:
             self[code] = out

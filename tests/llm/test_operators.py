@@ -237,7 +237,7 @@ def test_phrases_equal_a_plain_parse():
     texts = ["the mat and the hund", "zzz", "", "12 34", "sat on " * 400]
     bits, has = langid.entropies(model, texts)
     for t, row, h in zip(texts, bits, has, strict=True):
-        norm = re.sub("[^a-z]+", " ", t)
+        norm = re.sub("[^a-z]+", " ", t).lstrip()
         assert h == bool(re.search("[a-z]", t))
         for piece, got in zip(model.pieces, row, strict=True):
             n = 0
