@@ -42,7 +42,9 @@ def last_name(name: Column) -> Column:
 def person_name(name: Column) -> Column:
     """Name without parenthesised notes, apostrophes, punctuation and suffixes."""
     head = F.regexp_replace(F.trim(F.element_at(F.split(name, r"\("), 1)), "['’]", "")
-    words = F.split(F.regexp_replace(F.lower(strip_accents(head)), "[^a-z0-9]+", " "), " ")
+    # letters that have no plain form vanish instead of splitting the word
+    ascii_only = F.regexp_replace(strip_accents(head), r"[^\x00-\x7F]", "")
+    words = F.split(F.regexp_replace(F.lower(ascii_only), "[^a-z0-9]+", " "), " ")
     # fixed values: generational suffixes that are not part of a name
     keep = F.filter(words, lambda w: (w != "") & ~w.isin("jr", "sr", "ii", "iii", "iv"))
     return F.array_join(keep, " ")

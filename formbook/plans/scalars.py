@@ -228,15 +228,15 @@ def m11(spark, d):
 
 @query(
     "m11_person_keys",
-    """WITH c AS (SELECT c_custkey, upper(substr(c_mktsegment, 1, 1)) || '. O''Neal-' || lower(c_mktsegment) || CASE c_custkey % 3 WHEN 0 THEN ' Jr' WHEN 1 THEN ' III (G)' ELSE '' END AS name FROM customer),
-    p AS (SELECT c_custkey, list_filter(string_split_regex(regexp_replace(lower(replace(trim(split_part(name, '(', 1)), '''', '')), '[^a-z0-9]+', ' ', 'g'), ' '),
+    r"""WITH c AS (SELECT c_custkey, upper(substr(c_mktsegment, 1, 1)) || '. O''Nøeał-' || lower(c_mktsegment) || CASE c_custkey % 3 WHEN 0 THEN ' Jr' WHEN 1 THEN ' III (G)' ELSE '' END AS name FROM customer),
+    p AS (SELECT c_custkey, list_filter(string_split_regex(regexp_replace(lower(regexp_replace(replace(trim(split_part(name, '(', 1)), '''', ''), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', ' ', 'g'), ' '),
            lambda x: x <> '' AND x NOT IN ('jr', 'sr', 'ii', 'iii', 'iv')) AS words FROM c)
     SELECT c_custkey, array_to_string(words, ' ') AS person, substr(array_to_string(words, ' '), 1, 1) AS initial, words[-1] AS last FROM p""",
 )
 def m11_keys(spark, d):
     seg = F.col("c_mktsegment")
     suffix = F.when(F.col("c_custkey") % 3 == 0, F.lit(" Jr")).when(F.col("c_custkey") % 3 == 1, F.lit(" III (G)")).otherwise(F.lit(""))
-    name = F.concat(F.upper(F.substring(seg, 1, 1)), F.lit(". O'Neal-"), F.lower(seg), suffix)
+    name = F.concat(F.upper(F.substring(seg, 1, 1)), F.lit(". O'Nøeał-"), F.lower(seg), suffix)
     return table(spark, d, "customer").select(
         "c_custkey", X.person_name(name).alias("person"), X.person_initial(name).alias("initial"), X.person_last(name).alias("last")
     )

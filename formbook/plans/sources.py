@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from formbook.operators.quality import schema_surprises
-from formbook.plans.frames import BETS, SNAPSHOTS, bets, snapshots, spread, table, with_sql
+from formbook.plans.frames import BETS, SNAPSHOTS, bets, snapshots, table, with_sql
 from formbook.plans.registry import query
 from formbook.sources import documents as dc
 from formbook.sources import tables as tb
@@ -19,7 +19,7 @@ c, lit, st = F.col, F.lit, F.struct
 
 def box_documents(spark, d):
     """One box score per order line: two goalies a side, two skater lists."""
-    li = spread(table(spark, d, "lineitem"))
+    li = table(spark, d, "lineitem")
 
     def goalie(pid, starter, saves, extra):
         shots = saves + extra
@@ -181,7 +181,7 @@ def envelopes(spark, d, bulk=False):
     doc = st(F.date_format("l_shipdate", "yyyy-MM-dd'T'22:30:00'Z'").alias("timestamp"), data.alias("data"))
     schema = dc.BULK_ENVELOPE if bulk else dc.ODDS_ENVELOPE
     keep = _LINES if not bulk else ["l_orderkey", "l_linenumber"]
-    return dc.parse_json(spread(table(spark, d, "lineitem")).select(*keep, F.to_json(doc).alias("doc")), "doc", schema, keep)
+    return dc.parse_json(table(spark, d, "lineitem").select(*keep, F.to_json(doc).alias("doc")), "doc", schema, keep)
 
 
 _OUTCOMES = """books AS (SELECT lineitem.*, unnest([0, 1]) AS sh FROM lineitem),
@@ -219,7 +219,7 @@ def http_records(spark, d):
         status.alias("status_code"), F.date_format("l_shipdate", "yyyy-MM-dd'T'22:31:00'Z'").alias("fetched_at"), c("l_returnflag").alias("pass_name"),
         c("l_partkey").cast("string").alias("event_id"), body.alias("raw_body"),
     )
-    return dc.parse_json(spread(table(spark, d, "lineitem")).select(F.to_json(record).alias("doc")), "doc", dc.HTTP_RECORD)
+    return dc.parse_json(table(spark, d, "lineitem").select(F.to_json(record).alias("doc")), "doc", dc.HTTP_RECORD)
 
 
 @query(

@@ -320,11 +320,11 @@ def w21(spark, d):
 
 @query(
     "o2_ranked_opportunities",
-    with_sql(BETS) + "SELECT game_id, seq, entity_id, venue, p_over + 0 AS score FROM bets ORDER BY score DESC, game_id, seq, entity_id, venue LIMIT 50",
+    with_sql(BETS) + "SELECT game_id, seq, entity_id, venue, p_over + 0 AS score FROM bets",
 )
 def o2(spark, d):
     b = bets(spark, d).withColumn("score", F.col("p_over"))
-    return b.orderBy(F.desc("score"), "game_id", "seq", "entity_id", "venue").limit(50).select("game_id", "seq", "entity_id", "venue", "score")
+    return b.orderBy(F.desc("score"), "game_id", "seq", "entity_id", "venue").select("game_id", "seq", "entity_id", "venue", "score")
 
 
 @query(
