@@ -16,16 +16,37 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SUPPORT_CAP = 70
-
 LINE_PRICE = T.StructType([T.StructField(n, T.DoubleType()) for n in ("p_over", "p_under", "p_push")])
 
 
+def _mass_at_line(mean, a, at):
+    """(mass below, mass at) a line per row, summed up to each row's own line in log space.
+
+    A mass below double precision counts as zero but its logarithm is carried on, so large means
+    lose nothing; rows leave the loop once it has passed their line.
+    """
+    import numpy as np
+
+    safe = np.where(a > 0, a, 1.0)
+    log_mass = np.where(a > 0, -np.log1p(safe * mean) / safe, -mean)
+    under, push = np.where(at > 0, np.exp(log_mass), 0.0), np.where(at == 0, np.exp(log_mass), 0.0)
+    live = np.argsort(-at, kind="stable")
+    log_step = np.log(mean) - np.log1p(a * mean)
+    for k in range(1, int(at.max(initial=0.0)) + 1):
+        live = live[: np.searchsorted(-at[live], -k, "right")]
+        log_mass[live] += log_step[live] + np.log1p(a[live] * (k - 1)) - np.log(k)
+        mass = np.exp(log_mass[live])
+        here = at[live] == k
+        under[live] += np.where(here, 0.0, mass)
+        push[live] += np.where(here, mass, 0.0)
+    return under, push
+
+
 @F.pandas_udf(LINE_PRICE)
 def price_count_line(mu, alpha, q, line):
     """P(over), P(under), P(push) of a thinned count at a line; Poisson where alpha is zero.
 
-    Mass above the support cap belongs to the over side, so the three sum to one.
+    The sum runs to each row's line, whatever its size; the rest of the mass is over, so the three sum to one.
     """
     import numpy as np
     import pandas as pd
@@ -35,13 +56,7 @@ def price_count_line(mu, alpha, q, line):
     at = line.to_numpy(dtype=float)
     known = np.isfinite(mean) & np.isfinite(a) & np.isfinite(at)
     mean, a, at = np.where(known, mean, 1.0), np.where(known, a, 0.0), np.where(known, at, 0.0)
-    safe = np.where(a > 0, a, 1.0)
-    mass = np.where(a > 0, np.exp(-np.log1p(safe * mean) / safe), np.exp(-mean))
-    under, push = np.where(at > 0, mass, 0.0), np.where(at == 0, mass, 0.0)
-    for k in range(1, min(int(max(at.max(initial=0.0), 0.0)), SUPPORT_CAP) + 1):
-        mass = mass * mean / k * (1 + a * (k - 1)) / (1 + a * mean)
-        under = under + np.where(k < at, mass, 0.0)
-        push = push + np.where(k == at, mass, 0.0)
+    under, push = _mass_at_line(mean, a, at)
     over = np.maximum(1.0 - under - push, 0.0)
     out = pd.DataFrame({"p_over": over, "p_under": under, "p_push": push})
     return out.where(pd.Series(known), None).astype("float64")
@@ -115,32 +130,50 @@ CAPPED_SCHEMA = T.StructType(
 )
 
 
-@F.pandas_udf(CAPPED_SCHEMA)
-def price_count_line_capped(mu, alpha, q, line):
-    """The shots-by-saves form with the shot count cut at 70: tail mass is dropped.
+def price_count_line_capped(mu, alpha, q, line, support: int = 70) -> Column:
+    """The shots-by-saves form with the shot count cut at ``support``: tail mass is dropped.
 
-    Kept for parity with prices made that way; Arrow batches, numpy inside.
+    Kept for parity with prices made that way.  ``pmf_total`` tells how much mass is left;
+    ``enough_mass`` is the gate on it.  One matrix per distinct distribution of a batch.
     """
-    import numpy as np
-    import pandas as pd
 
-    n = np.arange(SUPPORT_CAP + 1, dtype=float)
-    log_fact = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, SUPPORT_CAP + 1)))])
-    lower = n[:, None] >= n[None, :]
-    gap = np.where(lower, n[:, None] - n[None, :], 0.0)
-    log_choose = log_fact[:, None] - log_fact[None, :] - log_fact[gap.astype(int)]
-    out = np.empty((len(mu), 4))
-    for i, (m, a, rate, at) in enumerate(zip(mu.to_numpy(), alpha.to_numpy(), q.to_numpy(), line.to_numpy())):
-        m = max(m, 1e-6)
-        rate = min(max(rate, 1e-6), 1 - 1e-6)
-        zero = np.log1p(a * m) / -a if a > 0 else -m
-        k = n[1:]
-        steps = np.log(m / k * (1 + a * (k - 1)) / (1 + a * m))
-        shots = np.exp(zero + np.concatenate([[0.0], np.cumsum(steps)]))
-        thin = np.where(lower, np.exp(log_choose + n[None, :] * np.log(rate) + gap * np.log1p(-rate)), 0.0)
-        saves = shots @ thin
-        out[i] = saves[n > at].sum(), saves[n < at].sum(), saves[n == at].sum(), saves.sum()
-    return pd.DataFrame(out, columns=CAPPED_SCHEMA.names)
+    @F.pandas_udf(CAPPED_SCHEMA)
+    def price(mu, alpha, q, line):
+        import numpy as np
+        import pandas as pd
+
+        n = np.arange(support + 1, dtype=float)
+        log_fact = np.concatenate([[0.0], np.cumsum(np.log(n[1:]))])
+        lower = n[:, None] >= n[None, :]
+        gap = np.where(lower, n[:, None] - n[None, :], 0.0)
+        log_choose = log_fact[:, None] - log_fact[None, :] - log_fact[gap.astype(int)]
+        given = np.column_stack([x.to_numpy(dtype=float) for x in (mu, alpha, q)])
+        at = line.to_numpy(dtype=float)
+        out = np.full((len(mu), 4), np.nan)
+        known = np.flatnonzero(np.isfinite(given).all(axis=1) & np.isfinite(at))
+        kinds, kind = np.unique(given[known], axis=0, return_inverse=True)
+        order = np.argsort(kind.ravel(), kind="stable")
+        edges = np.searchsorted(kind.ravel()[order], np.arange(len(kinds) + 1))
+        for i, (m, a, rate) in enumerate(kinds):
+            m, rate = max(m, 1e-6), min(max(rate, 1e-6), 1 - 1e-6)
+            zero = np.log1p(a * m) / -a if a > 0 else -m
+            k = n[1:]
+            steps = np.log(m / k * (1 + a * (k - 1)) / (1 + a * m))
+            shots = np.exp(zero + np.concatenate([[0.0], np.cumsum(steps)]))
+            thin = np.where(lower, np.exp(log_choose + n[None, :] * np.log(rate) + gap * np.log1p(-rate)), 0.0)
+            saves = shots @ thin
+            rows = known[order[edges[i] : edges[i + 1]]]
+            over, push = n[None, :] > at[rows, None], n[None, :] == at[rows, None]
+            out[rows] = np.column_stack([over @ saves, (~over & ~push) @ saves, push @ saves, np.full(len(rows), saves.sum())])
+        return pd.DataFrame(out, columns=CAPPED_SCHEMA.names)
+
+    return price(mu, alpha, q, line)
+
+
+def enough_mass(total: Column, least: float = 0.999) -> Column:
+    """The mass a cut distribution kept; a row that lost more than ``1 - least`` stops the query."""
+    lost = F.raise_error(F.concat(F.lit("count distribution cut to a mass of "), total.cast("string"))).cast("double")
+    return F.when(total.isNull() | (total >= least), total).otherwise(lost)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -156,13 +189,8 @@ def invert_count_mean(line, prob, alpha):
     at = np.where(good, at, 0.0)
 
     def over(mean):
-        safe = np.where(a > 0, a, 1.0)
-        mass = np.where(a > 0, np.exp(-np.log1p(safe * mean) / safe), np.exp(-mean))
-        total = mass.copy()
-        for k in range(1, int(at.max(initial=0.0)) + 1):
-            mass = mass * mean / k * (1 + a * (k - 1)) / (1 + a * mean)
-            total = total + np.where(k <= at, mass, 0.0)
-        return 1.0 - total
+        under, push = _mass_at_line(mean, a, at)
+        return 1.0 - under - push
 
     lo, hi = np.full(len(p), 1e-6), np.full(len(p), 1e-6) + np.maximum(8.0 * (at + 1.0), 40.0)
     reached = over(hi) >= p

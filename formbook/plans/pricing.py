@@ -54,6 +54,22 @@ def m14(spark, d):
     return nights(spark, d).withColumn("p", p).select("entity_id", "p.p_over", "p.p_under", "p.p_push")
 
 
+@query(
+    "m14_count_line_price_wide",
+    with_sql(NIGHTS, "w AS (SELECT entity_id, mu * (1 + entity_id % 30) AS mu, alpha, q, floor(mu * (1 + entity_id % 30) * q) + (entity_id % 3) * 5 + CASE WHEN entity_id % 2 = 0 THEN 0.5 ELSE 0 END::DOUBLE AS line FROM nights)",
+             "kw AS (SELECT unnest(range(0, 1200))::DOUBLE AS k)",
+             f"m AS (SELECT entity_id, line, k, {safe_mass('(mu * q)', 'alpha', 'k')} AS mass FROM w JOIN kw ON k <= line)")
+    + """SELECT entity_id, 1 - sum(mass) AS p_over, coalesce(sum(mass) FILTER (k < line), 0) AS p_under, coalesce(sum(mass) FILTER (k = line), 0) AS p_push FROM m GROUP BY 1""",
+)
+def m14_wide(spark, d):
+    """Means up to a thousand, lines beside them."""
+    k = F.col("entity_id")
+    n = nights(spark, d).withColumn("mu", F.col("mu") * (1 + k % 30))
+    near = F.floor(F.col("mu") * F.col("q")) + (k % 3) * 5 + F.when(k % 2 == 0, F.lit(0.5)).otherwise(F.lit(0.0))
+    p = ds.price_count_line(F.col("mu"), F.col("alpha"), F.col("q"), near.cast("double"))
+    return n.withColumn("p", p).select("entity_id", "p.p_over", "p.p_under", "p.p_push")
+
+
 @query(
     "m14_count_line_price_capped",
     with_sql(

@@ -155,6 +155,26 @@ def test_count_price_against_closed_form(spark):
     assert b["p_under"] == pytest.approx(sum(math.exp(-25.2 + k * math.log(25.2) - math.lgamma(k + 1)) for k in range(25)))
 
 
+def test_count_price_has_no_cap_on_mean_or_line(spark):
+    cases = [(100.0, 0.0, 90.5), (100.0, 0.0, 110.0), (1000.0, 0.0, 990.5), (1000.0, 0.02, 900.0), (30.0, 0.0, 200.5)]
+    df = spark.createDataFrame([(i, 2 * m, a, at) for i, (m, a, at) in enumerate(cases)], "i int, mu double, a double, line double").coalesce(1)
+    got = {r["i"]: r["p"] for r in df.select("i", ds.price_count_line("mu", "a", F.lit(0.5), "line").alias("p")).collect()}
+    for i, (m, a, at) in enumerate(cases):
+        mass = (lambda k: _nb(k, m, a)) if a else (lambda k: math.exp(-m + k * math.log(m) - math.lgamma(k + 1)))
+        assert got[i]["p_under"] == pytest.approx(sum(mass(k) for k in range(math.ceil(at))), abs=1e-9)
+        assert got[i]["p_push"] == pytest.approx(mass(int(at)) if at == int(at) else 0.0, abs=1e-9)
+        assert got[i]["p_over"] + got[i]["p_under"] + got[i]["p_push"] == pytest.approx(1.0)
+    assert got[0]["p_over"] == pytest.approx(0.82861, abs=1e-4)
+
+
+def test_cut_mass_is_gated(spark):
+    df = spark.createDataFrame([(30.0, 0.03, 0.9, 26.5), (90.0, 0.0, 0.9, 80.5), (None, 0.0, 0.9, 1.5)], "mu double, a double, q double, line double").coalesce(1)
+    wide = df.select(ds.enough_mass(ds.price_count_line_capped("mu", "a", "q", "line", 200)["pmf_total"]).alias("t")).collect()
+    assert [r["t"] is None or r["t"] >= 0.999 for r in wide] == [True] * 3 and wide[1]["t"] > 0.999
+    with pytest.raises(Exception, match="cut to a mass"):
+        df.select(ds.enough_mass(ds.price_count_line_capped("mu", "a", "q", "line")["pmf_total"]).alias("t")).collect()
+
+
 def test_capped_form_drops_tail_mass_only(spark):
     df = spark.createDataFrame([(30.0, 0.03, 0.9, 26.5)], "mu double, a double, q double, line double")
     full = df.select(ds.price_count_line("mu", "a", "q", "line").alias("p")).first()["p"]
