@@ -107,29 +107,40 @@ def prior_ema(
     """Recursive exponential mean of earlier rows, seeded with the first one.
 
     Missing values keep their position: the old mean decays across the gap and is
-    re-weighted by the next value.  The frame holds only the rows whose weight is
-    representable, so its length is a constant of the span.
+    re-weighted by the next value.  A frame holds the last ``ema_reach`` values that are
+    present, however far apart, each with its position; older ones have a weight below
+    double precision.
     """
     alpha = 2.0 / (span + 1)
     reach = ema_reach(alpha)
     name = name or f"{value}_ema{span}"
+    present = F.col(value).isNotNull()
+    item = F.struct(F.col(value).cast("double").alias("x"), F.col("__nth").alias("at"))
 
     def step(acc, item):
-        x = item["x"]
-        decayed = acc["w"] * (1 - alpha)
-        mixed = (decayed * acc["m"] + alpha * x) / (decayed + alpha)
-        return (
-            F.when(acc["m"].isNull(), F.struct(x.alias("m"), F.lit(1.0).alias("w")))
-            .when(x.isNull(), F.struct(acc["m"].alias("m"), decayed.alias("w")))
-            .otherwise(F.struct(mixed.alias("m"), F.lit(1.0).alias("w")))
+        kept = F.pow(F.lit(1 - alpha), item["at"] - acc["at"])
+        mixed = (kept * acc["m"] + alpha * item["x"]) / (kept + alpha)
+        return F.struct(F.coalesce(mixed, item["x"]).alias("m"), item["at"].alias("at"))
+
+    def folded(items: Column) -> Column:
+        start = F.struct(F.lit(None).cast("double").alias("m"), F.lit(None).cast("long").alias("at"))
+        return F.aggregate(items, start, step, lambda acc: acc["m"])
+
+    heavy = hot_keys(df, entity, rule)
+    counts = {"__nth": Running("count", F.lit(1)), "__seen": Running("count", F.col(value))}
+    placed = running(df, entity, cols(order), counts, prior=True, rule=rule, heavy=heavy)
+    if heavy is None:
+        # a value's own number is the count of values before it, so the frame ends before the row
+        w = Window.partitionBy(*entity).orderBy("__seen").rangeBetween(-reach, -1)
+        out = placed.withColumn(name, folded(F.collect_list(F.when(present, item)).over(w)))
+    else:
+        own = bounded_frame(
+            placed.where(present), entity, cols(["__nth"]), lambda w: {"__ema": folded(F.collect_list(item).over(w.rowsBetween(-reach, 0)))},
+            back=reach, rule=rule,
         )
-
-    def build(w):
-        recent = F.collect_list(F.struct(F.col(value).cast("double").alias("x"))).over(w.rowsBetween(-reach, -1))
-        start = F.struct(F.lit(None).cast("double").alias("m"), F.lit(1.0).alias("w"))
-        return {name: F.aggregate(recent, start, step, lambda acc: acc["m"])}
-
-    return bounded_frame(df, entity, cols(order), build, back=reach, rule=rule)
+        gaps = placed.where(~present).withColumn("__ema", F.lit(None).cast("double"))
+        out = running(own.unionByName(gaps), entity, cols(["__nth"]), {name: Running("last", F.col("__ema"))}, prior=True, rule=rule)
+    return out.select(*df.columns, name)
 
 
 def rest_days(

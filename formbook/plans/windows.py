@@ -114,6 +114,25 @@ def w5_gaps(spark, d):
     return wn.prior_ema(f, ENTITY, ORDER, "gapped", 5).select("game_id", "gapped_ema5")
 
 
+@query(
+    "w5_prior_ema_long_gap",
+    "WITH RECURSIVE " + FORM
+    + """, src AS (SELECT game_id, team_id, row_number() OVER (PARTITION BY team_id ORDER BY game_date, game_id) AS rn,
+        CASE WHEN season NOT BETWEEN 1993 AND 1995 THEN value END AS x FROM form),
+    e AS (SELECT game_id, team_id, rn, x, CAST(x AS DOUBLE) AS m, CAST(1.0 AS DOUBLE) AS w FROM src WHERE rn = 1
+      UNION ALL
+      SELECT t.game_id, t.team_id, t.rn, t.x,
+        CASE WHEN t.x IS NULL THEN e.m WHEN e.m IS NULL THEN t.x ELSE (e.w * (1 - 1 / 3::DOUBLE) * e.m + t.x / 3::DOUBLE) / (e.w * (1 - 1 / 3::DOUBLE) + 1 / 3::DOUBLE) END,
+        CASE WHEN t.x IS NULL AND e.m IS NOT NULL THEN e.w * (1 - 1 / 3::DOUBLE) ELSE 1.0 END
+      FROM e JOIN src t ON t.team_id = e.team_id AND t.rn = e.rn + 1)
+    SELECT game_id, lag(m) OVER (PARTITION BY team_id ORDER BY rn) AS gapped_ema5 FROM e""",
+)
+def w5_long_gap(spark, d):
+    """Three seasons without values: the gap is longer than the frame."""
+    f = form(spark, d).withColumn("gapped", F.when(~F.col("season").between(1993, 1995), F.col("value")))
+    return wn.prior_ema(f, ["team_id"], ORDER, "gapped", 5).select("game_id", "gapped_ema5")
+
+
 @query(
     "w6_rest_days",
     with_sql(FORM)

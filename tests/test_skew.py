@@ -119,6 +119,16 @@ def test_prior_ema_against_pandas(frame, df, hot, rule_name):
     np.testing.assert_allclose(got, want, rtol=1e-9)
 
 
+@pytest.mark.parametrize("rule_name", ["plain", "hot"])
+def test_prior_ema_across_a_gap_longer_than_its_frame(spark, hot, rule_name):
+    rule = hot if rule_name == "hot" else skew.DEFAULT_RULE
+    values = [None] * 2 + [float(i * 37 % 11) for i in range(60)] + [None] * 300 + [5.0, 8.0] + [None] * 3
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate(values)], "key string, id int, value double")
+    got = wn.prior_ema(df, ["key"], ["id"], "value", 5, rule=rule).toPandas().set_index("id").sort_index()["value_ema5"].astype(float)
+    want = pd.Series(values, dtype=float).ewm(span=5, adjust=False).mean().shift(1)
+    np.testing.assert_allclose(got, want, rtol=1e-9)
+
+
 def test_rest_days_and_lag_hot_equals_plain(df, hot):
     same(wn.rest_days(df, ["key"], ["day", "id"], "day", fill=7, rule=hot), wn.rest_days(df, ["key"], ["day", "id"], "day", fill=7))
     same(jn.next_row(df, ["key"], ["day", "id"], ["value"], rule=hot), jn.next_row(df, ["key"], ["day", "id"], ["value"]))
