@@ -23,8 +23,9 @@ def enrich(
 ) -> DataFrame:
     """Many-to-one left join that keeps every left row exactly once.
 
-    Right columns get ``prefix``; a name clash is an error.  The right side is reduced
-    to one row per key by the caller's contract; ``check=True`` verifies that with a job.
+    Right columns get ``prefix``; a name clash is an error.  A key that is repeated on the
+    right never multiplies rows: it stops the query, by a count per key in the shuffle that the join needs anyway.
+    ``check=True`` finds it before the query runs, with example keys.
     """
     values = [c for c in right.columns if c not in on]
     clash = sorted({prefix + c for c in values} & set(left.columns))
@@ -32,8 +33,12 @@ def enrich(
         raise GateFailed(f"column collision on {clash}")
     if check:
         require_unique(right, on)
-    renamed = right.select(*on, *[F.col(c).alias(prefix + c) for c in values], F.lit(1).alias(matched))
-    return join_back(left, renamed, on, "left").withColumn(matched, F.coalesce(matched, F.lit(0)))
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in on])  # a NULL key matches nothing
+    facts = F.struct(*[F.col(c).alias(prefix + c) for c in values], F.lit(1).alias(matched))
+    per_key = right.where(whole).groupBy(*on).agg(F.any_value(facts).alias("__f"), F.count(F.lit(1)).alias("__n"))
+    repeated = F.raise_error(F.concat(F.lit("repeated key in many-to-one join: "), F.concat_ws(", ", *[F.col(k).cast("string") for k in on])))
+    once = per_key.where(F.when(F.col("__n") == 1, F.lit(True)).otherwise(repeated.cast("boolean"))).select(*on, "__f.*")
+    return join_back(left, once, on, "left").withColumn(matched, F.coalesce(matched, F.lit(0)))
 
 
 def choose_join_key(left: DataFrame, right: DataFrame, candidates: Sequence[Sequence[str]]) -> list[str]:
@@ -170,7 +175,8 @@ def tolerant_date_join(
     """Match on entity and a date within the offsets, earlier offsets first.
 
     The left rows carry one candidate per offset, so this is an equi-join; the best hit
-    per left row is a decomposable minimum.
+    per left row is a decomposable minimum.  Of several right rows on one day the least
+    values win, so input order does not matter.
     """
     tries = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(o).alias("offset")) for i, o in enumerate(offsets)])
     asked = left.select("*", F.explode(tries).alias("__t")).withColumn(
@@ -180,7 +186,8 @@ def tolerant_date_join(
     found = join_back(asked, facts, [*entity, "__d"])
     best = found.groupBy(*left_id).agg(
         F.min_by(
-            F.struct(F.col("__t.offset").alias("offset"), *[F.col(f"__r_{v}").alias(v) for v in values]), F.col("__t.rank")
+            F.struct(F.col("__t.offset").alias("offset"), *[F.col(f"__r_{v}").alias(v) for v in values]),
+            F.struct(F.col("__t.rank"), *[F.col(f"__r_{v}") for v in values]),
         ).alias("__b")
     )
     return left.join(best, list(left_id), "left").select(
@@ -206,7 +213,8 @@ def match_entities(
 
     The opponent and the accent-free last name must agree.  An unmatched ask gets the
     reason that came closest: no roster row, wrong opponent, or another name.  Resolution
-    runs on distinct asks and joins back, as one ask recurs across books and sides.
+    runs on distinct asks and joins back, as one ask recurs across books and sides.  Equal
+    ranks go to the least roster id.
     """
     tries = [(s, i, o) for s in (0, 1) for i, o in enumerate(offsets)]
     options = F.array(
@@ -234,7 +242,7 @@ def match_entities(
     same_name = F.coalesce((F.col("__have") == F.col("__want")) & (F.col("__want") != ""), F.lit(False))
     hit = same_versus & same_name
     verdict = joined.groupBy(*ask_id).agg(
-        F.min_by(F.struct("__r_id", "__r_name"), F.when(hit, F.col("__rank"))).alias("__m"),
+        F.min_by(F.struct("__r_id", "__r_name"), F.when(hit, F.struct("__rank", "__r_id", "__r_name"))).alias("__m"),
         F.max(hit.cast("int")).alias("__hit"),
         F.max(same_versus.cast("int")).alias("__versus_seen"),
         F.max(F.col("__r_id").isNotNull().cast("int")).alias("__row_seen"),

@@ -129,3 +129,25 @@ def test_map_events_flags_ambiguity(spark):
     events = spark.createDataFrame([(10, D(2024, 1, 1), "B", "A"), (11, D(2024, 1, 1), "C", "D"), (12, D(2024, 1, 2), "A", "B")], "eid int, d date, h string, a string")
     got = {r["eid"]: (r["map_status"], r["game_id_matched"]) for r in jn.map_events_to_games(events, games, "d", "h", "a", "gid", "eid").collect()}
     assert got == {10: ("matched", 1), 11: ("ambiguous", None), 12: ("unmatched", None)}
+
+
+def test_enrich_stops_on_a_repeated_right_key(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k int, v string")
+    right = spark.createDataFrame([(1, 10), (None, 20), (None, 30)], "k int, w int")
+    rows = {r["v"]: (r["w"], r["matched"]) for r in jn.enrich(left, right, ["k"]).collect()}
+    assert rows == {"a": (10, 1), "b": (None, 0), "c": (None, 0)}
+    again = right.union(spark.createDataFrame([(1, 11)], "k int, w int"))
+    with pytest.raises(Exception, match="repeated key"):
+        jn.enrich(left, again, ["k"]).collect()
+    # a plan that uses nothing of the right side may drop the join; rows are never multiplied
+    assert jn.enrich(left, again, ["k"]).select("v").count() == 3
+
+
+def test_tolerant_date_ties_do_not_depend_on_input_order(spark):
+    left = spark.createDataFrame([(1, "a", "2024-01-02")], "id int, who string, day string")
+    rows = [("a", "2024-01-02", 2.0), ("a", "2024-01-02", 1.0), ("a", "2024-01-03", 0.5)]
+    got = set()
+    for some in (rows, rows[::-1]):
+        right = spark.createDataFrame(some, "who string, day string, x double").coalesce(1)
+        got |= {(r["day_offset"], r["matched_x"]) for r in jn.tolerant_date_join(left, right, ["who"], "day", ["x"], ["id"]).collect()}
+    assert got == {(0, 1.0)}
