@@ -126,15 +126,18 @@ def resettle(path: str, legs: DataFrame, leg_key: Sequence[str], result: str, ti
              grade_with: Callable[[DataFrame], Column]) -> Callable[[DataFrame, int], None]:
     """Sink: grade legs that got results in this batch and settle the tickets they belong to.
 
-    Only tickets with a leg in the batch are recomputed, from all of their legs and every
-    result known so far (earlier batches are kept beside the output).
+    Only tickets with a leg in the batch are recomputed, from all of their legs and the newest
+    result of each known so far (earlier batches are kept beside the output), so a correction
+    in a later batch settles its tickets anew.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         name = f"batch={batch_id:012d}"
         batch.write.mode("overwrite").parquet(f"{path}/results/{name}")
-        known = spark.read.parquet(f"{path}/results").where(F.col("batch") <= batch_id).drop("batch").dropDuplicates(list(leg_key))
+        seen = spark.read.parquet(f"{path}/results").where(F.col("batch") <= batch_id)
+        facts = F.struct(*[F.col(x) for x in batch.columns if x not in leg_key])
+        known = seen.groupBy(*leg_key).agg(F.max_by(facts, F.struct("batch", facts)).alias("__r")).select(*leg_key, "__r.*")
         touched = legs.join(batch.select(*leg_key).distinct(), list(leg_key), "left_semi").select(*ticket).distinct()
         open_legs = legs.join(touched, list(ticket), "left_semi")
         graded = open_legs.join(known, list(leg_key), "left")

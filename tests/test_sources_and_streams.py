@@ -189,3 +189,14 @@ def test_insert_sink_is_idempotent(spark, tmp_path):
     second = spark.createDataFrame([(4, "a"), (5, "b"), (6, None)], "id long, k string")
     sink(first, 0), sink(second, 1), sink(second, 1), sink(first, 0)  # replays
     assert sorted(r["id"] for r in sn.read_log(spark, path).collect()) == [1, 3, 5]
+
+
+def test_a_corrected_result_settles_its_ticket_anew(spark, tmp_path):
+    from formbook.functions.odds import grade
+
+    legs = spark.createDataFrame([(1, 7, "OVER", 20.5)], "ticket_id int, entity_id int, side string, line double")
+    sink = sn.resettle(str(tmp_path), legs, ["entity_id"], "result", ["ticket_id"], lambda g: grade(F.col("side"), F.col("line"), F.col("actual")))
+    for batch, actual in enumerate((25.0, 15.0)):
+        sink(spark.createDataFrame([(7, actual)], "entity_id int, actual double"), batch)
+    settled = spark.read.parquet(f"{tmp_path}/tickets").orderBy("batch").collect()
+    assert [r["status"] for r in settled] == ["won", "lost"]
