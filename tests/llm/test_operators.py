@@ -204,6 +204,8 @@ def test_classifiers_learn(spark):
     rules = quality.learn(docs, labels, ~held_out("doc_id", 5, 0))
     scored = quality.with_statistics(docs.join(labels, "doc_id").where(held_out("doc_id", 5, 0))).select("quality", (rules.score() >= 0.3).cast("int").alias("p")).collect()
     assert sum(r["quality"] == r["p"] for r in scored) >= 0.9 * len(scored)
+    # the same rules, however the rows arrive
+    assert quality.learn(docs.repartition(7), labels.repartition(3), ~held_out("doc_id", 5, 0)) == rules
     # a lexicon needs more than the few dozen toxic texts of the smallest tables
     docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
     lexicon = toxicity.learn(docs, labels, ~held_out("doc_id", 4, 2))
