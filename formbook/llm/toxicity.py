@@ -167,16 +167,24 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, limit: int = 24_00
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 60) -> tuple[float, ...]:
-    """Ridge logistic regression by Newton steps."""
+    """Ridge logistic regression by Newton steps, each halved until the loss falls (whole steps may run away on nearly separable rows)."""
     x = np.column_stack([np.ones(len(x)), x])
     b = np.zeros(x.shape[1])
     penalty = np.diag([1e-6] + [ridge] * (x.shape[1] - 1))
+
+    def loss(at: np.ndarray) -> float:
+        z = x @ at
+        return float(np.logaddexp(0, z).sum() - y @ z + at @ penalty @ at / 2)
+
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
         step = np.linalg.solve(x.T @ (x * (p * (1 - p) + 1e-9)[:, None]) + penalty, x.T @ (y - p) - penalty @ b)
-        b += np.clip(step, -3, 3)
+        now = loss(b)
+        while np.abs(step).max() >= 1e-9 and loss(b + step) > now:
+            step = step / 2
         if np.abs(step).max() < 1e-9:
             break
+        b = b + step
     return tuple(float(v) for v in b)
 
 

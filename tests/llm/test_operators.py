@@ -226,6 +226,17 @@ def test_classifiers_on_awkward_rows(spark, odd, none):
         assert all(0 <= r[0] <= 1 for r in quality.with_statistics(docs).select(rules.score()).collect())
 
 
+def test_curve_fits_nearly_separable_rows():
+    import numpy as np
+
+    g = np.random.default_rng(3)
+    y = (g.random(8000) < 0.1).astype(float)
+    x = np.column_stack([y * g.gamma(4, 1.5, 8000) + g.exponential(0.2, 8000), y * g.gamma(2, 6, 8000) + g.exponential(0.2, 8000), 2 * y + g.exponential(0.2, 8000)])
+    curve = np.array(toxicity.fit_curve(x, y))
+    said = 1 / (1 + np.exp(-(curve[0] + x @ curve[1:]))) >= 0.3
+    assert (said == y).mean() >= 0.99
+
+
 def test_folding_and_exceptions():
     lexicon = toxicity.Lexicon(((toxicity.fold("idiot"), 2.0), (toxicity.fold("trash"), 2.0)), curve=(-1.0, 1.0, 0.0, 0.0))
     for text in ("idiot", "an 1D10T!", "іdіоt", "ＩＤＩＯＴ", "idi@t".replace("@", "0"), "ídiöt"):
