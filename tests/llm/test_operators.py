@@ -154,6 +154,37 @@ def test_edit_matches_equal_full_search():
                 assert found[0][0] == 5 and found[0][1] == true
 
 
+def test_items_with_changed_words_and_long_stretches_are_leaks(spark):
+    folder = "/root/testdata/sf0.1"
+    items = {r["item_id"]: r["text"] for r in table(spark, folder, "benchmark").collect()}
+    block = decontaminate.Block(tuple((i, decontaminate.folded(t)) for i, t in items.items()))
+    rng = np.random.default_rng(8)
+    spare = [w for t in items.values() for w in t.split()]
+
+    def leaks(text):
+        return {i: (distance, a, b) for i, distance, a, b in decontaminate.leaks(block, f"Before it stands. {text} After it too.")}
+
+    for i, text in items.items():
+        words = text.split()
+        for edits in (1, 2, 3):
+            at = sorted(rng.choice(np.arange(1, len(words) - 1), edits, replace=False).tolist(), reverse=True)
+            for change in ("replace", "delete", "insert"):
+                w = list(words)
+                for k in at:
+                    new = [] if change == "delete" else [spare[int(rng.integers(len(spare)))]]
+                    w[k : k + (change != "insert")] = new
+                assert i in leaks(" ".join(w)), (i, change, edits)
+        n, half = len(text), len(text) // 2
+        for part in (text[:half], text[half:], text[n // 4 : n // 4 + half], " ".join(words[: (len(words) + 1) // 2])):
+            assert i in leaks(part), (i, part)
+        assert i in leaks(re.sub(r"(\w) ", r"\1, ", text))
+        # a fifth of an item, or its words in another order, is none
+        assert i not in leaks(" ".join(words[: len(words) // 5])) and i not in leaks(" ".join(rng.permutation(words)))
+    docs = spark.createDataFrame([(1, " ".join([*items[0].split()[:5], "other", *items[0].split()[6:]])), (2, "nothing of it"), (3, None)], "doc_id long, text string")
+    found = decontaminate.with_hits(docs, table(spark, folder, "benchmark")).collect()
+    assert {r["doc_id"]: [h["item_id"] for h in r["hits"]] for r in found} == {1: [0], 2: [], 3: []}
+
+
 def test_leaks_of_awkward_rows(spark, odd, none):
     bench = spark.createDataFrame([(1, passage(5, 20)), (2, None), (3, ""), (None, "w5x"), (4, passage(5, 20).upper())], "item_id long, text string")
     found = decontaminate.with_hits(odd, bench, into="leaks")
