@@ -119,6 +119,31 @@ def test_near_duplicates_of_awkward_rows(odd, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_a_group_of_a_third_of_the_rows_keeps_its_edited_copies(spark):
+    rng = np.random.default_rng(6)
+    base = [f"b{i}" for i in range(100)]
+    # one word edited: 91 runs shared, 5 changed on each side
+    edited = [" ".join([*base[:k], f"e{k}", *base[k + 1 :]]) for k in range(5, 95)]
+    others = [" ".join(f"o{x}" for x in rng.integers(10**9, size=80)) for _ in range(180)]
+    for copies in (1, 60):
+        rows = [(i, t) for i, t in enumerate([" ".join(base)] * copies + edited + others)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        assert {r["class_id"] for r in minhash.near_duplicates(docs).where(F.col("doc_id") < copies + len(edited)).collect()} == {0}
+        assert minhash.keep_one(docs).count() == 1 + len(others)
+
+
+def test_frequencies_count_each_text_once(spark):
+    rows = [passage(0, 30)] * 50 + [passage(0, 30) + f" x{i}" for i in range(20)] + [f"{passage(100, 20)} y{i}" for i in range(30)] + [f"z{i} one two three four" for i in range(60)] + [None, ""]
+    texts = {t or "" for t in rows}
+    known = minhash.frequencies(spark.createDataFrame([(t,) for t in rows], "text string").repartition(5))
+    held = Counter()
+    for t in texts:
+        data = np.frombuffer(t.encode(), np.uint8)
+        held.update(minhash.bags(data, np.array([0, len(data)]))[1].tolist())
+    often = {r: minhash.idf(n / len(texts)) for r, n in held.items() if n > minhash.COMMON * len(texts)}
+    assert known.texts == len(texts) and often and dict(zip(known.runs.tolist(), known.idf.tolist(), strict=True)) == pytest.approx(often)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "e"), ("f", "f"), ("z", "c"), ("a", "z")], "a string, b string")
     assert {r["node"]: r["component"] for r in components(edges, "a", "b").collect()} == {"a": "a", "b": "a", "c": "a", "z": "a", "d": "d", "e": "d"}
