@@ -1,7 +1,9 @@
 """The snapshot log as Structured Streaming jobs.
 
-State is released by watermarks; keyed results go to a log folder with one directory
-per micro-batch, written with overwrite, so a replayed batch replaces itself.
+Keyed results go to a log folder with one directory per micro-batch, written with overwrite, so
+a replayed batch replaces itself.  ``insert_if_absent`` and ``line_parts`` take rows however late
+they land.  ``drop_repeats`` and ``line_state`` with a day release state by watermarks and drop
+rows that land behind them.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ def landing_stream(spark: SparkSession, folder: str, schema, glob: str | None =
 
 
 def drop_repeats(stream: DataFrame, ts: str, key: Sequence[str], delay: str = "1 day") -> DataFrame:
-    """Exact duplicates within the watermark are dropped; older state is released."""
+    """Exact duplicates within the watermark are dropped; older state is released, and rows that land behind the watermark go too."""
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(key))
 
 
@@ -80,7 +82,8 @@ def line_state(
     """Current and closing line per key; the start is the newest one seen, so a moved start counts.
 
     ``day`` names a date column of the key: state of days older than ``keep`` behind the
-    newest day is released.  Without it every key is remembered for good.
+    newest day is released, and rows that land for them later are dropped.  Without it every key
+    is remembered for good.
     """
     groups = list(key)
     if day is not None:
@@ -99,6 +102,29 @@ def line_state(
     )
 
 
+def line_parts(path: str, key: Sequence[str], ts: str, tie: str, start: str, line: str) -> Callable[[DataFrame, int], None]:
+    """Sink: what each batch says of the lines of its keys; ``fold_lines`` puts the batches together."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie"), F.col(line).alias("line"))
+        parts = batch.groupBy(*key).agg(
+            F.max(F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie"), F.col(line).alias("line"), F.col(start).alias("start"))).alias("newest"),
+            F.max(F.when(F.col(ts) <= F.col(start), rows)).alias("closing"),
+            F.count(F.lit(1)).alias("n"),
+        )
+        parts.write.mode("overwrite").parquet(f"{path}/batch={batch_id:012d}")
+
+    return write
+
+
+def fold_lines(spark: SparkSession, path: str, key: Sequence[str]) -> DataFrame:
+    """The columns of ``line_state`` per key, from all batches of ``line_parts`` in whatever order their rows were stamped."""
+    folded = read_log(spark, path).groupBy(*key).agg(F.max("newest").alias("a"), F.max("closing").alias("z"), F.sum("n").alias("n_snapshots"))
+    return folded.select(
+        *key, F.col("a.line").alias("current_line"), F.col("a.ts").alias("current_ts"), F.col("a.start").alias("scheduled_start"), "n_snapshots", F.col("z.line").alias("closing_line")
+    )
+
+
 def insert_if_absent(path: str, key: Sequence[str], position: Sequence[str]) -> Callable[[DataFrame, int], None]:
     """Sink: append rows whose key no earlier batch holds.
 

@@ -182,6 +182,35 @@ def test_repeats_are_dropped_and_the_firewall_splits(spark, tmp_path):
     assert [r["id"] for r in spark.read.parquet(f"{work}/late").collect()] == [2]
 
 
+def test_late_rows_are_kept_over_three_landings(spark, tmp_path):
+    folder, schema = str(tmp_path / "in"), spark.createDataFrame([], LOG).schema
+    last = [(3, dt.datetime(2024, 2, 9, 9), t(12), "a", 26.5)]
+    for rows in (last, last + [(1, t(9), t(12), "a", 24.5)], [(2, t(11), t(12), "a", 25.5), (4, t(10), t(12), "b", 20.5)]):
+        land(spark, folder, rows)
+        sn.run_to_end(sn.landing_stream(spark, folder, schema), str(tmp_path / "x"), sn.insert_if_absent(f"{tmp_path}/once", ["id", "at", "line"], ["id"]))
+        sn.run_to_end(sn.landing_stream(spark, folder, schema), str(tmp_path / "y"), sn.line_parts(f"{tmp_path}/lines", ["k"], "at", "id", "start", "line"))
+    assert len(list((tmp_path / "lines").glob("batch=*"))) == 3
+    assert sorted(r["id"] for r in sn.read_log(spark, f"{tmp_path}/once").collect()) == [1, 2, 3, 4]
+    got = {r["k"]: (r["current_line"], r["closing_line"], r["n_snapshots"]) for r in sn.fold_lines(spark, f"{tmp_path}/lines", ["k"]).collect()}
+    assert got == {"a": (26.5, 25.5, 4), "b": (20.5, 20.5, 1)}
+
+
+def test_queries_of_the_log_see_late_rows(spark, data, monkeypatch):
+    from formbook.plans import streams
+
+    batches = []
+    run = sn.run_to_end
+
+    def counted(stream, work, sink, mode="append"):
+        run(stream, work, lambda batch, n: (batches.append((work, n)), sink(batch, n))[1], mode)
+
+    monkeypatch.setattr(sn, "run_to_end", counted)
+    n = spark.read.parquet(f"{data}/events.parquet").count()
+    assert streams.t1(spark, data).count() == n
+    assert streams.t3(spark, data).agg(F.sum("n_snapshots")).first()[0] == n
+    assert len(set(batches)) == 6
+
+
 def test_insert_sink_is_idempotent(spark, tmp_path):
     path = str(tmp_path / "table")
     sink = sn.insert_if_absent(path, ["k"], ["id"])
