@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formbook.llm import decontaminate, langid, minhash, mixing, quality, secrets, suffix, topk, toxicity, urls
-from formbook.llm.common import held_out, table
+from formbook.llm import decontaminate, langid, merkle, minhash, mixing, negatives, quality, secrets, suffix, topk, toxicity, urls, warc
+from formbook.llm.common import held_out, remainder, table
 from formbook.session import tune
+from formbook.sources.tables import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -163,3 +164,103 @@ SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(x.taken, 0)::BIGINT A
 @query("op10_mixing", MIX_SQL)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).drop("source")
+
+
+def tree_sql(name: str, source: str, levels: int) -> str:
+    """CTEs ``name``0 to ``name``levels (g, i, c, d: a tree, a place in a level, nodes of the level, a digest) and the steps of their nodes."""
+    parts = [f"{name}0 AS (SELECT g, i, c, d FROM {source})"]
+    for k in range(levels):
+        run = "OVER (PARTITION BY g, i // 8 ORDER BY i ROWS BETWEEN"
+        parts.append(
+            f"{name}s{k} AS (SELECT g, i, c, coalesce(string_agg(d, '') {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b, coalesce(string_agg(d, '') {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS a FROM {name}{k})"
+        )
+        parts.append(
+            f"{name}{k + 1} AS (SELECT g, i // 8 AS i, (max(c) + 7) // 8 AS c, CASE WHEN max(c) > 1 THEN sha256(string_agg(d, '' ORDER BY i)) ELSE max(d) END AS d FROM {name}{k} GROUP BY g, i // 8)"
+        )
+    return ",\n".join(parts)
+
+
+def fold_sql(name: str, source: str, levels: int) -> str:
+    """CTEs that carry rows of ``source`` (g, i, p: proof, f: digest) up the tree ``name``."""
+    parts, last = [], source
+    for k in range(levels):
+        parts.append(
+            f"{name}f{k} AS (SELECT x.* EXCLUDE (p, f), x.p || s.b || s.a AS p, CASE WHEN s.c > 1 THEN sha256(s.b || x.f || s.a) ELSE x.f END AS f "
+            f"FROM {last} x JOIN {name}s{k} s ON s.g = x.g AND s.i = x.i // {8**k})"
+        )
+        last = f"{name}f{k}"
+    return ",\n".join(parts)
+
+
+def leaf_sql(text: str) -> str:
+    fields = ["doc_id", "source", "lang", "n_chars", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}::VARCHAR)::VARCHAR || ':' || {f}::VARCHAR, '-')" for f in fields) + ")"
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_LEVELS, _TOP = 7, 3
+MERKLE_SQL = f"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS t),
+z AS (SELECT documents.*, coalesce(xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)), lambda x, y: xor(t[(xor(x, y) & 255) + 1], x >> 8)), 4294967295) % 3 = 0, false) AS hit FROM documents, crc),
+leaves AS (SELECT doc_id, coalesce('1' || lang, '0') AS g, {leaf_sql("text")} AS d, CASE WHEN hit THEN {leaf_sql(f"translate(text, '{_UPPER}', '{_LOWER}')")} ELSE {leaf_sql("text")} END AS f, '' AS p FROM z),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, d) - 1 AS i, count(*) OVER (PARTITION BY g) AS c FROM leaves),
+{tree_sql("n", "numbered", _LEVELS)},
+tops AS (SELECT '' AS g, g AS lang, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS c, d FROM n{_LEVELS}),
+{tree_sql("u", "tops", _TOP)},
+{fold_sql("n", "numbered", _LEVELS)},
+joined AS (SELECT x.doc_id, x.d, x.p, x.f, t.d AS subroot, '' AS g, t.i FROM nf{_LEVELS - 1} x JOIN tops t ON t.lang = x.g),
+{fold_sql("u", "joined", _TOP)}
+SELECT doc_id, x.d AS leaf, subroot, r.d AS root, sha256(p) AS proof_sha256, f AS folded_root, f = r.d AS verified FROM uf{_TOP - 1} x, u{_TOP} r
+"""
+
+
+@query("op11_merkle", MERKLE_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """The proof of every row, checked for rows of which every third has been tampered with."""
+    docs = table(spark, folder, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.when(remainder("doc_id", 3) == 0, F.unhex(merkle.digest_of([*fields, F.translate("text", _UPPER, _LOWER)])))
+    out = merkle.manifest(docs, keep={"tampered": tampered})
+    out = out.withColumn("folded_root", merkle.folded(F.coalesce(F.lower(F.hex("tampered")), F.col("leaf")), F.col("proof")))
+    return out.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, strlen(h) AS n, sha1(h) AS d, CASE WHEN strlen(h) >= 1000 THEN max(page_id) OVER (PARTITION BY h) END AS first FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to FROM q
+"""
+
+
+@query("op12_warc", WARC_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages written to archives and read back; what is said of a response is computed from its payload as read."""
+    place = work_folder(spark, "warc")
+    warc.write(warc.records(table(spark, folder, "pages")), place)
+    back = warc.read(spark, place, ["record_type", "record_id", "refers_to", "payload_digest", "http_length", "payload"])
+    back = back.where(F.col("record_type").isin("response", "revisit"))
+    whole = F.col("payload").isNotNull()
+    return back.select(
+        warc.page_id("record_id").alias("page_id"), F.when(whole, F.octet_length("payload").cast("long")).otherwise(F.col("http_length")).alias("payload_bytes"),
+        F.when(whole, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"), "record_type", warc.page_id("refers_to").alias("refers_to"),
+    )
+
+
+NEGATIVES_SQL = """
+WITH e AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY 2, 3) = 1),
+s AS (SELECT a.id AS a, b.id AS b, a.label = b.label AS same, CASE WHEN len(a.v) = 0 THEN 0 ELSE list_inner_product(a.v, b.v) END::BIGINT AS score FROM e a JOIN e b ON a.id % 50 = 0 AND a.id <> b.id AND len(a.v) = len(b.v)),
+p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5),
+n AS (SELECT p.a, p.b AS pos, p.score AS ps, s.b AS neg, s.score AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS rank
+  FROM p JOIN s ON p.a = s.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT a AS anchor_id, pos AS positive_id, rank::INT AS rank, neg AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE rank <= 3
+"""
+
+
+@query("op13_negatives", NEGATIVES_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(vectors, F.col("vec_id") % 50 == 0)
