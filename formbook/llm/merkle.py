@@ -79,9 +79,9 @@ def placed(rows: DataFrame, order: Sequence[str]) -> DataFrame:
     return joined.withColumn("_at", F.col("_row") + F.col("_shift")).drop("_part", "_row", "_p", "_g", "_shift")
 
 
-def subtrees(rows: DataFrame) -> DataFrame:
+def subtrees(rows: DataFrame, height: int) -> DataFrame:
     """Rows of a subtree in one partition one after the other, in the order of their places."""
-    block = F.floor(F.col("_at") / FAN**HEIGHT).cast("long")
+    block = F.floor(F.col("_at") / FAN**height).cast("long")
     cut = rows.withColumn("_block", F.when(F.col("_at") >= 0, block).otherwise(-1 - F.col("_at")))
     return cut.repartition("_group", "_block").sortWithinPartitions("_group", "_block", "_at")
 
@@ -109,13 +109,13 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def sweep(digests: list[str], nodes: int, first: int) -> list[list[str]]:
-    """The levels of one subtree, each the digests of its nodes, from ``digests`` up to HEIGHT levels or the root of the tree.
+def sweep(digests: list[str], nodes: int, first: int, height: int = HEIGHT) -> list[list[str]]:
+    """The levels of one subtree, each the digests of its nodes, from ``digests`` up to ``height`` levels or the root of the tree.
 
     ``nodes`` is the number of nodes of the whole tree on the lowest level and ``first`` the place of the subtree's first. The queue holds (level, place of the parent, place, digest).
     """
     left = [nodes]
-    while len(left) <= HEIGHT and left[-1] > 1:
+    while len(left) <= height and left[-1] > 1:
         left.append(-(-left[-1] // FAN))
     top = len(left) - 1
     levels: list[list[str]] = [[] for _ in left]
@@ -135,20 +135,24 @@ def sweep(digests: list[str], nodes: int, first: int) -> list[list[str]]:
     return levels
 
 
-def _up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out: list[tuple] = []
-    for tree in _whole(batches):
-        n, first, block = tree.column("_n")[0].as_py(), tree.column("_at")[0].as_py(), tree.column("_block")[0].as_py()
-        levels = sweep([d.hex() for d in tree.column("_digest").to_pylist()], n, first)
-        left = n
-        for _ in levels[1:]:
-            left = -(-left // FAN)
-        out.append((tree.column("_group")[0].as_py(), block, left, bytes.fromhex(levels[-1][0])))
-        if len(out) >= EMIT:
+def _up(height: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The digest that each subtree sends on."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for tree in _whole(batches):
+            n, first, block = tree.column("_n")[0].as_py(), tree.column("_at")[0].as_py(), tree.column("_block")[0].as_py()
+            levels = sweep([d.hex() for d in tree.column("_digest").to_pylist()], n, first, height)
+            for _ in levels[1:]:
+                n = -(-n // FAN)
+            out.append((tree.column("_group")[0].as_py(), block, n, bytes.fromhex(levels[-1][0])))
+            if len(out) >= EMIT:
+                yield _rows(out)
+                out = []
+        if out:
             yield _rows(out)
-            out = []
-    if out:
-        yield _rows(out)
+
+    return send
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -156,7 +160,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(g, pa.string()), pa.array(a, pa.int64()), pa.array(n, pa.int64()), pa.array(d, pa.binary())], names=["_group", "_at", "_n", "_digest"])
 
 
-def _down(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _down(names: list[str], height: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Delivers proofs within subtrees: the first row of a subtree is the message from above, the others are its nodes. Their columns ``names`` are kept."""
 
     def deliver(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +170,7 @@ def _down(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
             if not tree.num_rows:
                 continue
             first = tree.column("_at")[0].as_py()
-            levels = sweep([d.hex() for d in tree.column("_digest").to_pylist()], tree.column("_n")[0].as_py(), first)
+            levels = sweep([d.hex() for d in tree.column("_digest").to_pylist()], tree.column("_n")[0].as_py(), first, height)
             # reversed sweep: the rest of the proof, node by node, from the top level to the lowest; a run's digests are joined once
             rest = [[(s["before"], s["after"]) for s in above]]
             low = first // FAN ** (len(levels) - 1)
@@ -196,7 +200,7 @@ def _down(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return deliver
 
 
-def climbed(rows: DataFrame) -> list[DataFrame]:
+def climbed(rows: DataFrame, height: int) -> list[DataFrame]:
     """Rounds of the sweep: rows of (_group, _at, _n, _digest) per round, first ``rows``, last one row per group."""
     rounds = [rows]
     while True:
@@ -204,10 +208,10 @@ def climbed(rows: DataFrame) -> list[DataFrame]:
         most = now.agg(F.max("_n")).first()[0]
         if most is None or most <= 1:
             return rounds
-        rounds.append(checkpointed(subtrees(now).mapInArrow(_up, "_group string, _at long, _n long, _digest binary")))
+        rounds.append(checkpointed(subtrees(now, height).mapInArrow(_up(height), "_group string, _at long, _n long, _digest binary")))
 
 
-def delivered(rounds: list[DataFrame], proofs: DataFrame, keep: Sequence[str]) -> DataFrame:
+def delivered(rounds: list[DataFrame], proofs: DataFrame, keep: Sequence[str], height: int) -> DataFrame:
     """The reversed sweep: ``proofs`` has (_group, _steps, _subroot), the proof of each group's root and the root. Returns columns ``keep`` of the first round, ``_steps`` and ``_subroot``."""
     if len(rounds) == 1:
         # every group is one node
@@ -221,26 +225,26 @@ def delivered(rounds: list[DataFrame], proofs: DataFrame, keep: Sequence[str]) -
         message = above.select("_group", (-1 - F.col("_block")).alias("_at"), "_steps", "_subroot", *others)
         waiting = rows.withColumn("_steps", F.lit(None).cast(STEPS)).withColumn("_subroot", F.lit(None).cast("string"))
         kinds = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in names)
-        told = subtrees(waiting.unionByName(message)).mapInArrow(_down(names), f"{kinds}, _steps {STEPS}, _subroot string")
+        told = subtrees(waiting.unionByName(message), height).mapInArrow(_down(names, height), f"{kinds}, _steps {STEPS}, _subroot string")
         if turn:
             above = checkpointed(told).select("_group", F.col("_at").alias("_block"), "_steps", "_subroot")
     return told
 
 
-def manifest(docs: DataFrame, fields: Sequence[str] = ("doc_id", "source", "lang", "n_chars", "text"), key: str = "doc_id", group: str = "lang", keep: dict[str, Column] | None = None) -> DataFrame:
+def manifest(docs: DataFrame, fields: Sequence[str] = ("doc_id", "source", "lang", "n_chars", "text"), key: str = "doc_id", group: str = "lang", keep: dict[str, Column] | None = None, height: int = HEIGHT) -> DataFrame:
     """One row per row of ``docs``: its key, leaf, subroot, root and proof (list of steps, see above), and columns ``keep`` computed from it, which must be small."""
     keep = keep or {}
     taken = {f"_k{i}": c for i, c in enumerate(keep.values())}
     digest = F.unhex(digest_of([F.col(c) for c in fields]))
     narrow = docs.select(F.col(key).alias("_key"), _group_key(F.col(group)).alias("_group"), digest.alias("_digest"), *[c.alias(n) for n, c in taken.items()])
     leaves = checkpointed(placed(checkpointed(narrow), ["_key", "_digest"]))
-    rounds = climbed(leaves)
+    rounds = climbed(leaves, height)
     forest = checkpointed(placed(rounds[-1].select(F.col("_group").alias("_name"), F.lit("").alias("_group"), "_digest"), ["_name"]))
-    upper = climbed(forest)
+    upper = climbed(forest, height)
     root = upper[-1].agg(F.max("_digest")).first()[0]
     start = upper[-1].select("_group", F.array().cast(STEPS).alias("_steps"), F.lit(None).cast("string").alias("_subroot"))
-    proofs = checkpointed(delivered(upper, start, ["_name", "_digest"]).select(F.col("_name").alias("_group"), "_steps", F.lower(F.hex("_digest")).alias("_subroot")))
-    told = delivered(rounds, proofs, ["_key", "_digest", *taken])
+    proofs = checkpointed(delivered(upper, start, ["_name", "_digest"], height).select(F.col("_name").alias("_group"), "_steps", F.lower(F.hex("_digest")).alias("_subroot")))
+    told = delivered(rounds, proofs, ["_key", "_digest", *taken], height)
     return told.select(
         F.col("_key").alias(key), F.lower(F.hex("_digest")).alias("leaf"), F.col("_subroot").alias("subroot"), F.lit(root.hex() if root is not None else None).cast("string").alias("root"),
         F.col("_steps").alias("proof"), *[F.col(n).alias(c) for n, c in zip(taken, keep, strict=True)],
