@@ -1,21 +1,24 @@
-"""Cluster bootstraps as one aggregation.
+"""Cluster bootstraps in one scan.
 
-Rows are summed per cluster, each cluster sum meets B resample numbers, and a Poisson(1)
-weight drawn from (seed, cluster, resample) replaces drawing clusters with replacement.
-The draw is a function of the data, so a retried task or another cluster size gives the
-same interval, and nothing is indexed, collected or shuffled per resample: each task
-reduces its clusters to B partial sums before the exchange.
+Rows are summed per cluster, and a Poisson(1) weight drawn from (seed, cluster, resample) replaces drawing clusters with
+replacement. The draw is a function of the data, so a retried task or another cluster size gives the same interval, and nothing is
+indexed or collected. Each task multiplies its clusters' sums by their weights, a tile of clusters and resamples at a time, and hands on one vector
+of B sums per group: what is shuffled are the cluster sums, then tasks x groups x B numbers, never clusters x B. Resample 0 has every weight 1,
+so the estimate comes out of the same scan.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formbook.functions.odds import safe_div
-from formbook.operators.stats import beside
+
+RESAMPLES = 10_000
 
 # cumulative Poisson(1) probabilities: weight is the number of bounds at or below u
 _POISSON_ONE = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
@@ -50,57 +53,134 @@ def uniform_draw(seed: str, key: Column) -> Column:
     return hash_parts(seed, key)[0] / float(_PRIME)
 
 
+_TILE = (64, 2048)  # clusters, resamples
+_HELD = 64 << 20  # bytes of sums a task holds before it hands them on
+
+
+def _steps() -> np.ndarray:
+    """For each bound the first whole number whose share of the prime reaches it, so that whole numbers are compared as ``poisson_weight`` compares shares."""
+    out = []
+    for bound in _POISSON_ONE:
+        at = int(bound * _PRIME) - 2
+        while at / float(_PRIME) < bound:
+            at += 1
+        out.append(at)
+    return np.array(out, np.uint32)
+
+
+_STEPS = _steps()
+
+
+def weights(a: np.ndarray, c: np.ndarray, resamples: np.ndarray) -> np.ndarray:
+    """Poisson weights, clusters x resamples; those of resample 0 are 1."""
+    x = a[:, None] * resamples[None, :]
+    x += c[:, None]
+    # modulo 2 ** 31 - 1: high bits are added to low ones
+    high = x >> 31
+    x &= _PRIME
+    x += high
+    x = x.astype(np.uint32)
+    x -= (x >= _PRIME) * np.uint32(_PRIME)
+    out = (x >= _STEPS[0]).view(np.int8)
+    for step in _STEPS[1:4]:
+        out += (x >= step).view(np.int8)
+    # beyond three there is little: one share in fifty
+    rare = np.flatnonzero(x >= _STEPS[3])
+    out.ravel()[rare] += np.searchsorted(_STEPS[4:], x.ravel()[rare], "right").astype(np.int8)
+    out[:, resamples == 0] = 1
+    return out
+
+
+def _sampler(by: Sequence[str], sums: Sequence[str], resamples: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per group, B + 1 weighted totals of the clusters of a task (null where no cluster has a value)."""
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+        size = (resamples + 1) * len(sums) * 8
+        kinds: list[pa.DataType] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kinds = [batch.schema.field(k).type for k in by]
+            a, c = (batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("__a", "__c"))
+            values = np.stack([batch.column(n).fill_null(0.0).to_numpy(zero_copy_only=False).astype(float) for n in sums], axis=1)
+            present = np.stack([batch.column(n).is_valid().to_numpy(zero_copy_only=False) for n in sums], axis=1)
+            keys = list(zip(*[batch.column(k).to_pylist() for k in by], strict=True)) if by else [()] * batch.num_rows
+            places: dict[tuple, list[int]] = {}
+            for i, key in enumerate(keys):
+                places.setdefault(key, []).append(i)
+            for key, mine in places.items():
+                if key not in held:
+                    if (len(held) + 1) * size > _HELD and held:
+                        yield _sums(held, by, kinds, sums)
+                        held = {}
+                    held[key] = np.zeros((resamples + 1, len(sums))), np.zeros(len(sums), bool)
+                total, seen = held[key]
+                seen |= present[mine].any(axis=0)
+                for i in range(0, len(mine), _TILE[0]):
+                    part = mine[i : i + _TILE[0]]
+                    for j in range(0, resamples + 1, _TILE[1]):
+                        b = np.arange(j, min(j + _TILE[1], resamples + 1))
+                        total[b] += weights(a[part], c[part], b).astype(float).T @ values[part]
+        if held:
+            yield _sums(held, by, kinds, sums)
+
+    return sample
+
+
+def _sums(held: dict, by: Sequence[str], kinds: list[pa.DataType], sums: Sequence[str]) -> pa.RecordBatch:
+    many = len(next(iter(held.values()))[0])
+    columns = [pa.array([key[i] for key in held for _ in range(many)], kind) for i, kind in enumerate(kinds)]
+    columns.append(pa.array(np.tile(np.arange(many, dtype=np.int32), len(held))))
+    for n in range(len(sums)):
+        empty = np.repeat([not seen[n] for _, seen in held.values()], many)
+        columns.append(pa.array(np.concatenate([total[:, n] for total, _ in held.values()]), mask=empty))
+    return pa.RecordBatch.from_arrays(columns, names=[*by, "resample", *sums])
+
+
 def resample(df: DataFrame, by: Sequence[str], cluster: Sequence[str], sums: dict[str, Column], resamples: int, seed: str) -> DataFrame:
-    """Weighted totals per (by, resample); ``sums`` are summed per cluster first.
+    """Weighted totals per (by, resample), resample 0 being the data as they are; ``__clusters`` counts clusters without a null.
 
     A resample in which every weight of a group is zero keeps its row with zero totals.
     """
-    per = df.groupBy(*by, *cluster).agg(*[F.sum(e).cast("double").alias(n) for n, e in sums.items()])
+    named = F.when(~sum((F.col(k).isNull().cast("int") for k in cluster), F.lit(0)).cast("boolean"), F.lit(1.0)).otherwise(F.lit(0.0))
+    per = df.groupBy(*by, *cluster).agg(*[F.sum(e).cast("double").alias(n) for n, e in sums.items()]).withColumn("__clusters", named)
     a, c = hash_parts(seed, F.concat_ws("_", *[F.col(k).cast("string") for k in cluster]))
-    # hashed once per cluster and spread evenly, because every row below does B rows of work
-    slots = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hashed = per.select(*by, *sums, a.alias("__a"), c.alias("__c")).repartition(slots, "__a", "__c")
-    spread = hashed.select("*", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("resample"))
-    weighted = spread.withColumn("__w", poisson_weight(draw(F.col("__a"), F.col("__c"), F.col("resample"))))
-    return weighted.groupBy(*by, "resample").agg(*[F.sum(F.col("__w") * F.col(n)).alias(n) for n in sums])
+    hashed = per.select(*by, *sums, "__clusters", a.alias("__a"), c.alias("__c"))
+    names = [*sums, "__clusters"]
+    kinds = [f"`{k}` {hashed.schema[k].dataType.simpleString()}" for k in by]
+    parts = hashed.mapInArrow(_sampler(by, names, resamples), ", ".join([*kinds, "resample int", *[f"`{n}` double" for n in names]]))
+    return parts.groupBy(*by, "resample").agg(*[F.sum(n).alias(n) for n in names])
 
 
-def interval(reps: DataFrame, by: Sequence[str], stat: Column, level: float = 0.95) -> DataFrame:
-    """Percentile interval over the resamples (B values per group, a fixed small number)."""
+def interval(reps: DataFrame, by: Sequence[str], stat: Column, point: dict[str, Column] | None = None, level: float = 0.95) -> DataFrame:
+    """Values of the data as they are, and the percentile interval over the resamples (B values per group, a fixed number)."""
     tail = (1 - level) / 2
-    return reps.withColumn("__s", stat).groupBy(*by).agg(
+    drawn, given = F.col("resample") > 0, F.col("resample") == 0
+    return reps.withColumns({"__s": F.when(drawn, stat), **{f"__p_{n}": F.when(given, e) for n, e in (point or {}).items()}}).groupBy(*by).agg(
+        *[F.max(f"__p_{n}").alias(n) for n in point or {}],
+        F.coalesce(F.max(F.when(given, F.col("__clusters"))), F.lit(0.0)).cast("long").alias("n_clusters"),
         F.percentile("__s", tail).alias("lower"),
         F.percentile("__s", 1 - tail).alias("upper"),
-        F.count_if(F.col("__s").isNull()).alias("n_degenerate"),
+        F.count_if(drawn & stat.isNull()).alias("n_degenerate"),
     )
 
 
-def _with_point(df: DataFrame, by: Sequence[str], cluster: Sequence[str], point: dict[str, Column], ci: DataFrame) -> DataFrame:
-    est = df.groupBy(*by).agg(*[e.alias(n) for n, e in point.items()], F.count_distinct(*cluster).alias("n_clusters"))
-    return beside(est, ci, by)
-
-
-def cluster_bootstrap(df: DataFrame, cluster: Sequence[str], num: Column, den: Column, resamples: int = 200,
+def cluster_bootstrap(df: DataFrame, cluster: Sequence[str], num: Column, den: Column, resamples: int = RESAMPLES,
                       seed: str = "form", by: Sequence[str] = (), scale: float = 1.0) -> DataFrame:
     """Ratio of sums (ROI, mean) with its cluster interval."""
     reps = resample(df, by, cluster, {"__num": num, "__den": den}, resamples, seed)
-    ci = interval(reps, by, safe_div(F.col("__num"), F.col("__den")) * scale)
-    return _with_point(df, by, cluster, {"estimate": safe_div(F.sum(num), F.sum(den)) * scale}, ci)
+    ratio = safe_div(F.col("__num"), F.col("__den")) * scale
+    return interval(reps, by, ratio, {"estimate": ratio})
 
 
-def ratios_bootstrap(df: DataFrame, cluster: Sequence[str], nums: dict[str, Column], den: Column, label: str, resamples: int = 200,
+def ratios_bootstrap(df: DataFrame, cluster: Sequence[str], nums: dict[str, Column], den: Column, label: str, resamples: int = RESAMPLES,
                      seed: str = "form", by: Sequence[str] = ()) -> DataFrame:
     """Several ratios over one denominator on the same draws, one row per (by, ratio)."""
-    total = "__den"
-    reps = resample(df, by, cluster, {**nums, total: den}, resamples, seed)
-
-    def long(frame: DataFrame, keep: Sequence[str], name: str) -> DataFrame:
-        pairs = [F.struct(F.lit(n).alias(label), safe_div(F.col(n), F.col(total)).alias(name)) for n in nums]
-        return frame.select(*keep, F.inline(F.array(*pairs)))
-
-    ci = interval(long(reps, by, "__ratio"), [*by, label], F.col("__ratio"))
-    whole = df.groupBy(*by).agg(*[F.sum(e).alias(n) for n, e in nums.items()], F.sum(den).alias(total), F.count_distinct(*cluster).alias("n_clusters"))
-    return long(whole, [*by, "n_clusters"], "estimate").join(ci, [*by, label])
+    reps = resample(df, by, cluster, {**nums, "__den": den}, resamples, seed)
+    pairs = [F.struct(F.lit(n).alias(label), safe_div(F.col(n), F.col("__den")).alias("__ratio")) for n in nums]
+    long = reps.select(*by, "resample", "__clusters", F.inline(F.array(*pairs)))
+    return interval(long, [*by, label], F.col("__ratio"), {"estimate": F.col("__ratio")})
 
 
 def row_bootstrap(df: DataFrame, row_id: Sequence[str], value: Column, **kw) -> DataFrame:
@@ -110,7 +190,7 @@ def row_bootstrap(df: DataFrame, row_id: Sequence[str], value: Column, **kw) ->
 
 
 def paired_arms(df: DataFrame, cluster: Sequence[str], value: Column, arm_a: Column, arm_b: Column, weight: Column,
-                resamples: int = 200, seed: str = "form", by: Sequence[str] = ()) -> DataFrame:
+                resamples: int = RESAMPLES, seed: str = "form", by: Sequence[str] = ()) -> DataFrame:
     """Difference of two arms' ratios on the same draws, with the resamples that empty an arm."""
 
     def part(arm: Column, x: Column) -> Column:
@@ -118,12 +198,11 @@ def paired_arms(df: DataFrame, cluster: Sequence[str], value: Column, arm_a: Col
 
     sums = {"__na": part(arm_a, value), "__da": part(arm_a, weight), "__nb": part(arm_b, value), "__db": part(arm_b, weight)}
     reps = resample(df, by, cluster, sums, resamples, seed)
-    ci = interval(reps, by, safe_div(F.col("__na"), F.col("__da")) - safe_div(F.col("__nb"), F.col("__db")))
-    a, b = safe_div(F.sum(sums["__na"]), F.sum(sums["__da"])), safe_div(F.sum(sums["__nb"]), F.sum(sums["__db"]))
-    return _with_point(df, by, cluster, {"arm_a": a, "arm_b": b, "difference": a - b}, ci)
+    a, b = safe_div(F.col("__na"), F.col("__da")), safe_div(F.col("__nb"), F.col("__db"))
+    return interval(reps, by, a - b, {"arm_a": a, "arm_b": b, "difference": a - b})
 
 
-def correlation_bootstrap(df: DataFrame, cluster: Sequence[str], x: Column, y: Column, resamples: int = 200,
+def correlation_bootstrap(df: DataFrame, cluster: Sequence[str], x: Column, y: Column, resamples: int = RESAMPLES,
                           seed: str = "form", by: Sequence[str] = ()) -> DataFrame:
     """Pearson r from per-cluster sufficient sums."""
     rows = df.where(x.isNotNull() & y.isNotNull())
@@ -132,7 +211,7 @@ def correlation_bootstrap(df: DataFrame, cluster: Sequence[str], x: Column, y: C
     n, sx, sy = F.col("__n"), F.col("__x"), F.col("__y")
     vx, vy = n * F.col("__xx") - sx * sx, n * F.col("__yy") - sy * sy
     r = F.when((vx > 0) & (vy > 0), (n * F.col("__xy") - sx * sy) / F.sqrt(vx * vy))
-    return _with_point(rows, by, cluster, {"r": F.corr(x, y)}, interval(reps, by, r))
+    return interval(reps, by, r, {"r": r})
 
 
 def mean_vs_reference(df: DataFrame, cluster: Sequence[str], value: Column, reference: float, **kw) -> DataFrame:

@@ -12,7 +12,8 @@ from formbook.plans.frames import BETS, PAIRS, bets, prob_sql, table, with_sql
 from formbook.plans.quotes import pairs
 from formbook.plans.registry import query
 
-RESAMPLES = 100
+# SQL repeats every cluster B times; the operators' own default is what a study draws
+RESAMPLES = 1000
 _P = 2147483647
 
 
@@ -38,6 +39,12 @@ def a35(spark, d):
     return bs.cluster_bootstrap(bets(spark, d), ["game_id"], F.col("profit"), F.col("stake"), RESAMPLES, by=["flag"], scale=100.0)
 
 
+@query("a35_cluster_bootstrap_in_full")
+def a35_full(spark, d):
+    """As above, with the 10,000 resamples of a study."""
+    return bs.cluster_bootstrap(bets(spark, d), ["game_id"], F.col("profit"), F.col("stake"), by=["flag"], scale=100.0)
+
+
 @query(
     "a34_row_bootstrap_mean",
     """WITH per AS (SELECT o_orderkey AS k, o_totalprice AS num, 1.0::DOUBLE AS den FROM orders), """

@@ -368,7 +368,7 @@ _VARIANTS = """vs AS (SELECT year(bet_date) AS origin, flag AS pass, game_id, CA
 
 @query(
     "b20_variant_versus_control",
-    with_sql(BETS, _VARIANTS, "per AS (SELECT origin, pass, variant, game_id, sum(delta) AS num, count(*)::DOUBLE AS den FROM sc GROUP BY ALL)", draws_sql("per", "game_id", "variants", 50))
+    with_sql(BETS, _VARIANTS, "per AS (SELECT origin, pass, variant, game_id, sum(delta) AS num, count(*)::DOUBLE AS den FROM sc GROUP BY ALL)", draws_sql("per", "game_id", "variants"))
     + f""", reps AS (SELECT origin, pass, variant, resample, sum(w * num) / nullif(sum(w * den), 0) AS s FROM weighted GROUP BY ALL), ci AS (SELECT origin, pass, variant, quantile_cont(s, 0.025) AS lower, quantile_cont(s, 0.975) AS upper FROM reps GROUP BY ALL),
     m AS (SELECT origin, pass, variant, count(*) AS n, avg(b) AS brier, avg(delta) AS delta_control FROM sc GROUP BY ALL)
     SELECT CAST(origin AS INTEGER) AS origin, pass, variant, n, brier, delta_control, lower, upper, CASE WHEN upper < 0 THEN 'better' WHEN lower > 0 THEN 'worse' ELSE 'same' END AS verdict FROM m JOIN ci USING (origin, pass, variant)""",
@@ -384,7 +384,7 @@ def b20(spark, d):
     long = long.withColumns({"b": st.brier(F.col("p"), F.col("y"))}).withColumn("delta", F.col("b") - st.brier(F.col("p_control"), F.col("y")))
     by = ["origin", "pass", "variant"]
     m = long.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("b").alias("brier"))
-    ci = bs.cluster_bootstrap(long, ["game_id"], F.col("delta"), F.lit(1.0), 50, "variants", by)
+    ci = bs.cluster_bootstrap(long, ["game_id"], F.col("delta"), F.lit(1.0), RESAMPLES, "variants", by)
     verdict = F.when(F.col("upper") < 0, F.lit("better")).when(F.col("lower") > 0, F.lit("worse")).otherwise(F.lit("same"))
     return m.join(ci, by).select(*by, "n", "brier", F.col("estimate").alias("delta_control"), "lower", "upper", verdict.alias("verdict"))
 
