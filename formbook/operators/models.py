@@ -110,9 +110,9 @@ def random_configs(grid: dict[str, Sequence], n: int, seed: int) -> list[dict]:
     return [{k: rng.choice(list(v)) for k, v in grid.items()} for _ in range(n)]
 
 
-def sample_weights(df: DataFrame, value: str, low: float, high: float, name: str, rule: SplitRule = DEFAULT_RULE) -> DataFrame:
+def sample_weights(df: DataFrame, value: str, low: float, high: float, name: str) -> DataFrame:
     """Value clipped at its own exact percentiles (winsorised target)."""
-    lo, hi = (exact_percentiles(df, [], value, {"at": p}, rule).scalar() for p in (low, high))
+    lo, hi = (exact_percentiles(df, [], value, {"at": p}).scalar() for p in (low, high))
     return df.withColumns({"__lo": lo, "__hi": hi}).withColumn(
         name, F.least(F.greatest(F.col(value), F.col("__lo")), F.col("__hi"))
     ).drop("__lo", "__hi")

@@ -127,16 +127,16 @@ def consensus_line(df: DataFrame, entity: Sequence[str], all_books: Sequence[str
     return join_back(priced.withColumn("betting_line", nearest_half(F.col("__line"))).drop("__line"), books, all_books)
 
 
-def devig_consensus(df: DataFrame, key: Sequence[str], prob: str, book: str, rule: SplitRule = DEFAULT_RULE) -> DataFrame:
+def devig_consensus(df: DataFrame, key: Sequence[str], prob: str, book: str) -> DataFrame:
     """Mean and median fair probability with the number of books."""
     extra = {"mean_p_over": F.avg(prob), "n_books": F.count_distinct(book)}
-    return summarise(df, key, prob, {"median_p_over": 0.5}, extra, rule)
+    return summarise(df, key, prob, {"median_p_over": 0.5}, extra)
 
 
-def book_median_line(df: DataFrame, key: Sequence[str], line: str, book: str, rule: SplitRule = DEFAULT_RULE) -> DataFrame:
+def book_median_line(df: DataFrame, key: Sequence[str], line: str, book: str) -> DataFrame:
     """Median line over books with the sorted list of those books (a set of book names)."""
     books = F.array_join(F.array_sort(F.collect_set(F.col(book).cast("string"))), ",")
-    return summarise(df, key, line, {"median_line": 0.5}, {"books": books}, rule)
+    return summarise(df, key, line, {"median_line": 0.5}, {"books": books})
 
 
 def deviation_census(df: DataFrame, by: Sequence[str], line: str, consensus: str) -> DataFrame:
@@ -172,7 +172,7 @@ def dispersion(df: DataFrame, key: Sequence[str], line: str, prob: str, overroun
     whole = df.groupBy(*key).agg(F.count_distinct(book).alias("n_books"), F.stddev_pop(line).alias("line_dispersion"))
     modal = modal_line(df, key, line).drop("n_at_modal")
     at = join_back(df, modal, key, rule=rule).where(F.col(line) == F.col("modal_line"))
-    spread = summarise(at, key, overround, {"overround_median": 0.5}, {"prob_dispersion": F.stddev_pop(prob)}, rule)
+    spread = summarise(at, key, overround, {"overround_median": 0.5}, {"prob_dispersion": F.stddev_pop(prob)})
     return whole.join(modal, list(key), "left").join(spread, list(key), "left")
 
 
@@ -184,10 +184,10 @@ def leave_one_out(df: DataFrame, group: Sequence[str], value: str, name: str, ru
     return with_group_totals(df, group, totals, rule).withColumn(name, F.when(others > 0, rest / others)).drop("__s", "__c")
 
 
-def two_level_median(df: DataFrame, inner: Sequence[str], outer: Sequence[str], value: str, name: str, rule: SplitRule = DEFAULT_RULE) -> DataFrame:
+def two_level_median(df: DataFrame, inner: Sequence[str], outer: Sequence[str], value: str, name: str) -> DataFrame:
     """Sum per inner key, then the median of those sums per outer key."""
     sums = df.groupBy(*inner).agg(F.sum(value).alias("__sum"))
-    return exact_percentiles(sums, outer, "__sum", {name: 0.5}, rule)
+    return exact_percentiles(sums, outer, "__sum", {name: 0.5})
 
 
 def group_context(df: DataFrame, key: Sequence[str], line: str, book: str, rule: SplitRule = DEFAULT_RULE) -> DataFrame:
@@ -199,14 +199,14 @@ def group_context(df: DataFrame, key: Sequence[str], line: str, book: str, rule:
     return join_back(df, facts, key, rule=rule).withColumn("off_modal", (F.col(line) != F.col("modal_line")).cast("int"))
 
 
-def market_state(df: DataFrame, event: Sequence[str], market: str, label: str, home: str, prob: str, point: str, rule: SplitRule = DEFAULT_RULE) -> DataFrame:
+def market_state(df: DataFrame, event: Sequence[str], market: str, label: str, home: str, prob: str, point: str) -> DataFrame:
     """Home win probability and total points consensus per event."""
     h2h = df.where((F.col(market) == "h2h") & (F.col(label) == F.col(home)))
     totals = df.where((F.col(market) == "totals") & (F.col(label) == "Over"))
     a = h2h.groupBy(*event).agg(
         F.avg(prob).alias("home_prob_mean"), F.stddev_pop(prob).alias("home_prob_std"), F.count(prob).alias("home_prob_n")
     )
-    b = summarise(totals, event, point, {"total_median": 0.5}, {"total_std": F.stddev_pop(point), "total_n": F.count(point)}, rule)
+    b = summarise(totals, event, point, {"total_median": 0.5}, {"total_std": F.stddev_pop(point), "total_n": F.count(point)})
     return a.join(b, list(event), "full")
 
 

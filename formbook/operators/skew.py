@@ -4,8 +4,8 @@ A plain ``Window.partitionBy(key)`` puts a whole key in one task.  The helpers
 here use that plan for ordinary keys and a split plan for the few heavy ones:
 
 * heavy keys are found by one map-side combined count over the key columns only.
-  At most ``MAX_HOT`` keys are treated as heavy, so by pigeonhole any other key
-  holds under ``1/MAX_HOT`` of the rows, and the list is small enough to broadcast;
+  All keys of ``hot_rows`` rows or more are heavy, so there are at most (rows / hot_rows)
+  of them, a list that is small enough to broadcast, and every other key fits a task;
 * rows of heavy keys are range-partitioned on (key, order), which cuts a key into
   blocks of about equal size, and checkpointed so that a block id is data rather
   than something a retried task could derive differently;
@@ -13,7 +13,8 @@ here use that plan for ordinary keys and a split plan for the few heavy ones:
   bounded frames re-cut the rows by exact position and copy the frame's edge rows
   into the neighbouring chunk.
 
-The count is skipped when the plan's estimated size shows that no key can be large.
+The count is skipped when the plan's estimated size shows that no key can be large; a plan that
+multiplies rows (explode), which the estimate does not see, is always counted.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from formbook.session import checkpointed
 
-MAX_HOT = 1000
+NULL_SLICES = 1000  # tasks that rows without a key are spread over
 HOT_ROWS = 5_000_000
 SMALL_PLAN_BYTES = 256 << 20
 
@@ -53,21 +54,20 @@ def plan_bytes(df: DataFrame) -> int:
 
 
 def small_enough(df: DataFrame, limit: int) -> bool:
+    """Whether the estimate says so; it knows nothing of rows made by Generate or Expand."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if limit < EVEN.check_bytes and any(node in plan.toString() for node in ("Generate ", "Expand ")):
+        return False
     return plan_bytes(df) <= limit
 
 
-def broadcast_if_small(df: DataFrame, limit: int = 64 << 20) -> DataFrame:
-    """Broadcast hint behind a check of the estimated size; otherwise Spark shuffles."""
-    return F.broadcast(df) if small_enough(df, limit) else df
-
-
 def hot_keys(df: DataFrame, by: Sequence[str], rule: SplitRule = DEFAULT_RULE) -> DataFrame | None:
-    """The heaviest keys with their row counts (at most MAX_HOT rows), or None."""
+    """The heavy keys with their row counts, or None; at most (rows / hot_rows) keys."""
     if small_enough(df, rule.check_bytes):
         return None
     counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__rows"))
-    heavy = counts.where(F.col("__rows") >= rule.hot_rows).orderBy(F.desc("__rows")).limit(MAX_HOT)
-    rows = heavy.collect()  # at most MAX_HOT rows
+    heavy = counts.where(F.col("__rows") >= rule.hot_rows)
+    rows = heavy.collect()  # one row per hot_rows rows at most
     return df.sparkSession.createDataFrame(rows, heavy.schema) if rows else None
 
 
@@ -85,10 +85,10 @@ def join_back(
     if keys is None:
         return rows.join(per_key, list(on), how)
     cut = F.ceil(F.col("__rows") / rule.block_rows).cast("int")
-    marks = F.broadcast(keys.select(*on, cut.alias("__slices")))  # at most MAX_HOT rows
+    marks = F.broadcast(keys.select(*on, cut.alias("__slices")))  # one row per heavy key
     slices = F.coalesce("__slices", F.lit(1))
     no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
-    salt = F.pmod(F.xxhash64(*rows.columns), F.when(no_key, F.lit(MAX_HOT)).otherwise(slices)).cast("int")
+    salt = F.pmod(F.xxhash64(*rows.columns), F.when(no_key, F.lit(NULL_SLICES)).otherwise(slices)).cast("int")
     left = rows.join(marks, list(on), "left").withColumn("__salt", salt).drop("__slices")
     right = per_key.join(marks, list(on), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), slices - 1))).drop("__slices")
     return left.join(right, [*on, "__salt"], how).drop("__salt")
@@ -139,14 +139,36 @@ def split_hot(
     return rest, _blocks(heavy, by, order, total, rule)
 
 
+def _moments(value: Column, window: WindowSpec | None = None) -> Column:
+    parts = {"n": F.count(value), "mean": F.avg(value), "m2": F.var_pop(value)}
+    n, mean, m2 = (c if window is None else c.over(window) for c in parts.values())
+    return F.struct(n.alias("n"), mean.alias("mean"), (m2 * n).alias("m2"))
+
+
+def merged_moments(a: Column, b: Column) -> Column:
+    """Moments of two sets of rows from the moments of each."""
+    many = a["n"] + b["n"]
+    gap = a["mean"] - b["mean"]
+    both = F.struct(
+        many.alias("n"), (b["mean"] + gap * a["n"] / many).alias("mean"), (a["m2"] + b["m2"] + gap * gap * a["n"] * b["n"] / many).alias("m2")
+    )
+    return F.when(F.coalesce(b["n"], F.lit(0)) == 0, a).when(F.coalesce(a["n"], F.lit(0)) == 0, b).otherwise(both)
+
+
 @dataclass(frozen=True)
 class Running:
-    """One running aggregate: kind in sum, count, min, max, last (last non-null)."""
+    """One running aggregate: kind in sum, count, min, max, last (last non-null), moments.
+
+    ``moments`` is a struct (n, mean, m2) with m2 the sum of squared deviations from the mean. Two of
+    them merge without a difference of large sums, so values far from zero keep their spread.
+    """
 
     kind: str
     expr: Column
 
     def total(self, order: Sequence[Column]) -> Column:
+        if self.kind == "moments":
+            return _moments(self.expr)
         if self.kind == "last":
             seen = F.when(self.expr.isNotNull(), F.struct(*order))
             return F.max_by(self.expr, seen)
@@ -154,15 +176,27 @@ class Running:
 
     def over(self, window: WindowSpec, expr: Column | None = None) -> Column:
         value = self.expr if expr is None else expr
+        if self.kind == "moments":
+            return _moments(value, window)
         if self.kind == "last":
             return F.last(value, ignorenulls=True).over(window)
         return getattr(F, self.kind)(value).over(window)
 
     def carry(self, name: str, window: WindowSpec) -> Column:
+        if self.kind == "moments":
+            # block means are taken from the key's first, so that no large sums are subtracted
+            n, m2, start = F.col(name)["n"], F.col(name)["m2"], F.col(name)["start"]
+            off = F.col(name)["mean"] - start
+            many = F.sum(n).over(window)
+            mean = F.try_divide(F.sum(n * off).over(window), F.nullif(many, F.lit(0)).cast("double"))
+            spread = F.sum(m2).over(window) + F.greatest(F.sum(n * off * off).over(window) - many * mean * mean, F.lit(0.0))
+            return F.struct(many.alias("n"), (F.max(start).over(window) + mean).alias("mean"), spread.alias("m2"))
         kind = "sum" if self.kind == "count" else self.kind
         return Running(kind, F.col(name)).over(window)
 
     def combine(self, local: Column, carry: Column) -> Column:
+        if self.kind == "moments":
+            return merged_moments(local, carry)
         if self.kind == "last":
             return F.coalesce(local, carry)
         if self.kind == "min":
@@ -201,13 +235,18 @@ def running(
     keys = [*by, "__block"]
     totals = split.groupBy(*keys).agg(*[a.total(order).alias(f"__t_{n}") for n, a in aggs.items()])
     before = Window.partitionBy(*by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(*by).orderBy("__block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    for n, a in aggs.items():
+        if a.kind == "moments":
+            start = F.first(F.col(f"__t_{n}")["mean"], ignorenulls=True).over(every)
+            totals = totals.withColumn(f"__t_{n}", F.col(f"__t_{n}").withField("start", start))
     carries = totals.select(
         *[F.col(k).alias(f"__k_{k}") for k in keys],
         *[a.carry(f"__t_{n}", before).alias(f"__c_{n}") for n, a in aggs.items()],
     )
     inside = split.withColumns({f"__l_{n}": c for n, c in local(keys).items()})
     same = reduce(lambda a, b: a & b, [inside[k].eqNullSafe(carries[f"__k_{k}"]) for k in keys])
-    # one carry per (heavy key, block): at most blocks + MAX_HOT rows
+    # one carry per (heavy key, block): at most blocks + heavy keys
     joined = inside.join(F.broadcast(carries), same, "left")
     done = joined.select(
         *df.columns,
@@ -279,60 +318,51 @@ def row_numbers(
     return running(df, by, order, {name: Running("count", F.lit(1))}, rule=rule)
 
 
-def exact_percentiles(
-    df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], rule: SplitRule = DEFAULT_RULE
-) -> DataFrame:
-    """Exact linearly interpolated percentiles per key.
+def _slot(value: Column) -> Column:
+    """A whole number that never falls as the value rises: 4,096 slots for each factor e of magnitude."""
+    scaled = F.signum(value) * F.log1p(F.abs(value) * float(1 << 20)) * 4096
+    return F.when(F.isnan(value), F.lit((1 << 63) - 1)).otherwise(F.floor(scaled))
+
 
-    Works on counts per distinct value, so no task holds a key's values in memory
-    the way a ``percentile`` buffer does.  Rows with a NULL key are left out.
+def exact_percentiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Exact linearly interpolated percentiles per key, by narrowing: one way for keys of any size.
+
+    Rows are counted per distinct value, values per slot. Sums over a key's slots (a bounded number) tell the slot in which each wanted rank
+    lies, and only values of those slots are put in order. No task holds a key's rows or values. Rows with a NULL key are left out.
     """
+    keys = list(by) or ["__all"]
+    rows = df if by else df.withColumn("__all", F.lit(0))
     counts = (
-        df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (value, *by)]))
-        .groupBy(*by, F.col(value).cast("double").alias("__v"))
+        rows.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (value, *by)]))
+        .groupBy(*keys, F.col(value).cast("double").alias("__v"))
         .agg(F.count(F.lit(1)).alias("__n"))
+        .withColumn("__slot", _slot(F.col("__v")))
     )
-    heavy = hot_keys(counts, by, rule) if by else None
-    upto = running(counts, by, [F.col("__v")], {"__upto": Running("sum", F.col("__n"))}, rule=rule, heavy=heavy)
-    if by:
-        ranked = with_group_totals(upto, by, {"__total": F.sum("__n")}, rule, heavy)
-    else:
-        ranked = upto.withColumn("__total", counts.agg(F.sum("__n")).scalar())
+    slots = counts.groupBy(*keys, "__slot").agg(F.sum("__n").alias("__m"))
+    key = Window.partitionBy(*keys)
+    upto = F.sum("__m").over(key.orderBy("__slot"))
+    slots = slots.select(*keys, "__slot", (upto - F.col("__m")).alias("__below"), upto.alias("__upto"), F.sum("__m").over(key).alias("__total"))
+    at = {name: F.lit(float(p)) * (F.col("__total") - 1) for name, p in probs.items()}
+    ranks = F.array(*[c for x in at.values() for c in (F.floor(x), F.ceil(x))])
+    wanted = slots.where(F.exists(ranks, lambda r: (r >= F.col("__below")) & (r < F.col("__upto")))).drop("__upto")
+    inside = counts.join(wanted, [*keys, "__slot"])
+    last = F.col("__below") + F.sum("__n").over(Window.partitionBy(*keys, "__slot").orderBy("__v"))
+    inside = inside.select(*keys, "__v", "__total", (last - F.col("__n")).alias("__from"), last.alias("__to"))
     parts: list[Column] = []
     final: list[Column] = []
-    for name, p in probs.items():
-        at = F.lit(float(p)) * (F.col("__total") - 1)
-        parts += [
-            F.min(F.when(F.col("__upto") > F.floor(at), F.col("__v"))).alias(f"__lo_{name}"),
-            F.min(F.when(F.col("__upto") > F.ceil(at), F.col("__v"))).alias(f"__hi_{name}"),
-        ]
-        frac = F.lit(float(p)) * (F.col("__total") - 1)
-        final.append(
-            (
-                F.col(f"__lo_{name}")
-                + (F.col(f"__hi_{name}") - F.col(f"__lo_{name}")) * (frac - F.floor(frac))
-            ).alias(name)
-        )
-    return ranked.groupBy(*by, "__total").agg(*parts).select(*by, *final)
+    for name, x in at.items():
+        for end, rank in (("lo", F.floor(x)), ("hi", F.ceil(x))):
+            parts.append(F.max(F.when((rank >= F.col("__from")) & (rank < F.col("__to")), F.col("__v"))).alias(f"__{end}_{name}"))
+        lo, hi = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
+        final.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (x - F.floor(x))).alias(name))
+    out = inside.groupBy(*keys, "__total").agg(*parts).select(*keys, *final)
+    if by:
+        return out
+    return df.sparkSession.range(1).select(F.lit(0).alias("__all")).join(F.broadcast(out), "__all", "left").drop("__all")  # one row by one row
 
 
-def summarise(
-    df: DataFrame,
-    by: Sequence[str],
-    value: str,
-    probs: dict[str, float],
-    extra: dict[str, Column],
-    rule: SplitRule = DEFAULT_RULE,
-) -> DataFrame:
-    """Exact percentiles of a value beside other aggregates of the same groups.
-
-    A plan small enough by estimate is one aggregation with percentile buffers; beyond that
-    the percentiles go through counts per value and are joined on.  Rows with a NULL key
-    are left out.
-    """
+def summarise(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], extra: dict[str, Column]) -> DataFrame:
+    """Exact percentiles of a value beside other aggregates of the same groups; rows with a NULL key are left out."""
     rows = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in by]))
-    others = [e.alias(n) for n, e in extra.items()]
-    if small_enough(df, rule.check_bytes):
-        mids = [F.percentile(F.col(value).cast("double"), p).alias(n) for n, p in probs.items()]
-        return rows.groupBy(*by).agg(*others, *mids)
-    return rows.groupBy(*by).agg(*others).join(exact_percentiles(df, by, value, probs, rule), list(by), "left")
+    others = rows.groupBy(*by).agg(*[e.alias(n) for n, e in extra.items()])
+    return others.join(exact_percentiles(df, by, value, probs), list(by), "left")

@@ -18,10 +18,10 @@ def beside(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
     return a.withColumn("__one", F.lit(1)).join(b.withColumn("__one", F.lit(1)), "__one").drop("__one")
 
 
-def _with_percentiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], extra: dict[str, Column], rule: SplitRule) -> DataFrame:
+def _with_percentiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], extra: dict[str, Column]) -> DataFrame:
     if by:
-        return summarise(df, by, value, probs, extra, rule)
-    return beside(df.agg(*[e.alias(n) for n, e in extra.items()]), exact_percentiles(df, by, value, probs, rule), by)
+        return summarise(df, by, value, probs, extra)
+    return beside(df.agg(*[e.alias(n) for n, e in extra.items()]), exact_percentiles(df, by, value, probs), by)
 
 
 def clipped(p: Column, eps: float = 1e-15) -> Column:
@@ -93,16 +93,16 @@ def roc_auc(df: DataFrame, by: Sequence[str], score: str, y: str, rule: SplitRul
     )
 
 
-def quantile_edges(df: DataFrame, value: str, bins: int, rule: SplitRule = DEFAULT_RULE) -> DataFrame:
+def quantile_edges(df: DataFrame, value: str, bins: int) -> DataFrame:
     """One row holding the distinct bin edges of ``bins`` equal-count bins."""
     probs = {f"q{i}": i / bins for i in range(bins + 1)}
-    row = exact_percentiles(df, [], value, probs, rule)
+    row = exact_percentiles(df, [], value, probs)
     return row.select(F.array_sort(F.array_distinct(F.array(*[F.col(n) for n in probs]))).alias("edges"))
 
 
-def reliability_quantile(df: DataFrame, p: str, y: str, bins: int = 10, rule: SplitRule = DEFAULT_RULE) -> DataFrame:
+def reliability_quantile(df: DataFrame, p: str, y: str, bins: int = 10) -> DataFrame:
     """Predicted against observed per quantile bin; repeated edges merge bins."""
-    edges = quantile_edges(df, p, bins, rule).scalar()
+    edges = quantile_edges(df, p, bins).scalar()
     left_of = F.size(F.filter("edges", lambda e: e < F.col(p)))
     return (
         df.where(F.col(p).isNotNull())
@@ -143,9 +143,9 @@ def tail_calibration(df: DataFrame, cdf: dict[int, Column], y: str, keep: Column
     )
 
 
-def numeric_profile(df: DataFrame, by: Sequence[str], value: str, rule: SplitRule = DEFAULT_RULE) -> DataFrame:
+def numeric_profile(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     stats = {"n": F.count(value), "mean": F.avg(value), "std": F.stddev_samp(value), "low": F.min(value), "high": F.max(value)}
-    return _with_percentiles(df, by, value, {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}, stats, rule)
+    return _with_percentiles(df, by, value, {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}, stats)
 
 
 def bucket_summary(df: DataFrame, value: str, y: str, edges: Sequence[float]) -> DataFrame:
@@ -226,9 +226,9 @@ def null_rates(df: DataFrame, by: Sequence[Column], columns: Sequence[str]) -> D
     )
 
 
-def gap_stats(df: DataFrame, by: Sequence[str], gap: str, limits: Sequence[float], rule: SplitRule = DEFAULT_RULE) -> DataFrame:
+def gap_stats(df: DataFrame, by: Sequence[str], gap: str, limits: Sequence[float]) -> DataFrame:
     counts = {"n": F.count(gap), "max_gap": F.max(gap)} | {f"over_{x:g}": F.count_if(F.col(gap) > x) for x in limits}
-    return _with_percentiles(df, by, gap, {"median_gap": 0.5, "p95_gap": 0.95}, counts, rule)
+    return _with_percentiles(df, by, gap, {"median_gap": 0.5, "p95_gap": 0.95}, counts)
 
 
 def funnel(df: DataFrame, steps: Sequence[tuple[str, Column]], kept: str = "kept") -> DataFrame:

@@ -52,42 +52,11 @@ def prior_expanding(
     min_std: int = 2,
     rule: SplitRule = DEFAULT_RULE,
 ) -> DataFrame:
-    """Mean, population std and count of all earlier rows.
-
-    Where a key is heavy the std comes from running sums of deviations from a per-entity
-    shift (its smallest value), which keeps the two-sum formula well conditioned.
-    """
-    if hot_keys(df, entity, rule) is None:
-        w = Window.partitionBy(*entity).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumns(
-            {
-                f"{prefix}_games_prior": F.count(F.lit(1)).over(w),
-                f"{prefix}_avg": F.avg(value).over(w),
-                f"{prefix}_std": F.when(F.count(value).over(w) >= min_std, F.stddev_pop(value).over(w)),
-            }
-        )
-    shift = df.groupBy(*entity).agg(F.min(value).alias("__shift"))
-    x = join_back(df, shift, entity, "left", rule).withColumn("__x", F.col(value) - F.col("__shift"))
-    out = running(
-        x,
-        entity,
-        cols(order),
-        {
-            "__n": Running("count", F.col("__x")),
-            "__s": Running("sum", F.col("__x")),
-            "__q": Running("sum", F.col("__x") * F.col("__x")),
-            f"{prefix}_games_prior": Running("count", F.lit(1)),
-        },
-        prior=True,
-        rule=rule,
-    )
-    mean = F.try_divide(F.col("__s"), F.nullif(F.col("__n"), F.lit(0)))
-    var = F.try_divide(F.col("__q"), F.nullif(F.col("__n"), F.lit(0))) - mean * mean
-    return (
-        out.withColumn(f"{prefix}_avg", mean + F.col("__shift"))
-        .withColumn(f"{prefix}_std", F.when(F.col("__n") >= min_std, F.sqrt(F.greatest(var, F.lit(0.0)))))
-        .drop("__shift", "__x", "__n", "__s", "__q")
-    )
+    """Mean, population std and count of all earlier rows, from moments that merge (see ``Running``)."""
+    aggs = {"__m": Running("moments", F.col(value).cast("double")), f"{prefix}_games_prior": Running("count", F.lit(1))}
+    out = running(df, entity, cols(order), aggs, prior=True, rule=rule)
+    n, mean, m2 = (F.col("__m")[c] for c in ("n", "mean", "m2"))
+    return out.withColumns({f"{prefix}_avg": mean, f"{prefix}_std": F.when(n >= min_std, F.sqrt(m2 / n))}).drop("__m")
 
 
 def ema_reach(alpha: float, precision: float = 1e-18) -> int:
@@ -180,25 +149,29 @@ def recent_rows(df: DataFrame, entity: Sequence[str], order_desc: Sequence[Colum
 
 
 def prior_league(df: DataFrame, season: Sequence[str], date: str, value: str) -> DataFrame:
-    """League count, mean and population std over strictly earlier dates, one row per date."""
-    daily = (
-        df.groupBy(*season, F.to_date(date).alias("league_date"))
-        .agg(
-            F.count(value).alias("__n"),
-            F.coalesce(F.sum(value), F.lit(0.0)).alias("__s"),
-            F.coalesce(F.sum(F.col(value) * F.col(value)), F.lit(0.0)).alias("__q"),
-        )
+    """League count, mean and population std over strictly earlier dates, one row per date.
+
+    Values are taken from the season's first daily mean before they are squared, so that values far from zero keep their spread.
+    """
+    x = F.col(value).cast("double")
+    daily = df.groupBy(*season, F.to_date(date).alias("league_date")).agg(
+        F.count(x).alias("__n"), F.avg(x).alias("__mean"), (F.var_pop(x) * F.count(x)).alias("__m2")
     )
-    # one row per calendar date: the window is bounded by the calendar
-    w = Window.partitionBy(*season).orderBy("league_date").rowsBetween(Window.unboundedPreceding, -1)
-    n = F.coalesce(F.sum("__n").over(w), F.lit(0))
+    # one row per calendar date: the windows are bounded by the calendar
+    dates = Window.partitionBy(*season).orderBy("league_date")
+    whole = dates.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    w = dates.rowsBetween(Window.unboundedPreceding, -1)
+    daily = daily.withColumn("__start", F.first("__mean", ignorenulls=True).over(whole)).withColumn("__off", F.col("__mean") - F.col("__start"))
+    n, off = F.coalesce(F.sum("__n").over(w), F.lit(0)), F.col("__n") * F.col("__off")
     cum = daily.select(
-        *season, "league_date", n.alias("prior_count"), F.sum("__s").over(w).alias("__cs"), F.sum("__q").over(w).alias("__cq")
+        *season, "league_date", "__start", n.alias("prior_count"), F.sum(off).over(w).alias("__s"),
+        F.sum(F.col("__m2") + off * F.col("__off")).over(w).alias("__q"),
     )
-    mean = F.try_divide(F.col("__cs"), F.nullif(F.col("prior_count"), F.lit(0)))
-    var = F.try_divide(F.col("__cq"), F.nullif(F.col("prior_count"), F.lit(0))) - mean * mean
+    many = F.nullif(F.col("prior_count"), F.lit(0))
+    mean = F.try_divide(F.col("__s"), many)
+    var = F.try_divide(F.col("__q"), many) - mean * mean
     return cum.select(
-        *season, "league_date", "prior_count", mean.alias("prior_mean"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("prior_std")
+        *season, "league_date", "prior_count", (F.col("__start") + mean).alias("prior_mean"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("prior_std")
     )
 
 

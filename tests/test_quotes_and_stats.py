@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +167,24 @@ def test_gates(spark):
         ql.require_columns(df, ["absent"])
     gap = ql.two_path_gap(df.where("k = 2"), df.where("k = 2").withColumn("v", F.col("v") + 1), ["k"], ["v"]).first()
     assert gap["gap_v"] == 1.0 and gap["only_first"] == 0
+
+
+def test_resamples_in_tasks_match_column_weights(spark):
+    rows = [(i % 3 if i % 3 else None, f"c{i % 41}" if i % 41 else None, float(i), None if i % 5 == 0 else float(i % 7)) for i in range(400)]
+    df = spark.createDataFrame(rows, "g int, c string, x double, y double").repartition(5)
+    reps = bs.resample(df, ["g"], ["c"], {"sx": F.col("x"), "sy": F.col("y")}, 300, "seed").toPandas().set_index(["g", "resample"]).sort_index()
+    a, c = bs.hash_parts("seed", F.concat_ws("_", F.col("c")))
+    per = df.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(300)))).withColumn("w", F.when(F.col("b") == 0, 1).otherwise(bs.poisson_weight(bs.draw(a, c, F.col("b")))))
+    want = per.groupBy("g", "b").agg(F.sum(F.col("w") * F.col("x")).alias("sx"), F.sum(F.col("w") * F.col("y")).alias("sy")).toPandas().set_index(["g", "b"]).sort_index()
+    np.testing.assert_allclose(reps[["sx", "sy"]], want[["sx", "sy"]], rtol=1e-12)
+    assert len(reps) == 3 * 301
+
+
+def test_bootstrap_ships_vectors_not_clusters(spark):
+    df = spark.range(20_000).select(F.col("id").alias("c"), (F.col("id") % 10).cast("double").alias("v"))
+    reps = bs.resample(df, [], ["c"], {"s": F.col("v")}, 50, "x")
+    plan = reps._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Generate" not in plan
+    assert reps.count() == 51
+    empty = bs.cluster_bootstrap(df.limit(0), ["c"], F.col("v"), F.lit(1.0), 20).first()
+    assert empty["n_clusters"] == 0 and empty["estimate"] is None and empty["lower"] is None
