@@ -1,20 +1,21 @@
 """The snapshot log as Structured Streaming jobs.
 
-Keyed results go to a log folder with one directory per micro-batch, written with overwrite, so
-a replayed batch replaces itself.  ``insert_if_absent`` and ``line_parts`` take rows however late
-they land.  ``drop_repeats`` and ``line_state`` with a day release state by watermarks and drop
-rows that land behind them.
+Keyed results go to a ``KeyedLog``, whose batches cost what they hold, take rows however late they land, and replace
+themselves when they are replayed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from formbook.operators.grading import settle_tickets
-from formbook.sources.tables import insert_new
+from formbook.session import checkpointed
+from formbook.streaming.logs import KeyedLog, bucket, keep_last, newest_row
 
 
 def landing_stream(spark: SparkSession, folder: str, schema, glob: str | None = None, max_files: int | None = None) -> DataFrame:
@@ -26,11 +27,6 @@ def landing_stream(spark: SparkSession, folder: str, schema, glob: str | None =
     return reader.parquet(folder)
 
 
-def drop_repeats(stream: DataFrame, ts: str, key: Sequence[str], delay: str = "1 day") -> DataFrame:
-    """Exact duplicates within the watermark are dropped; older state is released, and rows that land behind the watermark go too."""
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(key))
-
-
 def run_to_end(stream: DataFrame, work: str, sink: Callable[[DataFrame, int], None], mode: str = "append") -> None:
     """Process everything that has landed, then stop; restarts continue from the checkpoint."""
     query = (
@@ -43,27 +39,6 @@ def run_to_end(stream: DataFrame, work: str, sink: Callable[[DataFrame, int], No
     query.awaitTermination()
 
 
-def batch_log(path: str) -> Callable[[DataFrame, int], None]:
-    """Sink: one directory per batch id, so a replay is idempotent."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id:012d}")
-
-    return write
-
-
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("batch")
-
-
-def fold_log(spark: SparkSession, path: str, key: Sequence[str], version: Sequence[str]) -> DataFrame:
-    """Newest row per key across all batches of a log."""
-    log = spark.read.parquet(path)
-    rest = [c for c in log.columns if c not in key]
-    best = log.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*version, "batch")).alias("__b"))
-    return best.select(*key, "__b.*").drop("batch")
-
-
 def firewall(path: str, ts: str, start: str) -> Callable[[DataFrame, int], None]:
     """Sink: rows stamped at or before the start to ``pregame``, the others to ``late``."""
 
@@ -76,98 +51,82 @@ def firewall(path: str, ts: str, start: str) -> Callable[[DataFrame, int], None]
     return write
 
 
-def line_state(
-    stream: DataFrame, key: Sequence[str], ts: str, tie: str, start: str, line: str, day: str | None = None, keep: str = "7 days"
-) -> DataFrame:
-    """Current and closing line per key; the start is the newest one seen, so a moved start counts.
-
-    ``day`` names a date column of the key: state of days older than ``keep`` behind the
-    newest day is released, and rows that land for them later are dropped.  Without it every key
-    is remembered for good.
-    """
-    groups = list(key)
-    if day is not None:
-        stream = stream.withColumn("__day", F.col(day).cast("timestamp")).withWatermark("__day", keep)
-        groups.append("__day")
-    newest = F.struct(ts, tie)
-    rows = F.struct(ts, tie, line)
-    return stream.groupBy(*groups).agg(
-        F.max_by(line, newest).alias("current_line"),
-        F.max(ts).alias("current_ts"),
-        F.max_by(start, newest).alias("scheduled_start"),
-        F.max(F.when(F.col(ts) <= F.col(start), rows)).alias("__closing"),
-        F.count(F.lit(1)).alias("n_snapshots"),
-    ).select(
-        *key, "current_line", "current_ts", "scheduled_start", "n_snapshots", F.col(f"__closing.{line}").alias("closing_line")
-    )
-
-
-def line_parts(path: str, key: Sequence[str], ts: str, tie: str, start: str, line: str) -> Callable[[DataFrame, int], None]:
-    """Sink: what each batch says of the lines of its keys; ``fold_lines`` puts the batches together."""
+def line_parts(key: Sequence[str], ts: str, tie: str, start: str, line: str) -> Callable[[DataFrame], DataFrame]:
+    """What rows say of the lines of their keys: newest and closing row, and their number."""
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        rows = F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie"), F.col(line).alias("line"))
-        parts = batch.groupBy(*key).agg(
+    def parts(rows: DataFrame) -> DataFrame:
+        said = F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie"), F.col(line).alias("line"))
+        return rows.groupBy(*key).agg(
             F.max(F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie"), F.col(line).alias("line"), F.col(start).alias("start"))).alias("newest"),
-            F.max(F.when(F.col(ts) <= F.col(start), rows)).alias("closing"),
+            F.max(F.when(F.col(ts) <= F.col(start), said)).alias("closing"),
             F.count(F.lit(1)).alias("n"),
         )
-        parts.write.mode("overwrite").parquet(f"{path}/batch={batch_id:012d}")
-
-    return write
 
-
-def fold_lines(spark: SparkSession, path: str, key: Sequence[str]) -> DataFrame:
-    """The columns of ``line_state`` per key, from all batches of ``line_parts`` in whatever order their rows were stamped."""
-    folded = read_log(spark, path).groupBy(*key).agg(F.max("newest").alias("a"), F.max("closing").alias("z"), F.sum("n").alias("n_snapshots"))
-    return folded.select(
-        *key, F.col("a.line").alias("current_line"), F.col("a.ts").alias("current_ts"), F.col("a.start").alias("scheduled_start"), "n_snapshots", F.col("z.line").alias("closing_line")
-    )
+    return parts
 
 
-def insert_if_absent(path: str, key: Sequence[str], position: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """Sink: append rows whose key no earlier batch holds.
-
-    The comparison reads only batches before this one, so replaying a batch gives the same
-    rows again.
-    """
+def fold_lines(key: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
+    """Puts ``line_parts`` together, in whatever order their rows were stamped."""
+    return lambda parts: parts.groupBy(*key).agg(F.max("newest").alias("newest"), F.max("closing").alias("closing"), F.sum("n").alias("n"))
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        this = f"{path}/batch={batch_id:012d}"
-        seed = batch.limit(0).select(*key)
-        fs = batch.sparkSession._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(
-            batch.sparkSession._jsc.hadoopConfiguration()
-        )
-        held = seed
-        if fs.exists(batch.sparkSession._jvm.org.apache.hadoop.fs.Path(path)):
-            held = batch.sparkSession.read.schema(
-                ", ".join(f"`{n}` {t}" for n, t in [*batch.dtypes, ("batch", "bigint")])
-            ).parquet(path).where(F.col("batch") < batch_id).select(*key)
-        insert_new(held, batch, key, position).write.mode("overwrite").parquet(this)
 
-    return write
+def line_columns(parts: DataFrame, key: Sequence[str]) -> DataFrame:
+    return parts.select(
+        *key, F.col("newest.line").alias("current_line"), F.col("newest.ts").alias("current_ts"), F.col("newest.start").alias("scheduled_start"),
+        F.col("n").alias("n_snapshots"), F.col("closing.line").alias("closing_line"),
+    )
 
 
-def resettle(path: str, legs: DataFrame, leg_key: Sequence[str], result: str, ticket: Sequence[str],
-             grade_with: Callable[[DataFrame], Column]) -> Callable[[DataFrame, int], None]:
-    """Sink: grade legs that got results in this batch and settle the tickets they belong to.
+@dataclass(frozen=True)
+class Resettlement:
+    """Legs that wait for facts of their keys (a result, a closing line), and the tickets they belong to.
 
-    Only tickets with a leg in the batch are recomputed, from all of their legs and the newest
-    result of each known so far (earlier batches are kept beside the output), so a correction
-    in a later batch settles its tickets anew.
+    Facts arrive in any order, one or several at a time, and may be corrected. Each batch adds its facts to a keyed log in which every column keeps its newest value,
+    then grades all legs of the tickets that have a leg among the batch's keys, from all that is known so far. So a result that comes before its closing line
+    is graded at once and gets its closing line with the batch that brings it, and a correction settles its tickets anew.
     """
 
-    def write(batch: DataFrame, batch_id: int) -> None:
+    path: str
+    legs: DataFrame
+    leg_key: Sequence[str]
+    leg_id: Sequence[str]
+    ticket: Sequence[str]
+    facts: T.StructType
+    graded: Callable[[DataFrame], dict[str, Column]]
+    result: str = "result"
+    # one scan of the legs for each batch; of the facts only the buckets that their legs need are read
+
+    @property
+    def known(self) -> KeyedLog:
+        return KeyedLog(f"{self.path}/facts", "__bucket", keep_last(["__bucket", *self.leg_key], ["__pos"]))
+
+    def _log(self, name: str, key: Sequence[str]) -> KeyedLog:
+        return KeyedLog(f"{self.path}/{name}", "__bucket", newest_row(["__bucket", *key]))
+
+    def write(self, batch: DataFrame, batch_id: int) -> None:
+        """Sink of a stream of facts; the greatest row of a key within a batch wins."""
         spark = batch.sparkSession
-        name = f"batch={batch_id:012d}"
-        batch.write.mode("overwrite").parquet(f"{path}/results/{name}")
-        seen = spark.read.parquet(f"{path}/results").where(F.col("batch") <= batch_id)
-        facts = F.struct(*[F.col(x) for x in batch.columns if x not in leg_key])
-        known = seen.groupBy(*leg_key).agg(F.max_by(facts, F.struct("batch", facts)).alias("__r")).select(*leg_key, "__r.*")
-        touched = legs.join(batch.select(*leg_key).distinct(), list(leg_key), "left_semi").select(*ticket).distinct()
-        open_legs = legs.join(touched, list(ticket), "left_semi")
-        graded = open_legs.join(known, list(leg_key), "left")
-        settled = settle_tickets(graded.withColumn(result, grade_with(graded)), ticket, result)
-        settled.write.mode("overwrite").parquet(f"{path}/tickets/{name}")
-
-    return write
+        names = [f.name for f in self.facts.fields]
+        rest = [c for c in names if c not in self.leg_key]
+        rows = batch.select(*names, F.struct(*rest).alias("__pos"), bucket(self.leg_key).alias("__bucket"))
+        self.known.append(rows, batch_id)
+        touched = rows.select(*self.leg_key).distinct().withColumn("__hit", F.lit(1))
+        marked = self.legs.join(touched, list(self.leg_key), "left")
+        mine = Window.partitionBy(*self.ticket)
+        open_legs = checkpointed(marked.withColumn("__any", F.max("__hit").over(mine)).where("__any = 1").drop("__hit", "__any"))
+        buckets = [r[0] for r in open_legs.select(bucket(self.leg_key)).distinct().collect()]  # 64 at most
+        facts = self.known.read(spark, rows.schema, buckets).select(*names)
+        legs = open_legs.join(facts, list(self.leg_key), "left")
+        legs = legs.withColumns(self.graded(legs))
+        self._log("legs", self.leg_id).append(legs.withColumn("__bucket", bucket(self.leg_id)), batch_id)
+        # graded once: tickets are settled from the legs as they were written
+        written = self._log("legs", self.leg_id)
+        newest = written.newest(spark, legs.withColumn("__bucket", bucket(self.leg_id)).schema, batch_id).drop("__bucket")
+        settled = settle_tickets(newest, self.ticket, self.result)
+        self._log("tickets", self.ticket).append(settled.withColumn("__bucket", bucket(self.ticket)), batch_id)
+
+    def read(self, spark: SparkSession, name: str, schema: T.StructType) -> DataFrame:
+        """``legs`` or ``tickets`` after the last batch."""
+        key = self.leg_id if name == "legs" else self.ticket
+        whole = T.StructType([*schema.fields, T.StructField("__bucket", T.IntegerType())])
+        return self._log(name, key).read(spark, whole).drop("__bucket")

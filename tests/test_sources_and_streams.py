@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from formbook.operators.quality import GateFailed
 from formbook.session import checkpointed
 from formbook.sources import documents as dc
 from formbook.sources import tables as tb
+from formbook.streaming import logs as lg
 from formbook.streaming import snapshots as sn
 
 
@@ -139,60 +141,82 @@ def t(h, m=0):
     return dt.datetime(2024, 1, 1, h, m)
 
 
-def test_line_state_follows_a_moved_start_across_batches(spark, tmp_path):
-    folder, work = str(tmp_path / "in"), str(tmp_path / "work")
-    schema = spark.createDataFrame([], LOG).schema
-
-    def go():
-        stream = sn.landing_stream(spark, folder, schema, max_files=1)
-        sn.run_to_end(sn.line_state(stream, ["k"], "at", "id", "start", "line"), work, sn.batch_log(f"{work}/log"), mode="update")
-        return {r["k"]: (r["current_line"], r["closing_line"], r["n_snapshots"]) for r in sn.fold_log(spark, f"{work}/log", ["k"], ["current_ts"]).collect()}
-
-    land(spark, folder, [(1, t(9), t(12), "a", 24.5), (2, t(11), t(12), "a", 25.5)])
-    assert go() == {"a": (25.5, 25.5, 2)}
-    land(spark, folder, [(3, t(13), t(14), "a", 26.5), (4, t(15), t(14), "a", 27.5)])
-    assert go() == {"a": (27.5, 26.5, 4)}
+def lines_log(path, fan=8):
+    return lg.KeyedLog(path, "day", sn.fold_lines(["day", "k"]), fan)
 
 
-def test_state_of_old_days_is_released(spark, tmp_path):
-    folder, work = str(tmp_path / "in"), str(tmp_path / "work")
-    schema = spark.createDataFrame([], LOG).schema
+def test_lines_follow_a_moved_start_and_late_rows(spark, tmp_path):
+    folder, schema = str(tmp_path / "in"), spark.createDataFrame([], LOG).schema
+    parts = sn.line_parts(["day", "k"], "at", "id", "start", "line")
+    log = lines_log(str(tmp_path / "lines"))
+    kinds = parts(spark.createDataFrame([], LOG).withColumn("day", F.to_date("start"))).schema
 
-    def go():
-        stream = sn.landing_stream(spark, folder, schema, max_files=1).withColumn("day", F.to_date("at"))
-        state = sn.line_state(stream, ["day", "k"], "at", "id", "start", "line", day="day", keep="2 days")
-        sn.run_to_end(state, work, sn.batch_log(f"{work}/log"), mode="update")
-        return {(r["day"].day, r["n_snapshots"]) for r in sn.fold_log(spark, f"{work}/log", ["day", "k"], ["current_ts"]).collect()}
+    def go(rows):
+        land(spark, folder, rows)
+        sn.run_to_end(sn.landing_stream(spark, folder, schema).withColumn("day", F.to_date("start")), str(tmp_path / "work"), log.sink(parts))
+        return {r["k"]: (r["current_line"], r["closing_line"], r["n_snapshots"]) for r in sn.line_columns(log.read(spark, kinds), ["day", "k"]).collect()}
 
-    land(spark, folder, [(1, t(9), t(12), "a", 24.5)])
-    go()
-    land(spark, folder, [(2, dt.datetime(2024, 1, 9, 9), t(12), "a", 24.5)])
-    go()
-    land(spark, folder, [(3, t(10), t(12), "a", 24.5), (4, dt.datetime(2024, 1, 9, 10), t(12), "a", 24.5)])
-    assert go() == {(1, 1), (9, 2)}  # the late row of a released day is not counted
+    assert go([(1, t(9), t(12), "a", 24.5), (2, t(11), t(12), "a", 25.5)]) == {"a": (25.5, 25.5, 2)}
+    assert go([(3, t(13), t(14), "a", 26.5), (4, t(15), t(14), "a", 27.5)]) == {"a": (27.5, 26.5, 4)}
+    assert go([(5, t(8), t(14), "a", 20.5), (6, t(8), t(14), "b", 21.5)]) == {"a": (27.5, 26.5, 5), "b": (21.5, 21.5, 1)}
 
 
 def test_repeats_are_dropped_and_the_firewall_splits(spark, tmp_path):
     folder, work = str(tmp_path / "in"), str(tmp_path / "work")
     schema = spark.createDataFrame([], LOG).schema
-    land(spark, folder, [(1, t(9), t(12), "a", 24.5), (1, t(9), t(12), "a", 24.5), (2, t(13), t(12), "a", 25.0)])
-    stream = sn.drop_repeats(sn.landing_stream(spark, folder, schema), "at", ["id", "at", "line"])
-    sn.run_to_end(stream, work, sn.firewall(work, "at", "start"))
+    land(spark, folder, [(1, t(9), t(12), "a", 24.5), (2, t(13), t(12), "a", 25.0)])
+    sn.run_to_end(sn.landing_stream(spark, folder, schema), work, sn.firewall(work, "at", "start"))
     assert [r["id"] for r in spark.read.parquet(f"{work}/pregame").collect()] == [1]
     assert [r["id"] for r in spark.read.parquet(f"{work}/late").collect()] == [2]
 
 
-def test_late_rows_are_kept_over_three_landings(spark, tmp_path):
-    folder, schema = str(tmp_path / "in"), spark.createDataFrame([], LOG).schema
-    last = [(3, dt.datetime(2024, 2, 9, 9), t(12), "a", 26.5)]
-    for rows in (last, last + [(1, t(9), t(12), "a", 24.5)], [(2, t(11), t(12), "a", 25.5), (4, t(10), t(12), "b", 20.5)]):
-        land(spark, folder, rows)
-        sn.run_to_end(sn.landing_stream(spark, folder, schema), str(tmp_path / "x"), sn.insert_if_absent(f"{tmp_path}/once", ["id", "at", "line"], ["id"]))
-        sn.run_to_end(sn.landing_stream(spark, folder, schema), str(tmp_path / "y"), sn.line_parts(f"{tmp_path}/lines", ["k"], "at", "id", "start", "line"))
-    assert len(list((tmp_path / "lines").glob("batch=*"))) == 3
-    assert sorted(r["id"] for r in sn.read_log(spark, f"{tmp_path}/once").collect()) == [1, 2, 3, 4]
-    got = {r["k"]: (r["current_line"], r["closing_line"], r["n_snapshots"]) for r in sn.fold_lines(spark, f"{tmp_path}/lines", ["k"]).collect()}
-    assert got == {"a": (26.5, 25.5, 4), "b": (20.5, 20.5, 1)}
+KV = "p int, k string, id long, x double, y double"
+
+
+def by_hand(batches, fold):
+    out = {}
+    for rows in batches:
+        for r in sorted(rows, key=lambda r: r[2]):
+            key = r[:2]
+            if fold == "first":
+                out.setdefault(key, r)
+            else:
+                old = out.get(key, key + (None,) * 3)
+                out[key] = tuple(o if n is None else n for n, o in zip(r, old))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["first", "last"])
+def test_keyed_log_over_many_batches(spark, tmp_path, kind):
+    rng = np.random.default_rng(4)
+    fold = lg.keep_first(["p", "k"], ["id"]) if kind == "first" else lg.keep_last(["p", "k"], ["id"])
+    log, schema = lg.KeyedLog(str(tmp_path / "log"), "p", fold, fan=2), spark.createDataFrame([], KV).schema
+    batches, written = [], []
+    for b in range(6):
+        rows = [(int(rng.integers(0, 3)), str(rng.integers(0, 4)), b * 100 + i, None if rng.random() < 0.4 else float(i), float(b)) for i in range(6)] if b != 3 else []
+        batches.append(rows)
+        frame = spark.createDataFrame(rows, KV)
+        log.append(frame, b)
+        if b in (1, 4):
+            log.append(frame, b)  # a replay
+        assert {tuple(r)[:2]: tuple(r) for r in log.read(spark, schema).collect()} == by_hand(batches, kind)
+        parts = log.manifest(spark)
+        assert all(sum(x[0] == p and x[2] == g for x in parts) < 2 for p, _, g in parts)  # generations are merged
+        written.append(len(parts))
+    assert max(written) <= 3 * 3
+    some = log.read(spark, schema, [1])
+    assert {tuple(r)[:2] for r in some.collect()} == {k for k in by_hand(batches, kind) if k[0] == 1}
+    # a batch before is still readable, and what it replaced is not lost
+    assert log.manifest(spark, 0)
+
+
+def test_a_batch_touches_its_own_partitions_only(spark, tmp_path):
+    log = lg.KeyedLog(str(tmp_path / "log"), "p", lg.keep_last(["p", "k"], ["id"]), fan=2)
+    for b, p in enumerate((1, 2, 1, 2, 1)):
+        log.append(spark.createDataFrame([(p, "a", b, float(b), None)], KV), b)
+        folders = {f.name for f in (tmp_path / "log" / "data" / f"version={b:012d}").glob("generation=*/p=*")}
+        assert folders == {f"p={p}"}
+    assert {r["p"]: r["id"] for r in log.read(spark, spark.createDataFrame([], KV).schema).collect()} == {1: 4, 2: 3}
 
 
 def test_queries_of_the_log_see_late_rows(spark, data, monkeypatch):
@@ -211,21 +235,25 @@ def test_queries_of_the_log_see_late_rows(spark, data, monkeypatch):
     assert len(set(batches)) == 6
 
 
-def test_insert_sink_is_idempotent(spark, tmp_path):
-    path = str(tmp_path / "table")
-    sink = sn.insert_if_absent(path, ["k"], ["id"])
-    first = spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "id long, k string")
-    second = spark.createDataFrame([(4, "a"), (5, "b"), (6, None)], "id long, k string")
-    sink(first, 0), sink(second, 1), sink(second, 1), sink(first, 0)  # replays
-    assert sorted(r["id"] for r in sn.read_log(spark, path).collect()) == [1, 3, 5]
-
-
-def test_a_corrected_result_settles_its_ticket_anew(spark, tmp_path):
-    from formbook.functions.odds import grade
+def test_late_closing_lines_and_corrected_results(spark, tmp_path):
+    from formbook.plans import streams
 
-    legs = spark.createDataFrame([(1, 7, "OVER", 20.5)], "ticket_id int, entity_id int, side string, line double")
-    sink = sn.resettle(str(tmp_path), legs, ["entity_id"], "result", ["ticket_id"], lambda g: grade(F.col("side"), F.col("line"), F.col("actual")))
-    for batch, actual in enumerate((25.0, 15.0)):
-        sink(spark.createDataFrame([(7, actual)], "entity_id int, actual double"), batch)
-    settled = spark.read.parquet(f"{tmp_path}/tickets").orderBy("batch").collect()
-    assert [r["status"] for r in settled] == ["won", "lost"]
+    legs = spark.createDataFrame([(1, 1, 0, 7, "OVER", 20), (1, 2, 0, 8, "UNDER", 20), (2, 1, 0, 9, "OVER", 20)], "ticket_id long, l_linenumber int, l_suppkey long, entity_id long, side string, line long")
+    job = sn.Resettlement(str(tmp_path), legs, ["entity_id"], streams.LEG_ID, ["ticket_id"], streams.LEG_FACTS, streams.graded_columns)
+    facts = [
+        [(7, 25, None)], [(8, 10, None), (7, None, 22), (50, 1, 1)], [(7, 15, None), (8, None, 21)], [], [(9, None, 18)],
+    ]
+    seen = []
+    for n, rows in enumerate(facts):
+        frame = spark.createDataFrame(rows, streams.LEG_FACTS)
+        job.write(frame, n)
+        if n == 2:
+            job.write(frame, n)  # a replay
+        tickets = job.read(spark, "tickets", spark.createDataFrame([], "ticket_id long, n_legs long, status string").schema)
+        held = job.read(spark, "legs", spark.createDataFrame([], "entity_id long, result string, closing long, clv long, ticket_id long, l_linenumber int, l_suppkey long").schema)
+        seen.append(({r["ticket_id"]: r["status"] for r in tickets.collect()}, {r["entity_id"]: (r["result"], r["closing"], r["clv"]) for r in held.collect()}))
+    assert seen[0] == ({1: "open"}, {7: ("WIN", None, None), 8: (None, None, None)})
+    assert seen[1] == ({1: "won"}, {7: ("WIN", 22, 2), 8: ("WIN", None, None)})
+    assert seen[2] == ({1: "lost"}, {7: ("LOSS", 22, 2), 8: ("WIN", 21, -1)})  # corrected, and back-filled
+    assert seen[3] == seen[2]
+    assert seen[4] == ({1: "lost", 2: "open"}, {**seen[2][1], 9: (None, 18, -2)})
