@@ -2,7 +2,8 @@
 
 Method. For each language one suffix automaton stands for a bounded piece of labelled text. A text is parsed
 greedily: the longest match that the automaton knows is a phrase, then the next one starts. Phrases times
-log2(size of the training piece) per symbol estimate the cross entropy; the language with the least wins.
+log2(size of the largest training piece) per symbol estimate the cross entropy; the language with the least wins. A phrase costs
+the same in every language, so a language with little text does not win by having cheap phrases.
 Texts are read in blocks of ``BLOCK`` symbols, at whose ends a phrase ends too, so that many blocks, of any texts,
 advance through the automaton together in array operations. No block is left out.
 
@@ -89,14 +90,14 @@ def automaton(piece: np.ndarray, letters: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=2)
-def _tables(model: Model) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """Symbol numbers of letters (the last number is for letters never seen), an automaton and a factor per language."""
+def _tables(model: Model) -> tuple[np.ndarray, list[np.ndarray], float]:
+    """Symbol numbers of letters (the last number is for letters never seen), an automaton per language, and the bits of a phrase."""
     pieces = [symbols([p])[0] for p in model.pieces]
     seen = np.unique(np.concatenate([*pieces, np.zeros(1, np.uint32)]))
     number = np.full(0x110000, len(seen), np.uint16)
     number[seen] = np.arange(len(seen))
     tables = [automaton(number[p], len(seen) + 1).ravel() for p in pieces]
-    return number, tables, np.array([np.log2(max(len(p), 2)) for p in pieces])
+    return number, tables, float(np.log2(max(2, *[len(p) for p in pieces])))
 
 
 def phrases(table: np.ndarray, width: int, grid: np.ndarray, size: np.ndarray) -> np.ndarray:

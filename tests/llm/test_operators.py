@@ -315,7 +315,17 @@ def test_phrases_equal_a_plain_parse():
                 while part:
                     k = next((k for k in range(len(part), 0, -1) if part[:k] in piece), 1)
                     part, n = part[k:], n + 1
-            assert got == pytest.approx(n * np.log2(len(piece)) / max(len(norm), 1))
+            assert got == pytest.approx(n * np.log2(max(len(p) for p in model.pieces)) / max(len(norm), 1))
+
+
+@pytest.mark.parametrize("short", ["ab", "hello"])
+def test_a_language_with_little_text_does_not_win(spark, short):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    few = docs.unionByName(docs.limit(1).select(F.lit(-1).cast("long").alias("doc_id"), F.lit(short).alias("text"), F.lit("xx").alias("lang"), "source", "n_chars"))
+    model = langid.learn(few, ~held_out("doc_id", 5, 0) | (F.col("doc_id") == -1))
+    assert "xx" in model.languages
+    told = docs.where(held_out("doc_id", 5, 0) & F.col("lang").isNotNull()).select("lang", langid.language(model)["lang"].alias("p")).collect()
+    assert sum(r["lang"] == r["p"] for r in told) >= 0.98 * len(told)
 
 
 def test_links_carry_decisions(spark):
