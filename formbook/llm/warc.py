@@ -1,6 +1,6 @@
 """WARC archives as a Python data source of Spark, and page archives in which repeated payloads are written once.
 
-Reading. ``spark.read.format("warc").load(folder)``, or ``read`` below. Files (plain, or gzipped in members) are packed into partitions of about ``split`` bytes, whole files each; the writer
+Reading. ``spark.read.format("warc").load(folder)``, or ``read`` below. Files (plain, or gzipped in members) are packed into partitions of about ``split`` bytes, or their share of ``cores`` if that is less, whole files each; the writer
 starts a new file at ``roll`` bytes. Predicates on the record type and the other columns that stand in a record's header (equality, sets, comparisons, prefixes, null tests) are
 pushed into the reader: a record's header is parsed first, and a record that fails them is passed over. So is the payload of a record where ``payload`` is no column asked for. Passing over is
 a seek where the file is plain or the gzip member says how long it is (extra field ``sl``, which the writer sets); elsewhere bytes are inflated in pieces and dropped, and never become a row. A
@@ -259,7 +259,8 @@ class Files(ds.InputPartition):
 
 class WarcReader(ds.DataSourceReader):
     def __init__(self, schema: StructType, options: dict):
-        self.schema, self.path, self.split = schema, options["path"], int(options.get("split", 128 << 20))
+        self.schema, self.path = schema, options["path"]
+        self.split, self.least, self.cores = (int(options.get(n, v)) for n, v in (("split", 128 << 20), ("least", 1 << 20), ("cores", 1)))
         self.tests: list[tuple] = []
 
     def pushFilters(self, filters):
@@ -273,10 +274,13 @@ class WarcReader(ds.DataSourceReader):
 
     def partitions(self):
         system, root = _place(self.path)
+        files = listed(system, root)
+        # as Spark's own readers do: no more in a partition than its share of the cores
+        split = min(self.split, max(self.least, sum(size for _, size in files) // self.cores))
         parts: list[list[str]] = []
-        held = self.split
-        for name, size in listed(system, root):
-            if held + size > self.split:
+        held = split
+        for name, size in files:
+            if held + size > split:
                 parts.append([])
                 held = 0
             parts[-1].append(name)
@@ -435,6 +439,7 @@ def read(spark: SparkSession, path: str, columns: Sequence[str] | None = None, *
     register(spark)
     kinds = dict(part.strip().split(" ", 1) for part in SCHEMA.split(", "))
     schema = ", ".join(f"{c} {kinds[c]}" for c in (columns or kinds))
+    options = {"cores": spark.sparkContext.defaultParallelism, **options}
     return spark.read.format("warc").schema(schema).options(**options).load(path)
 
 
