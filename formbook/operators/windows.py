@@ -190,6 +190,15 @@ def latest_version(
     return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
+def version_ties(df: DataFrame, key: Sequence[str], resolved: str, requested: str) -> DataFrame:
+    """Keys, rows, and keys whose newest version several rows share, so that only their position decided."""
+    same = df.groupBy(*key, resolved, requested).agg(F.count(F.lit(1)).alias("__n"))
+    # a missing stamp is older than any
+    newest = F.struct(*[x for c in (resolved, requested) for x in (F.col(c).isNotNull(), F.col(c))])
+    top = same.groupBy(*key).agg(F.max_by("__n", newest).alias("__top"), F.sum("__n").alias("__rows"))
+    return top.agg(F.count(F.lit(1)).alias("n_keys"), F.sum("__rows").alias("n_rows"), F.count_if(F.col("__top") > 1).alias("n_tied"))
+
+
 def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
     w = Window.partitionBy(*key).orderBy(*order)
     return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")

@@ -383,18 +383,20 @@ def q7(spark, d):
 
 @query(
     "q8_record_integrity",
-    """SELECT event_type, count(*) AS n_rows, CAST(0 AS BIGINT) AS bad_signature, count(*) FILTER (NOT value < 100) AS value_out_of_plan, count(*) FILTER (NOT (ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-30')) AS outside_window FROM events GROUP BY 1""",
+    """SELECT event_type, count(*) AS n_rows, count(*) FILTER (event_id % 97 = 0 OR user_id IS NULL) AS bad_signature, count(*) FILTER (NOT value < 100) AS value_out_of_plan, count(*) FILTER (NOT (ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-30')) AS outside_window FROM events GROUP BY 1""",
 )
 def q8(spark, d):
     from formbook.functions.text import row_checksum
 
-    e = table(spark, d, "events").withColumn("signature", row_checksum("event_id", "user_id"))
+    # records as stored, with their signature; every 97th has been altered since
+    stored = table(spark, d, "events").withColumn("signature", row_checksum("event_id", "user_id"))
+    e = stored.withColumn("user_id", F.when(F.col("event_id") % 97 == 0, F.col("user_id") + 1).otherwise(F.col("user_id")))
     ts = F.col("ts")
     return ql.flag_counts(
         e,
         ["event_type"],
         {
-            "bad_signature": F.col("signature") == row_checksum("user_id", "event_id"),
+            "bad_signature": F.col("user_id").isNotNull() & (F.col("signature") == row_checksum("event_id", "user_id")),
             "value_out_of_plan": F.col("value") < 100,
             "outside_window": (ts >= F.lit("2024-01-02").cast("timestamp_ntz")) & (ts < F.lit("2024-01-30").cast("timestamp_ntz")),
         },

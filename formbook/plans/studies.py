@@ -10,6 +10,7 @@ from formbook.operators import bootstrap as bs
 from formbook.operators import joins as jn
 from formbook.operators import quotes as qt
 from formbook.operators import stats as st
+from formbook.operators import windows as wn
 from formbook.operators.windows import forward_min_clip
 from formbook.plans.frames import BET_ID, BETS, FORM, PAIRS, QUOTE_POSITION, QUOTES, SNAPSHOTS, bets, decimal_sql, form, prob_sql, quotes, snapshots, table, with_sql
 from formbook.plans.joins import _CLOSING, closing
@@ -210,21 +211,63 @@ def b9(spark, d):
     )
 
 
+PANEL = """quotes_seen AS (
+  SELECT l_partkey // 4 AS event_id, CAST(l_suppkey % 4 AS INTEGER) AS book, floor(l_quantity / 25) AS line, CASE WHEN l_returnflag = 'R' THEN 'closing' ELSE 'bettime' END AS pass,
+    l_shipdate AS seen, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, (1 / (1.6 + 5 * l_discount)) / (1 / (1.5 + 10 * l_tax) + 1 / (1.6 + 5 * l_discount)) AS p_under
+  FROM lineitem),
+panel AS (SELECT * FROM quotes_seen QUALIFY row_number() OVER (PARTITION BY event_id, book, pass ORDER BY seen DESC, l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) = 1),
+ties AS (SELECT count(*) AS n_tied FROM (SELECT count(*) AS n, rank() OVER (PARTITION BY event_id, book, pass ORDER BY seen DESC) AS r FROM quotes_seen GROUP BY event_id, book, pass, seen) WHERE r = 1 AND n > 1),
+peers AS (SELECT event_id, line, median(p_under) AS consensus, count(DISTINCT book) AS n_books FROM panel WHERE pass = 'bettime' AND book <> 0 GROUP BY ALL),
+universe AS (
+  SELECT b.event_id, coalesce(n_books, 0) >= 2 AS gated, c.line AS closing_line, b.line = c.line AS same, b.p_under - consensus AS deviation, c.p_under - b.p_under AS reversion
+  FROM panel b LEFT JOIN peers p ON p.event_id = b.event_id AND p.line = b.line LEFT JOIN panel c ON c.event_id = b.event_id AND c.book = 0 AND c.pass = 'closing' WHERE b.pass = 'bettime' AND b.book = 0),
+prime AS (SELECT event_id, deviation AS x, reversion AS y FROM universe WHERE gated AND same)"""
+
+
 @query(
     "b10_convergence_study",
-    with_sql(PAIRS)
-    + """, c AS (SELECT event_id, line, avg(p_over) AS m, count(DISTINCT book) AS n FROM pairs WHERE book <> 0 GROUP BY ALL HAVING count(DISTINCT book) >= 2),
-    x AS (SELECT p.event_id, p.line, p.p_over - m AS deviation, m - p.p_over + p.overround AS reversion FROM pairs p JOIN c USING (event_id, line) WHERE book = 0)
-    SELECT count(*) AS n, corr(deviation, reversion) AS r, regr_slope(reversion, deviation) AS slope, regr_intercept(reversion, deviation) AS intercept, sum(deviation * reversion) / sum(deviation * deviation) AS slope_origin FROM x""",
+    with_sql(PANEL, "per AS (SELECT event_id, count(*)::DOUBLE AS n, sum(x) AS x, sum(y) AS y, sum(x * x) AS xx, sum(y * y) AS yy, sum(x * y) AS xy FROM prime GROUP BY 1)", draws_sql("per", "event_id", "converge"))
+    + f""", t AS (SELECT resample, sum(w * n) AS n, sum(w * x) AS x, sum(w * y) AS y, sum(w * xx) AS xx, sum(w * yy) AS yy, sum(w * xy) AS xy FROM weighted GROUP BY 1),
+    reps AS (SELECT CASE WHEN n * xx - x * x > 0 AND n * yy - y * y > 0 THEN (n * xy - x * y) / sqrt((n * xx - x * x) * (n * yy - y * y)) END AS s FROM t), ci AS (SELECT {CI_SQL} FROM reps),
+    f AS (SELECT count(*) AS n_total, count(*) FILTER (NOT gated) AS n_few_books, count(*) FILTER (gated AND closing_line IS NULL) AS n_no_closing, count(*) FILTER (gated AND NOT same) AS n_line_changed FROM universe),
+    e AS (SELECT count(*) AS n_primary, corr(x, y) AS r, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM prime)
+    SELECT f.*, e.*, n_tied, lower, upper, CASE WHEN n_degenerate / {RESAMPLES}.0 > 0.01 THEN 'UNSTABLE' WHEN upper < 0 THEN 'PASS' ELSE 'CLOSED' END AS verdict FROM f, e, ties, ci""",
 )
 def b10(spark, d):
-    """Does a lone book's deviation from at least two others revert by the next pass?"""
-    p = pairs(spark, d)
-    peers = p.where("book <> 0").groupBy("event_id", "line").agg(F.avg("p_over").alias("m"), F.count_distinct("book").alias("n")).where("n >= 2")
-    x = p.where("book = 0").join(peers, ["event_id", "line"]).select(
-        (F.col("p_over") - F.col("m")).alias("deviation"), (F.col("m") - F.col("p_over") + F.col("overround")).alias("reversion")
+    """Does a lone book's deviation from the median of at least two others, at its own line, revert by the closing pass?
+
+    One quote per event, book and pass: the newest version, with ties counted. The book's closing quote is looked up at any line; what is left out is counted by reason, in order.
+    """
+    quoted = table(spark, d, "lineitem").select(
+        F.floor(F.col("l_partkey") / 4).alias("event_id"), (F.col("l_suppkey") % 4).cast("int").alias("book"), F.floor(F.col("l_quantity") / 25).cast("double").alias("line"),
+        F.when(F.col("l_returnflag") == "R", F.lit("closing")).otherwise(F.lit("bettime")).alias("pass"), F.col("l_shipdate").alias("seen"), F.lit(None).cast("timestamp").alias("requested"),
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", (1.5 + 10 * F.col("l_tax")).alias("price_over"), (1.6 + 5 * F.col("l_discount")).alias("price_under"),
+    )
+    key = ["event_id", "book", "pass"]
+    newest = wn.latest_version(quoted, key, "seen", "requested", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"])
+    under = (1.0 / F.col("price_under")) / (1.0 / F.col("price_over") + 1.0 / F.col("price_under"))
+    panel = newest.select(*key, "line", under.alias("p_under"))
+    early, late = panel.where("pass = 'bettime'"), panel.where("pass = 'closing' AND book = 0")
+    peers = qt.devig_consensus(early.where("book <> 0"), ["event_id", "line"], "p_under", "book")
+    close = late.select("event_id", F.col("line").alias("closing_line"), F.col("p_under").alias("closing_under"))
+    seen = early.where("book = 0").join(peers, ["event_id", "line"], "left").join(close, "event_id", "left")
+    gated = F.coalesce(F.col("n_books") >= 2, F.lit(False))
+    why = F.when(~gated, "few_books").when(F.col("closing_line").isNull(), "no_closing").when(F.col("closing_line") != F.col("line"), "line_changed").otherwise("primary")
+    universe = seen.select(
+        "event_id", why.alias("why"), (F.col("p_under") - F.col("median_p_over")).alias("deviation"), (F.col("closing_under") - F.col("p_under")).alias("reversion")
+    )
+    funnel = universe.agg(
+        F.count(F.lit(1)).alias("n_total"), *[F.count_if(F.col("why") == w).alias(f"n_{w}") for w in ("few_books", "no_closing", "line_changed")]
     )
-    return st.linear_fit(x, [], "deviation", "reversion")
+    primary = universe.where("why = 'primary'")
+    fit = st.linear_fit(primary, [], "deviation", "reversion").select(F.col("n").alias("n_primary"), "r", "slope", "intercept")
+    ci = bs.correlation_bootstrap(primary, ["event_id"], F.col("deviation"), F.col("reversion"), RESAMPLES, "converge")
+    verdict = F.when(F.col("n_degenerate") / RESAMPLES > 0.01, F.lit("UNSTABLE")).when(F.col("upper") < 0, F.lit("PASS")).otherwise(F.lit("CLOSED"))
+    ties = wn.version_ties(quoted, key, "seen", "requested").select("n_tied")
+    out = funnel
+    for facts in (fit, ties, ci.select("lower", "upper", verdict.alias("verdict"))):
+        out = st.beside(out, facts, [])
+    return out
 
 
 @query("b11_cross_market_translation")

@@ -229,6 +229,16 @@ def w11_first(spark, d):
     return out.select("entity_id", "book", "id", "line")
 
 
+@query(
+    "w11_version_ties",
+    with_sql(SNAPSHOTS, _VERSIONS)
+    + """, s AS (SELECT entity_id, book, count(*) AS n, rank() OVER (PARTITION BY entity_id, book ORDER BY resolved DESC NULLS LAST, requested DESC NULLS LAST) AS r FROM v GROUP BY entity_id, book, resolved, requested)
+    SELECT count(*) FILTER (r = 1) AS n_keys, CAST(sum(n) AS BIGINT) AS n_rows, count(*) FILTER (r = 1 AND n > 1) AS n_tied FROM s""",
+)
+def w11_ties(spark, d):
+    return wn.version_ties(_versions(spark, d), ["entity_id", "book"], "resolved", "requested")
+
+
 @query("w12_last_append", with_sql(SNAPSHOTS) + "SELECT entity_id, game_date, max(id) AS id, arg_max(line, id) AS line FROM snapshots GROUP BY ALL")
 def w12(spark, d):
     return snapshots(spark, d).groupBy("entity_id", "game_date").agg(F.max("id").alias("id"), F.max_by("line", "id").alias("line"))

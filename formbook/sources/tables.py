@@ -46,11 +46,19 @@ def audited_scan(df: DataFrame, columns: Sequence[str], predicate: Column, date:
 
 
 def content_audit(rows: DataFrame, date: str) -> DataFrame:
-    digest = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in sorted(rows.columns)]))
-    part = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+    """Rows, date range, schema hash, and a hash of the rows as a multiset.
+
+    Each row is digested with its values' lengths, so no two rows are written alike, and both 64-bit halves of the digests are summed: the order of rows and
+    partitions does not count, repeats do, and sums of parts merge by addition.
+    """
+    names = sorted(rows.columns)
+    values = [F.col(c).cast("string") for c in names]
+    digest = F.md5(F.concat(*[F.coalesce(F.concat(F.octet_length(v).cast("string"), F.lit(":"), v), F.lit("-")) for v in values]))
+    halves = [F.sum(F.conv(F.substring(digest, at, 16), 16, 10).cast("decimal(20,0)")).cast("string") for at in (1, 17)]
+    schema = ",".join(f"{c}:{rows.schema[c].dataType.simpleString()}" for c in names)
     return rows.agg(
         F.count(F.lit(1)).alias("n_rows"), F.min(F.to_date(date)).alias("min_date"), F.max(F.to_date(date)).alias("max_date"),
-        F.sum(part).alias("content_hash"),
+        F.concat_ws("-", *halves).alias("content_hash"), F.md5(F.lit(schema)).alias("schema_hash"),
     )
 
 
