@@ -194,7 +194,13 @@ def invert_count_mean(line, prob, alpha):
 
     lo, hi = np.full(len(p), 1e-6), np.full(len(p), 1e-6) + np.maximum(8.0 * (at + 1.0), 40.0)
     reached = over(hi) >= p
-    for _ in range(60):
+    for _ in range(40):
+        if reached[good].all():
+            break
+        # the bracket grows until it holds the mean
+        lo, hi = np.where(reached, lo, hi), np.where(reached, hi, 4 * hi)
+        reached = over(hi) >= p
+    for _ in range(80):
         mid = (lo + hi) / 2
         below = over(mid) < p
         lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from formbook.functions import odds as O
+from formbook.functions.odds import devig_decimal
 from formbook.operators import backtest as bt
 from formbook.operators import bootstrap as bs
+from formbook.operators import crossline as cl
 from formbook.operators import joins as jn
 from formbook.operators import quotes as qt
 from formbook.operators import stats as st
@@ -211,6 +213,31 @@ def b9(spark, d):
     )
 
 
+_PANEL_KEY = ["event_id", "book", "pass"]
+
+
+def two_passes(spark, d):
+    """All quotes of four books in a betting-time and a closing pass, and the newest of each event, book and pass."""
+    quoted = table(spark, d, "lineitem").select(
+        F.floor(F.col("l_partkey") / 4).alias("event_id"), (F.col("l_suppkey") % 4).cast("int").alias("book"), F.floor(F.col("l_quantity") / 25).cast("double").alias("line"),
+        F.when(F.col("l_returnflag") == "R", F.lit("closing")).otherwise(F.lit("bettime")).alias("pass"), F.col("l_shipdate").alias("seen"), F.lit(None).cast("timestamp").alias("requested"),
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", (1.5 + 10 * F.col("l_tax")).alias("price_over"), (1.6 + 5 * F.col("l_discount")).alias("price_under"),
+    )
+    return quoted, wn.latest_version(quoted, _PANEL_KEY, "seen", "requested", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"])
+
+
+@query("b9_cross_line_value")
+def b9_value(spark, d):
+    """Quotes worth a bet by what the other books' lines imply at the quote's own line, with their outcome and closing-line value, by side."""
+    _, newest = two_passes(spark, d)
+    rows = newest.withColumn("line", F.col("line") + 20.5)
+    early, late = rows.where("pass = 'bettime'"), rows.where("pass = 'closing'")
+    outcome = table(spark, d, "part").groupBy(F.floor(F.col("p_partkey") / 4).alias("event_id")).agg((F.max("p_size") % 15 + 14).cast("double").alias("actual"))
+    flagged = cl.flag_bets(cl.cross_line(early, ["event_id"], "line", "price_over", "price_under", alpha=0.03), 0.03)
+    graded = cl.graded(flagged, cl.closing_at_line(late, ["event_id"], "line", "price_over", "price_under"), outcome, ["event_id"], "line")
+    return cl.value_report(graded, ["bet_side"])
+
+
 PANEL = """quotes_seen AS (
   SELECT l_partkey // 4 AS event_id, CAST(l_suppkey % 4 AS INTEGER) AS book, floor(l_quantity / 25) AS line, CASE WHEN l_returnflag = 'R' THEN 'closing' ELSE 'bettime' END AS pass,
     l_shipdate AS seen, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, (1 / (1.6 + 5 * l_discount)) / (1 / (1.5 + 10 * l_tax) + 1 / (1.6 + 5 * l_discount)) AS p_under
@@ -238,15 +265,8 @@ def b10(spark, d):
 
     One quote per event, book and pass: the newest version, with ties counted. The book's closing quote is looked up at any line; what is left out is counted by reason, in order.
     """
-    quoted = table(spark, d, "lineitem").select(
-        F.floor(F.col("l_partkey") / 4).alias("event_id"), (F.col("l_suppkey") % 4).cast("int").alias("book"), F.floor(F.col("l_quantity") / 25).cast("double").alias("line"),
-        F.when(F.col("l_returnflag") == "R", F.lit("closing")).otherwise(F.lit("bettime")).alias("pass"), F.col("l_shipdate").alias("seen"), F.lit(None).cast("timestamp").alias("requested"),
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", (1.5 + 10 * F.col("l_tax")).alias("price_over"), (1.6 + 5 * F.col("l_discount")).alias("price_under"),
-    )
-    key = ["event_id", "book", "pass"]
-    newest = wn.latest_version(quoted, key, "seen", "requested", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"])
-    under = (1.0 / F.col("price_under")) / (1.0 / F.col("price_over") + 1.0 / F.col("price_under"))
-    panel = newest.select(*key, "line", under.alias("p_under"))
+    quoted, newest = two_passes(spark, d)
+    panel = newest.select(*_PANEL_KEY, "line", devig_decimal(F.col("price_under"), F.col("price_over")).alias("p_under"))
     early, late = panel.where("pass = 'bettime'"), panel.where("pass = 'closing' AND book = 0")
     peers = qt.devig_consensus(early.where("book <> 0"), ["event_id", "line"], "p_under", "book")
     close = late.select("event_id", F.col("line").alias("closing_line"), F.col("p_under").alias("closing_under"))
@@ -263,7 +283,7 @@ def b10(spark, d):
     fit = st.linear_fit(primary, [], "deviation", "reversion").select(F.col("n").alias("n_primary"), "r", "slope", "intercept")
     ci = bs.correlation_bootstrap(primary, ["event_id"], F.col("deviation"), F.col("reversion"), RESAMPLES, "converge")
     verdict = F.when(F.col("n_degenerate") / RESAMPLES > 0.01, F.lit("UNSTABLE")).when(F.col("upper") < 0, F.lit("PASS")).otherwise(F.lit("CLOSED"))
-    ties = wn.version_ties(quoted, key, "seen", "requested").select("n_tied")
+    ties = wn.version_ties(quoted, _PANEL_KEY, "seen", "requested").select("n_tied")
     out = funnel
     for facts in (fit, ties, ci.select("lower", "upper", verdict.alias("verdict"))):
         out = st.beside(out, facts, [])
