@@ -355,10 +355,9 @@ def exact_percentiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[
             parts.append(F.max(F.when((rank >= F.col("__from")) & (rank < F.col("__to")), F.col("__v"))).alias(f"__{end}_{name}"))
         lo, hi = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
         final.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (x - F.floor(x))).alias(name))
-    out = inside.groupBy(*keys, "__total").agg(*parts).select(*keys, *final)
-    if by:
-        return out
-    return df.sparkSession.range(1).select(F.lit(0).alias("__all")).join(F.broadcast(out), "__all", "left").drop("__all")  # one row by one row
+    if not by:
+        return inside.agg(*parts, F.max("__total").alias("__total")).select(*final)
+    return inside.groupBy(*keys, "__total").agg(*parts).select(*keys, *final)
 
 
 def summarise(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], extra: dict[str, Column]) -> DataFrame:

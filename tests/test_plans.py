@@ -81,7 +81,7 @@ def test_no_cross_joins(spark, data, name):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
-@pytest.mark.parametrize("name", ["w1_prior_rolling", "u6_two_sided_pairs", "a35_cluster_bootstrap_roi", "j6_closing_snapshot", "p10_attempt_funnel", "b6_policy_grid"])
+@pytest.mark.parametrize("name", ["w1_prior_rolling", "u6_two_sided_pairs", "j6_closing_snapshot", "p10_attempt_funnel", "b6_policy_grid"])
 def test_native_operators_stay_in_the_jvm(spark, data, name):
     text = plan(QUERIES[name](spark, data))
     assert "Python" not in text and "ArrowEval" not in text
