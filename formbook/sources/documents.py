@@ -275,13 +275,26 @@ def parse_archive_names(files: DataFrame, name: str, keep: Sequence[str] = ()) -
 
 
 def scan_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Manifest of an archive folder: names, and only the envelope's time stamps read."""
-    heads = spark.read.schema("timestamp string, next_timestamp string").json(path, multiLine=True)
-    rows = heads.select(
-        F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_path").alias("path"),
-        to_utc(F.col("timestamp")).alias("resolved_ts"), to_utc(F.col("next_timestamp")).alias("next_ts"),
+    """Manifest of an archive folder, a row per file: what its name says, its envelope's time stamps, and a status.
+
+    Files are listed without their contents; of the contents only the envelope is parsed. A file that is broken, of
+    an unknown name or without a time stamp is a row that says so (first reason in that order), not a missing one. Files of no bytes are passed over, as by all of Spark's readers.
+    """
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file_name"), F.col("length").alias("n_bytes"))
+    envelope = "timestamp string, previous_timestamp string, next_timestamp string, __broken string"
+    heads = spark.read.schema(envelope).option("columnNameOfCorruptRecord", "__broken").json(path, multiLine=True)
+    stamps = {"resolved_ts": "timestamp", "previous_ts": "previous_timestamp", "next_ts": "next_timestamp"}
+    read = heads.select(F.col("_metadata.file_path").alias("path"), F.col("__broken").isNotNull().alias("__bad"), *[to_utc(F.col(c)).alias(n) for n, c in stamps.items()])
+    # a file is one envelope; were it several, the newest counts
+    once = read.groupBy("path").agg(F.max("__bad").alias("__bad"), *[F.max_by(n, "resolved_ts").alias(n) for n in stamps])
+    rows = files.join(once, "path", "left")
+    named = parse_archive_names(rows, "file_name", ["path", "file_name", "n_bytes", "__bad", *stamps])
+    status = (
+        F.when(F.col("__bad"), F.lit("broken"))
+        .when((F.col("kind") == "unparsable") | F.col("requested_ts").isNull(), F.lit("bad name")).when(F.col("resolved_ts").isNull(), F.lit("no time stamp"))
+        .otherwise(F.lit("ok"))
     )
-    return parse_archive_names(rows, "file_name", ["path", "resolved_ts", "next_ts"])
+    return named.withColumn("status", status).drop("__bad")
 
 
 def event_dimension(lists: DataFrame, position: Sequence[str]) -> DataFrame:

@@ -54,6 +54,23 @@ def test_archive_scan(spark, tmp_path):
     assert rows["events"]["next_ts"] is None
 
 
+def test_archive_scan_marks_what_it_cannot_read(spark, tmp_path):
+    name = "events_date=2025-12-{:02d}T12_00_00Z.json"
+    head = {"timestamp": "2025-12-08T11:55:00Z", "previous_timestamp": "2025-12-08T11:50:00Z", "data": []}
+    write(tmp_path, name.format(1), head)
+    write(tmp_path, name.format(2), '{"timestamp": "2025-12-08T11:55:00Z", "data": [')
+    write(tmp_path, name.format(3), {"data": []})
+    write(tmp_path, name.format(4), "")
+    write(tmp_path, "events_date=soon.json", head)
+    write(tmp_path, "other.json", "no json at all")
+    rows = {r["file_name"]: r for r in dc.scan_archive(spark, str(tmp_path)).collect()}
+    got = {n: r["status"] for n, r in rows.items()}
+    assert got == {name.format(1): "ok", name.format(2): "broken", name.format(3): "no time stamp", "events_date=soon.json": "bad name", "other.json": "broken"}
+    assert rows[name.format(1)]["previous_ts"] == dt.datetime(2025, 12, 8, 11, 50) and rows[name.format(1)]["next_ts"] is None
+    # a broken file's stamps are not trusted to be there, its name is still read
+    assert rows[name.format(2)]["requested_ts"] == dt.datetime(2025, 12, 2, 12)
+
+
 def test_odds_envelope_and_bulk(spark, tmp_path):
     def event(n):
         outcomes = [{"name": "Over", "description": "G", "point": 25.5, "price": 1.9}, {"name": "Under", "description": "G", "point": 25.5, "price": 1.9}]
