@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formbook.functions.odds import edge, ev_side, grade, novig_edge, profit, safe_div, true_ev
+from formbook.operators.bootstrap import cluster_bootstrap
 from formbook.operators.grading import summary_columns
 from formbook.operators.quality import GateFailed
 from formbook.operators.skew import DEFAULT_RULE, SplitRule, join_back, row_numbers
@@ -172,6 +173,42 @@ def smallest_error(grid: DataFrame, config: str, error: str, then: str) -> DataF
     return grid.agg(best.alias("__b")).select("__b.*")
 
 
+ARMS = ("both", "under_only")
+
+
+def arm_bets(df: DataFrame, thresholds: Sequence[float] | None = None, picked: DataFrame | None = None) -> DataFrame:
+    """Every row decided and graded per arm, at each of ``thresholds`` or at the arm's ``picked`` one; the UNDER-only arm never sees an OVER price."""
+    if picked is None:
+        table = F.array(*[F.struct(F.lit(a).alias("arm"), F.lit(float(t)).alias("threshold")) for a in ARMS for t in thresholds])
+        spread = df.select("*", F.inline(table))
+    else:
+        spread = df.withColumn("arm", F.explode(F.array(*[F.lit(a) for a in ARMS]))).join(F.broadcast(picked), "arm")  # a row per arm
+    return decide_and_grade(spread.withColumn("p_over", F.when(F.col("arm") == "both", F.col("p_over"))), F.col("threshold"))
+
+
+def pick_arm_thresholds(sweep: DataFrame, min_bets: int, fallback: float) -> DataFrame:
+    """Per arm the threshold of the best ROI among those with ``min_bets`` bets, the smaller on a tie; ``fallback`` where there is none."""
+    best = F.max_by(F.when(F.col("bets") >= min_bets, F.col("threshold")), F.when(F.col("bets") >= min_bets, F.struct("roi", -F.col("threshold"))))
+    return sweep.groupBy("arm").agg(F.coalesce(best, F.lit(float(fallback))).alias("threshold"))
+
+
+def two_arm_report(test: DataFrame, picked: DataFrame, row_id: Sequence[str], cluster: Sequence[str], resamples: int, seed: str) -> DataFrame:
+    """One look at the test rows: per arm and side bets, hit rate, ROI and share of rows bet, with row and cluster intervals of the ROI."""
+    graded = arm_bets(test, picked=picked)
+    sides = F.array(F.lit("ALL"), F.coalesce("bet", F.lit("NONE")))
+    by = ["arm", "threshold", "side"]
+    long = graded.withColumn("side", F.explode(sides)).where("side <> 'NONE'")
+    decided = long.where(F.col("bet_result").isin("WIN", "LOSS"))
+    n_test = graded.groupBy("arm").agg(F.count(F.lit(1)).alias("__n_test"))
+    summary = fold_summary(long, by).join(F.broadcast(n_test), "arm").withColumn("bet_rate", F.col("bets") * 100.0 / F.col("__n_test"))
+    out = summary.select(*by, "bets", "hit_rate", "roi", "bet_rate")
+    for name, unit in (("row", row_id), ("cluster", cluster)):
+        ci = cluster_bootstrap(decided, unit, F.col("bet_profit"), F.lit(1.0), resamples, seed, by, 100.0)
+        ci = ci.select(*by, F.col("lower").alias(f"{name}_lower"), F.col("upper").alias(f"{name}_upper"), F.col("n_clusters").alias(f"n_{name}s"))
+        out = out.join(F.broadcast(ci), by, "left")  # a row per arm and side
+    return out
+
+
 # --- policies -----------------------------------------------------------------------
 
 

@@ -9,13 +9,12 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, IsotonicRegression, LinearRegression
+from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formbook.functions.odds import confidence_bucket, recommendation
 from formbook.operators.skew import DEFAULT_RULE, SplitRule, exact_percentiles
-from formbook.operators.stats import brier
 
 
 def with_indicators(df: DataFrame, features: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -83,26 +82,13 @@ def apply_platt(df: DataFrame, model, p: str, name: str) -> DataFrame:
     return probability(df.withColumn("__logit", F.log(q / (1.0 - q))), model, name).drop("__logit")
 
 
-def fit_isotonic(calibration: DataFrame, p: str, label: str):
-    return Pipeline(
-        stages=[VectorAssembler(inputCols=[p], outputCol="__features"),
-                IsotonicRegression(featuresCol="__features", labelCol=label, predictionCol="__iso")]
-    ).fit(calibration)
-
-
-def apply_isotonic(df: DataFrame, model, name: str) -> DataFrame:
-    return model.transform(df).withColumn(name, F.col("__iso")).drop("__iso", "__features")
-
-
-def blend(model_p: str, market_p: str, weights: Sequence[float]):
-    """Candidate mixtures of model and market probability."""
-    return {f"blend_{round(100 * w)}": w * F.col(model_p) + (1.0 - w) * F.col(market_p) for w in weights}
-
-
-def brier_by_candidate(df: DataFrame, candidates: Sequence[str], label: str) -> DataFrame:
-    """One row per candidate probability column, all scored in a single aggregate."""
-    scores = df.agg(*[F.avg(brier(F.col(c), F.col(label))).alias(c) for c in candidates])
-    return scores.unpivot([], list(candidates), "candidate", "brier")
+def fit_blend(calibration: DataFrame, model_p: str, market_p: str, label: str, strength: float = 1.0):
+    """Logistic fit on the calibrated model's and the market's probability, with a ridge of ``1 / strength`` on the sum of losses."""
+    data = calibration.where(F.col(model_p).isNotNull() & F.col(market_p).isNotNull() & F.col(label).isNotNull())
+    rows = max(data.count(), 1)
+    stages = [VectorAssembler(inputCols=[model_p, market_p], outputCol="__features"),
+              LogisticRegression(featuresCol="__features", labelCol=label, maxIter=100, regParam=1.0 / (strength * rows), standardization=False)]
+    return Pipeline(stages=stages).fit(data)
 
 
 def random_configs(grid: dict[str, Sequence], n: int, seed: int) -> list[dict]:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["scalars", "projections", "windows", "quotes", "joins", "aggregates", "resampling", "pricing", "sources", "studies", "streams", "learning"]
+MODULES = ["scalars", "projections", "windows", "quotes", "joins", "aggregates", "resampling", "pricing", "sources", "studies", "calibration", "streams", "learning"]
 
 
 def load():

@@ -91,25 +91,6 @@ def f4(spark, d):
     return st.score_counts(scored, ["split"], "mu", "count_label")
 
 
-@query("f5_calibration_selected_by_brier")
-def f5(spark, d):
-    """Raw, Platt, isotonic and blended probabilities: fitted on the first half of validation,
-    selected by Brier on the second half, reported on test."""
-    data = market_frame(spark, d).select("game_id", "bet_date", "y", "p_over", "market", "split")
-    fit = data.where("split = 'val' AND bet_date < DATE'2000-07-01'")
-    platt, iso = md.fit_platt(fit, "p_over", "y"), md.fit_isotonic(fit, "p_over", "y")
-
-    def brier(rows, name):
-        scored = md.apply_isotonic(md.apply_platt(rows, platt, "p_over", "platt"), iso, "isotonic")
-        scored = scored.withColumns(md.blend("platt", "market", [0.25, 0.5]))
-        return md.brier_by_candidate(scored, ["p_over", "platt", "isotonic", "blend_25", "blend_50"], "y").withColumnRenamed("brier", name)
-
-    chosen_on = brier(data.where("split = 'val' AND bet_date >= DATE'2000-07-01'"), "brier_val")
-    best = chosen_on.agg(F.min_by("candidate", F.struct("brier_val", "candidate"))).scalar()
-    scores = brier(data.where("split = 'test'"), "brier").join(chosen_on.select("candidate", "brier_val"), "candidate")
-    return scores.withColumn("selected", (c("candidate") == best).cast("int"))
-
-
 @query("f6_huber_line")
 def f6(spark, d):
     data = table(spark, d, "lineitem").select(c("l_orderkey").alias("game_id"), "l_linenumber", "l_quantity", c("l_extendedprice").alias("y"))

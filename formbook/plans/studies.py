@@ -478,23 +478,6 @@ def b21(spark, d):
     )
 
 
-@query("b22_calibrated_two_arm_policy")
-def b22(spark, d):
-    """Calibrate on the first half of validation, pick a threshold per arm on the second, report test once."""
-    from formbook.operators.models import apply_platt, fit_platt
-
-    b = bt.fraction_split(bets(spark, d), "bet_date", [("fit", 0.4), ("pick", 0.7), ("test", 1.0)])
-    b = b.withColumn("y", (F.col("actual") > F.col("line")).cast("int"))
-    model = fit_platt(b.where("split = 'fit'"), "p_over", "y")
-    scored = apply_platt(b.where("split <> 'fit'"), model, "p_over", "p_cal")
-    scored = scored.withColumns({"p_over": F.col("p_cal"), "p_under": 1.0 - F.col("p_cal")})
-    spread = scored.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in GRID])))
-    graded = bt.decide_and_grade(spread, F.col("threshold")).where("bet is not null")
-    summary = bt.fold_summary(graded, ["split", "bet", "threshold"])
-    win = summary.where("split = 'pick' and bets >= 50").groupBy("bet").agg(F.max_by("threshold", F.struct("roi", -F.col("threshold"))).alias("threshold"))
-    return summary.where("split = 'test'").join(F.broadcast(win), ["bet", "threshold"]).select("bet", "threshold", "bets", "hit_rate", "roi")
-
-
 @query(
     "o4_smallest_confirmed_threshold",
     with_sql(BETS, decided_sql(), "sw AS (SELECT threshold, count(*) FILTER (res IN ('WIN', 'LOSS')) AS n, avg(pr) FILTER (res IN ('WIN', 'LOSS')) - 0.03 AS lower, avg(pr) FILTER (res IN ('WIN', 'LOSS')) AS mean FROM decided GROUP BY 1)",

@@ -39,10 +39,19 @@ def test_platt_matches_newton_steps(spark):
         assert r["cal"] == pytest.approx(1 / (1 + math.exp(-(w[0] + w[1] * math.log(r["p"] / (1 - r["p"]))))), abs=1e-3)
 
 
-def test_isotonic_pools_adjacent_violators(spark):
-    df = spark.createDataFrame([(0.1, 0.0), (0.2, 1.0), (0.3, 0.0), (0.4, 1.0)], "p double, y double")
-    got = {r["p"]: r["iso"] for r in md.apply_isotonic(df, md.fit_isotonic(df, "p", "y"), "iso").collect()}
-    assert got == pytest.approx({0.1: 0.0, 0.2: 0.5, 0.3: 0.5, 0.4: 1.0})
+def test_blend_matches_newton_steps_with_a_ridge(spark):
+    rng = random.Random(4)
+    rows = [(rng.uniform(0.1, 0.9), rng.uniform(0.3, 0.7)) for _ in range(300)]
+    rows = [(a, b, float(rng.random() < 0.7 * a + 0.3 * b)) for a, b in rows]
+    df = spark.createDataFrame([*rows, (None, 0.5, 1.0), (0.5, 0.5, None)], "a double, b double, y double")
+    fitted = md.fit_blend(df, "a", "b", "y").stages[-1]
+    x = np.array([[1.0, a, b] for a, b, _ in rows])
+    y = np.array([v for *_, v in rows])
+    w, ridge = np.zeros(3), np.diag([0.0, 1.0, 1.0])
+    for _ in range(30):
+        q = 1 / (1 + np.exp(-x @ w))
+        w += np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + ridge, x.T @ (y - q) - ridge @ w)
+    assert [fitted.intercept, *fitted.coefficients] == pytest.approx(list(w), abs=2e-3)
 
 
 def test_huber_line_shrugs_off_outliers(spark):
