@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import random
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression
@@ -92,8 +96,97 @@ def fit_blend(calibration: DataFrame, model_p: str, market_p: str, label: str, s
 
 
 def random_configs(grid: dict[str, Sequence], n: int, seed: int) -> list[dict]:
+    """``n`` different seeded draws of the declared grid (all of it, if it has fewer)."""
     rng = random.Random(seed)
-    return [{k: rng.choice(list(v)) for k, v in grid.items()} for _ in range(n)]
+    size = math.prod(len(v) for v in grid.values())
+    out = []
+    for at in rng.sample(range(size), min(n, size)):
+        config = {}
+        for k, values in grid.items():
+            at, i = divmod(at, len(values))
+            config[k] = list(values)[i]
+        out.append(config)
+    return out
+
+
+@dataclass(frozen=True)
+class Rung:
+    """One round of a search: how many trees its fits may grow, and what share of its configurations goes on."""
+
+    trees: int
+    keep: float
+
+
+def boosted(config: dict, trees: int, label: str, weight: str | None, seed: int) -> GBTClassifier:
+    """Boosted trees of one configuration that stop once rows marked ``__val`` no longer gain."""
+    model = GBTClassifier(featuresCol="__features", labelCol=label, maxIter=trees, seed=seed, validationIndicatorCol="__val", validationTol=1e-4, **config)
+    return model.setWeightCol(weight) if weight else model
+
+
+def successive_halving(
+    data: DataFrame, features: Sequence[str], label: str, configs: Sequence[dict], rungs: Sequence[Rung], score: Callable[[DataFrame], DataFrame],
+    weight: str | None = None, val: str = "split = 'val'", train: str = "split = 'train'", parallelism: int = 4, seed: int = 42,
+) -> list[dict]:
+    """Search over ``configs``: each rung fits those left with more trees and keeps the best by ``score`` on validation rows.
+
+    Features are imputed (from training rows) and assembled once, in a frame that all fits share; fits of a rung run side by side, as each leaves executors
+    idle between trees. ``score`` takes scored validation rows (``p_over``) and gives one row, whose column ``rank`` is better when larger (a null is worst).
+    Test rows are never read. Returns one dict per (rung, configuration): its place in ``configs``, trees grown, whether it was kept, and the columns of ``score``.
+    """
+    prepared = Pipeline(stages=_prepare(features)).fit(data.where(train))
+    frame = prepared.transform(data.where(f"({train}) OR ({val})")).withColumn("__val", F.expr(val)).persist(StorageLevel.MEMORY_AND_DISK)
+    known = frame.where(F.col(label).isNotNull())
+
+    def fitted(job: tuple[int, Rung]) -> dict:
+        i, rung = job
+        model = boosted(configs[i], rung.trees, label, weight, seed).fit(known)
+        scored = model.transform(frame.where("__val")).withColumn("p_over", vector_to_array("probability")[1])
+        return {"config": i, "trees": rung.trees, "grown": model.getNumTrees, **score(scored).first().asDict()}
+
+    out, left = [], list(range(len(configs)))
+    try:
+        with ThreadPool(parallelism) as pool:
+            for number, rung in enumerate(rungs):
+                results = pool.map(inheritable_thread_target(data.sparkSession)(fitted), [(i, rung) for i in left], chunksize=1)
+                order = sorted(results, key=lambda r: (r["rank"] is None, -(r["rank"] or 0.0), r["config"]))
+                left = sorted(r["config"] for r in order[: max(1, math.ceil(rung.keep * len(order)))])
+                out += [{"rung": number, **r, "kept": int(r["config"] in left)} for r in sorted(results, key=lambda r: r["config"])]
+    finally:
+        frame.unpersist()
+    return out
+
+
+def fit_families(data: DataFrame, features: Sequence[str], label: str, families: dict[str, Sequence[dict]], trees: int, weight: str | None = None,
+                 val: str = "split = 'val'", train: str = "split = 'train'", parallelism: int = 3, seed: int = 42) -> DataFrame:
+    """Validation rows scored by every configuration of every family (boosted, forest, logistic), stacked, with the columns family, config and ``p_over``.
+
+    Features are assembled once; rows are passed over once per model, side by side in one array.
+    """
+    prepared = Pipeline(stages=_prepare(features)).fit(data.where(train))
+    known = prepared.transform(data.where(train).where(F.col(label).isNotNull())).persist(StorageLevel.MEMORY_AND_DISK)
+    makers = {
+        "boosted": lambda config: GBTClassifier(featuresCol="__features", labelCol=label, maxIter=trees, seed=seed, **config),
+        "forest": lambda config: RandomForestClassifier(featuresCol="__features", labelCol=label, numTrees=trees, seed=seed, **config),
+        "logistic": lambda config: LogisticRegression(featuresCol="__features", labelCol=label, maxIter=50, **config),
+    }
+    jobs = [(family, i, makers[family](config)) for family, configs in families.items() for i, config in enumerate(configs)]
+
+    def fitted(job: tuple) -> tuple:
+        family, i, model = job
+        return family, i, (model.setWeightCol(weight) if weight else model).fit(known)
+
+    try:
+        with ThreadPool(parallelism) as pool:
+            models = pool.map(inheritable_thread_target(data.sparkSession)(fitted), jobs, chunksize=1)
+    finally:
+        known.unpersist()
+    scored, cells = prepared.transform(data.where(val)), []
+    for family, i, model in models:
+        name = f"__p_{family}_{i}"
+        scored = model.transform(scored).withColumn(name, vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
+        cells.append(F.struct(F.lit(family).alias("family"), F.lit(i).alias("config"), F.col(name).alias("p_over")))
+    kept = [c for c in data.columns if c not in ("family", "config", "p_over")]
+    return scored.select(*kept, F.inline(F.array(*cells)))
 
 
 def sample_weights(df: DataFrame, value: str, low: float, high: float, name: str) -> DataFrame:

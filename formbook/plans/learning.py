@@ -32,19 +32,21 @@ def market_frame(spark, d):
     return bt.date_split(b, "bet_date", [("train", "1995-01-01", "1999-12-31"), ("val", "2000-01-01", "2000-12-31"), ("test", "2001-01-01", "2001-12-31")])
 
 
+FAMILIES = {
+    "boosted": [{"maxDepth": 2, "stepSize": 0.1}, {"maxDepth": 4, "stepSize": 0.1}], "forest": [{"maxDepth": 4}, {"maxDepth": 8}],
+    "logistic": [{"regParam": 0.01}, {"regParam": 0.1}],
+}
+TREES = 20
+
+
 @query("f2_classifier_grid_selected_on_val")
 def f2(spark, d):
-    """A small declared grid of trees fitted on train, scored on val; the smallest Brier is kept."""
+    """Three families over a small declared grid, fitted on train, scored on val; the smallest Brier is kept."""
     data, names = md.with_indicators(training_frame(spark, d), [*SHORT, *LONG])
-    val = data.where("split = 'val'").select("game_id", "label", *names)
-    out = None
-    for depth in (2, 3):
-        model = md.fit_classifier(data.where("split = 'train'"), names, "label", trees=5, depth=depth)
-        scored = md.probability(val, model).select(F.lit(depth).alias("depth"), "p_over", "label")
-        out = scored if out is None else out.unionByName(scored)
-    scores = st.score_probabilities(out, ["depth"], "p_over", "label").select("depth", "n", "brier", "log_loss")
-    best = scores.agg(F.min_by("depth", F.struct("brier", "depth"))).scalar()
-    return scores.withColumn("selected", (c("depth") == best).cast("int"))
+    scored = md.fit_families(data, names, "label", FAMILIES, TREES)
+    scores = st.score_probabilities(scored, ["family", "config"], "p_over", "label").select("family", "config", "n", "brier", "log_loss")
+    best = scores.agg(F.min_by(F.struct("family", "config"), F.struct("brier", "family", "config"))).scalar()
+    return scores.withColumn("selected", (F.struct("family", "config") == best).cast("int"))
 
 
 @query("f2_rate_model_scores")
@@ -67,19 +69,62 @@ def f2_embeddings(spark, d):
     return scored.select("vec_id", c("label").cast("int").alias("label"), "p")
 
 
+# fixed values: the grid, the thresholds swept and the two configurations always tried
+SEARCH = {
+    "maxDepth": (3, 4, 5, 6), "stepSize": (0.01, 0.02, 0.05, 0.1), "minInstancesPerNode": (10, 15, 20, 30), "minInfoGain": (0.0, 0.001, 0.005),
+    "subsamplingRate": (0.7, 0.8), "featureSubsetStrategy": ("0.7", "0.8"),
+}
+ALWAYS = [
+    {"maxDepth": 4, "stepSize": 0.02, "minInstancesPerNode": 15, "minInfoGain": 0.001, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"},
+    {"maxDepth": 4, "stepSize": 0.02, "minInstancesPerNode": 15, "minInfoGain": 0.0, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"},
+]
+SWEPT = [0.08, 0.10, 0.12, 0.15]
+N_CONFIGS = 7
+RUNGS = [md.Rung(2, 1 / 3), md.Rung(6, 1 / 3), md.Rung(18, 1.0)]
+
+
+def searched(spark, d):
+    """Every (rung, configuration) of the search with its best threshold on val."""
+    data, names = md.with_indicators(market_frame(spark, d), ["line", "market", "p_push", "stake"])
+
+    def score(val):
+        swept = bt.threshold_sweep(val.withColumn("p_under", 1.0 - c("p_over")), SWEPT)
+        best = bt.best_threshold(swept).select("threshold", "bets", "bet_rate", "roi", "band")
+        sized = best.withColumns({"brier": val.agg(F.avg(st.brier(c("p_over"), c("y")))).scalar(), "n_val": val.agg(F.count("y")).scalar()})
+        # a band nearer the wanted bet rate first, then ROI
+        return sized.withColumn("rank", c("band") * 1000.0 + c("roi"))
+
+    configs = [*ALWAYS, *md.random_configs(SEARCH, N_CONFIGS, seed=42)]
+    return md.successive_halving(data, names, "y", configs, RUNGS, score, "weight")
+
+
 @query("f3_random_search_by_threshold")
 def f3(spark, d):
-    """Seeded random configurations, each swept over thresholds on val and ranked by ROI."""
-    data = market_frame(spark, d)
-    names = ["line", "market", "p_push", "stake"]
-    out = None
-    for i, config in enumerate(md.random_configs({"depth": (2, 3), "trees": (3, 5)}, 2, seed=7)):
-        model = md.fit_classifier(data.where("split = 'train'"), names, "y", "weight", **config)
-        val = md.probability(data.where("split = 'val'"), model, "p_over")
-        val = val.withColumns({"p_under": 1.0 - c("p_over"), "config": F.lit(i)})
-        out = val if out is None else out.unionByName(val)
-    sweep = bt.threshold_sweep(out, [0.0, 0.05, 0.1], ["config"])
-    return sweep.select("config", "threshold", "bets", "roi").orderBy(F.desc("roi"), "config", "threshold").limit(6)
+    """The declared grid's seeded draws and two fixed configurations, halved over rungs of more trees; each with its best threshold on val."""
+    kind = "rung int, config int, trees int, grown int, threshold double, bets long, bet_rate double, roi double, band int, brier double, n_val long, rank double, kept int"
+    rows = searched(spark, d)  # a row per rung and configuration
+    names = [k.split()[0] for k in kind.split(", ")]
+    return spark.createDataFrame([tuple(r[k] for k in names) for r in rows], kind).drop("rank")
+
+
+_SIZES = [N_CONFIGS + len(ALWAYS)]
+for _rung in RUNGS[:-1]:
+    _SIZES.append(-(-_SIZES[-1] // round(1 / _rung.keep)))
+
+
+@query(
+    "f3_search_by_rung",
+    with_sql(BETS, f"val AS (SELECT CAST(actual > line AS DOUBLE) AS y FROM bets WHERE bet_date BETWEEN DATE '2000-01-01' AND DATE '2000-12-31')", "b AS (SELECT count(*) AS n_val, avg(y) * (1 - avg(y)) AS base_brier FROM val)",
+             "r(rung, trees, n_configs) AS (VALUES " + ", ".join(f"({i}, {r.trees}, {n})" for i, (r, n) in enumerate(zip(RUNGS, _SIZES))) + ")")
+    + "SELECT rung, trees, CAST(n_configs AS BIGINT) AS n_configs, n_val, base_brier, 1 AS beats_base FROM r, b ORDER BY rung",
+)
+def f3_rungs(spark, d):
+    """Per rung: how many configurations ran, and whether the best one's Brier is below that of always telling validation's own rate."""
+    found = f3(spark, d)
+    rungs = found.groupBy("rung", "trees").agg(F.count(F.lit(1)).alias("n_configs"), F.min("n_val").alias("n_val"), F.min("brier").alias("__best"))
+    rate = market_frame(spark, d).where("split = 'val'").agg(F.avg("y").alias("m")).select((c("m") * (1 - c("m"))).alias("b"))
+    out = rungs.withColumn("base_brier", rate.scalar())
+    return out.withColumn("beats_base", (c("__best") < c("base_brier")).cast("int")).drop("__best").orderBy("rung")
 
 
 @query("f4_poisson_with_offset")

@@ -82,3 +82,38 @@ def test_winsorised_target_uses_exact_percentiles(spark):
 def test_random_configs_are_seeded():
     grid = {"depth": (2, 3, 4), "trees": (5, 10)}
     assert md.random_configs(grid, 5, 7) == md.random_configs(grid, 5, 7)
+
+
+def test_random_configs_differ_and_come_from_the_grid():
+    grid = {"depth": (2, 3, 4), "trees": (5, 10)}
+    every = md.random_configs(grid, 99, 1)
+    assert len(every) == 6 and len({tuple(c.items()) for c in every}) == 6
+    assert all(c["depth"] in grid["depth"] and c["trees"] in grid["trees"] for c in every)
+
+
+def search_frame(spark):
+    rng = random.Random(8)
+    rows = [(x, float(rng.random() < (0.85 if x > 0.5 else 0.15)), "train" if i % 3 else "val") for i, x in enumerate(rng.random() for _ in range(600))]
+    rows += [(None, 1.0, "train"), (0.5, None, "train"), (0.9, 0.0, "test")]
+    return md.with_indicators(spark.createDataFrame(rows, "x double, y double, split string"), ["x"])
+
+
+def test_halving_keeps_the_better_configurations(spark):
+    data, names = search_frame(spark)
+    # a node that needs 10,000 rows never splits, so these two can't learn
+    configs = [{"maxDepth": 2, "minInstancesPerNode": 10_000}, {"maxDepth": 2}, {"maxDepth": 3, "minInstancesPerNode": 10_000}, {"maxDepth": 1}]
+    score = lambda val: val.agg((-F.avg((F.col("p_over") - F.col("y")) ** 2)).alias("rank"), F.count(F.lit(1)).alias("n"))
+    found = md.successive_halving(data, names, "y", configs, [md.Rung(2, 0.5), md.Rung(4, 0.5)], score)
+    first, second = ([r for r in found if r["rung"] == k] for k in (0, 1))
+    assert [r["config"] for r in first] == [0, 1, 2, 3] and [r["kept"] for r in first] == [0, 1, 0, 1]
+    assert [r["config"] for r in second] == [1, 3] and sum(r["kept"] for r in second) == 1
+    assert {r["n"] for r in found} == {200} and all(1 <= r["grown"] <= r["trees"] for r in found)
+    assert max(r["rank"] for r in second) > -0.2
+
+
+def test_families_score_the_same_validation_rows(spark):
+    data, names = search_frame(spark)
+    scored = md.fit_families(data, names, "y", {"boosted": [{"maxDepth": 2}], "forest": [{"maxDepth": 2}], "logistic": [{"regParam": 0.01}]}, 3)
+    got = scored.groupBy("family", "config").agg(F.count("p_over").alias("n"), F.avg((F.col("p_over") - F.col("y")) ** 2).alias("e")).collect()
+    assert sorted(r["family"] for r in got) == ["boosted", "forest", "logistic"]
+    assert {r["n"] for r in got} == {200} and all(r["e"] < 0.22 for r in got)
