@@ -20,6 +20,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """A column name for each of ``names`` that ``df`` does not have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        free = f"_{name}"
+        while free.lower() in taken:
+            free += "_"
+        taken.add(free.lower())
+        out.append(free)
+    return out
+
+
 def remainder(key: str, modulus: int) -> Column:
     """crc32 of the key written as text, modulo ``modulus``; a null key has none."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % F.lit(modulus)

@@ -1,6 +1,7 @@
 """The corpus operators against brute force, on given tables and on small awkward ones."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -369,3 +370,36 @@ def test_mix_of_awkward_rows(odd, none, spark):
     assert sorted(map(str, blocks)) == sorted(map(str, mixing.mix(odd).select("doc_id", "taken").collect()))
     sizes = spark.createDataFrame([(t, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for t in (None, "", " ", "a", " a", "a ", "\x0ba\x1fb c  d\n", "a\n\nb")], "t string, n long")
     assert all(r["w"] == r["n"] for r in sizes.select("n", mixing.words("t").alias("w")).collect())
+
+
+def test_spans_of_long_texts_with_many_matches(spark):
+    rng = random.Random(12)
+    pieces = [rng.choice(["%032x" % rng.getrandbits(128), "token=" + "a1" * 5, "é𝄞", "AKIA" + "Z9" * 8, "".join(rng.choices("ABCDEFGHJKabcdefghjk23456789", k=28))]) for _ in range(3000)]
+    whole = "".join(rng.choices("ABCDEFGHIJKLMNOPabcdefghijklmnop0123456789+/", k=60_000))  # one token
+    docs = spark.createDataFrame([(1, " ".join(pieces)), (2, whole), (3, " ")], "doc_id int, text string")
+    found = {r["doc_id"]: r for r in secrets.with_spans(docs, {k: 0 for k in range(4)}).withColumn("w", secrets.written(F.col("spans"))).collect()}
+    for doc_id, text in ((1, " ".join(pieces)), (2, whole), (3, " ")):
+        row = found[doc_id]
+        assert row["w"] == spans_by_hand(text)
+        base = [(s["start"], s["end"]) for s in row["spans"]]
+        starts = [s["start"] for s in row["spans_random"]]
+        assert starts == sorted(starts)
+        assert not any(a < s["end"] and s["start"] < b for s in row["spans_random"] for a, b in base)
+    assert len(found[1]["spans_random"]) > 300
+
+
+def test_spans_that_overlap_others_are_left_out(spark):
+    rng = random.Random(13)
+    rows = []
+    for i in range(60):
+        others = [(a, rng.randrange(3), a + rng.randrange(1, 9)) for a in (rng.randrange(600) for _ in range(rng.randrange(0, 300 if i == 0 else 40)))]
+        mine, at = [], 0
+        while at < 600:
+            end = at + rng.randrange(1, 6)
+            mine.append((at, 3, end))
+            at = end + rng.randrange(0, 4)
+        rows.append((i, mine, others))
+    df = spark.createDataFrame(rows, f"id int, mine array<{secrets.SPAN}>, others array<{secrets.SPAN}>")
+    for r in df.withColumn("free", secrets.clear_of(F.col("mine"), F.col("others"))).collect():
+        want = [s for s in r["mine"] if not any(o["start"] < s["end"] and s["start"] < o["end"] for o in r["others"])]
+        assert r["free"] == want
