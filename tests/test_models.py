@@ -5,9 +5,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from formbook.operators import models as md
+from formbook.plans.learning import f2_embeddings
 
 
 def test_poisson_offset_is_added_with_coefficient_one(spark):
@@ -117,3 +119,18 @@ def test_families_score_the_same_validation_rows(spark):
     got = scored.groupBy("family", "config").agg(F.count("p_over").alias("n"), F.avg((F.col("p_over") - F.col("y")) ** 2).alias("e")).collect()
     assert sorted(r["family"] for r in got) == ["boosted", "forest", "logistic"]
     assert {r["n"] for r in got} == {200} and all(r["e"] < 0.22 for r in got)
+
+
+def test_models_score_in_a_session_that_observed_a_query(spark, tmp_path):
+    seen = Observation()
+    spark.range(5).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 5}
+    data, names = search_frame(spark)
+    scored = md.fit_families(data, names, "y", {"forest": [{"maxDepth": 2}], "logistic": [{"regParam": 0.01}]}, 2)
+    assert scored.where("p_over is null").count() == 0
+    rows = spark.createDataFrame([(0.1 + 0.8 * (i % 9) / 9, 0.5, float(i % 9 > 4)) for i in range(90)], "p double, market double, y double")
+    assert md.apply_platt(rows, md.fit_platt(rows, "p", "y"), "p", "cal").where("cal is null").count() == 0
+    assert md.probability(rows, md.fit_blend(rows, "p", "market", "y"), "blend").where("blend is null").count() == 0
+    vectors = [(i, i // 2 % 2, [float(i // 2 % 2), 1.0, float(i % 5)]) for i in range(40)]
+    spark.createDataFrame(vectors, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert f2_embeddings(spark, str(tmp_path)).where("p > 0.5").count() > 0
