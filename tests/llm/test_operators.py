@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from formbook.llm import decontaminate, langid, minhash, mixing, quality, secrets, suffix, topk, toxicity, urls
 from formbook.llm.common import held_out, table
 from formbook.llm.components import components
+from formbook.llm.queries import QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _node string, hits string"
 WORDS = [f"w{i}x" for i in range(400)]
@@ -403,3 +404,10 @@ def test_spans_that_overlap_others_are_left_out(spark):
     for r in df.withColumn("free", secrets.clear_of(F.col("mine"), F.col("others"))).collect():
         want = [s for s in r["mine"] if not any(o["start"] < s["end"] and s["start"] < o["end"] for o in r["others"])]
         assert r["free"] == want
+
+
+def test_secret_counts_are_told_by_kind(spark, tmp_path):
+    texts = ["password=abcdefgh1", "deadbeef" * 4, "AKIA" + "0" * 12, "AKIA" + "0" * 12 + " " + "deadbeef" * 4, "token=abcdefgh1 " * 3, None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_assign"], r["n_access"], r["n_hex"]) for r in QUERIES["op8_secrets"](spark, str(tmp_path)).collect()}
+    assert got == {0: (1, 0, 0), 1: (0, 0, 1), 2: (0, 1, 0), 3: (0, 1, 1), 4: (3, 0, 0), 5: (0, 0, 0)}
