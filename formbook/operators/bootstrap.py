@@ -53,7 +53,8 @@ def uniform_draw(seed: str, key: Column) -> Column:
     return hash_parts(seed, key)[0] / float(_PRIME)
 
 
-_TILE = (64, 2048)  # clusters, resamples
+_TILE = (1024, 64)  # clusters, resamples
+_ROWS = 20_000  # clusters of a task that are worked on at once
 _HELD = 64 << 20  # bytes of sums a task holds before it hands them on
 
 
@@ -71,26 +72,80 @@ def _steps() -> np.ndarray:
 _STEPS = _steps()
 
 
-def weights(a: np.ndarray, c: np.ndarray, resamples: np.ndarray) -> np.ndarray:
-    """Poisson weights, clusters x resamples; those of resample 0 are 1."""
-    x = a[:, None] * resamples[None, :]
-    x += c[:, None]
-    # modulo 2 ** 31 - 1: high bits are added to low ones
-    high = x >> 31
-    x &= _PRIME
-    x += high
-    x = x.astype(np.uint32)
-    x -= (x >= _PRIME) * np.uint32(_PRIME)
-    out = (x >= _STEPS[0]).view(np.int8)
+def weights(x: np.ndarray, out: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Poisson weights of the whole numbers ``x``, into ``out`` (8 bits each); ``more`` is scratch space for as many booleans."""
+    np.greater_equal(x, _STEPS[0], out=out.view(bool))
     for step in _STEPS[1:4]:
-        out += (x >= step).view(np.int8)
+        np.greater_equal(x, step, out=more)
+        out += more.view(np.int8)
     # beyond three there is little: one share in fifty
-    rare = np.flatnonzero(x >= _STEPS[3])
+    rare = np.flatnonzero(more)
     out.ravel()[rare] += np.searchsorted(_STEPS[4:], x.ravel()[rare], "right").astype(np.int8)
-    out[:, resamples == 0] = 1
     return out
 
 
+def _first(a: np.ndarray, c: np.ndarray, stretch: int) -> np.ndarray:
+    """(a * b + c) modulo the prime for b = 1 .. stretch, a row for each b: doubled until all are there."""
+    x = np.empty((stretch, len(a)), np.uint32)
+    x[0] = (a + c) % _PRIME
+    have = 1
+    while have < stretch:
+        new = x[have : 2 * have]
+        np.add(x[: len(new)], (a * have % _PRIME).astype(np.uint32), out=new)
+        np.minimum(new, new - np.uint32(_PRIME), out=new)
+        have += len(new)
+    return x
+
+
+def add_weighted(total: np.ndarray, a: np.ndarray, c: np.ndarray, values: np.ndarray) -> None:
+    """Adds to ``total`` (resample, sum) the values of clusters times their weights; those of resample 0 are 1.
+
+    A tile goes from one stretch of resamples to the next by one addition modulo the prime, in 32 bits, and nothing but the tile is held.
+    A sum below twice the prime is reduced as the lesser of it and its difference, which wraps to a larger number where it is below zero.
+    """
+    total[0] += values.sum(axis=0)
+    many = len(total)
+    for i in range(0, len(a), _TILE[0]):
+        mine, part = slice(i, i + _TILE[0]), values[i : i + _TILE[0]]
+        stretch = min(max(_TILE[0] * _TILE[1] // len(part), 1), max(many - 1, 1))
+        x = _first(a[mine], c[mine], stretch)
+        step = (a[mine] * stretch % _PRIME).astype(np.uint32)
+        out, more, less, wide = (np.empty(x.shape, kind) for kind in (np.int8, bool, np.uint32, float))
+        for j in range(1, many, stretch):
+            wide[...] = weights(x, out, more)
+            total[j : j + stretch] += (wide @ part)[: many - j]
+            x += step
+            np.subtract(x, np.uint32(_PRIME), out=less)
+            np.minimum(x, less, out=x)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at least ``_ROWS`` rows (the last may be shorter), so that a group of a batch has clusters enough for a tile."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= _ROWS:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _places(batch: pa.RecordBatch, by: Sequence[str]) -> Iterator[tuple[tuple, np.ndarray]]:
+    """Each group of the batch with the places of its rows."""
+    if not by:
+        yield (), np.arange(batch.num_rows)
+        return
+    number = np.zeros(batch.num_rows, np.int64)
+    columns = [batch.column(k).dictionary_encode("encode") for k in by]
+    for column in columns:
+        number = number * len(column.dictionary) + column.indices.to_numpy(zero_copy_only=False)
+        number = np.unique(number, return_inverse=True)[1]
+    order = np.argsort(number, kind="stable")
+    for mine in np.split(order, np.flatnonzero(np.diff(number[order])) + 1):
+        yield tuple(c[int(mine[0])].as_py() for c in columns), mine
+
+
 def _sampler(by: Sequence[str], sums: Sequence[str], resamples: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Per group, B + 1 weighted totals of the clusters of a task (null where no cluster has a value)."""
 
@@ -98,18 +153,14 @@ def _sampler(by: Sequence[str], sums: Sequence[str], resamples: int) -> Callable
         held: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
         size = (resamples + 1) * len(sums) * 8
         kinds: list[pa.DataType] = []
-        for batch in batches:
+        for batch in _gathered(batches):
             if not batch.num_rows:
                 continue
             kinds = [batch.schema.field(k).type for k in by]
             a, c = (batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("__a", "__c"))
             values = np.stack([batch.column(n).fill_null(0.0).to_numpy(zero_copy_only=False).astype(float) for n in sums], axis=1)
             present = np.stack([batch.column(n).is_valid().to_numpy(zero_copy_only=False) for n in sums], axis=1)
-            keys = list(zip(*[batch.column(k).to_pylist() for k in by], strict=True)) if by else [()] * batch.num_rows
-            places: dict[tuple, list[int]] = {}
-            for i, key in enumerate(keys):
-                places.setdefault(key, []).append(i)
-            for key, mine in places.items():
+            for key, mine in _places(batch, by):
                 if key not in held:
                     if (len(held) + 1) * size > _HELD and held:
                         yield _sums(held, by, kinds, sums)
@@ -117,11 +168,7 @@ def _sampler(by: Sequence[str], sums: Sequence[str], resamples: int) -> Callable
                     held[key] = np.zeros((resamples + 1, len(sums))), np.zeros(len(sums), bool)
                 total, seen = held[key]
                 seen |= present[mine].any(axis=0)
-                for i in range(0, len(mine), _TILE[0]):
-                    part = mine[i : i + _TILE[0]]
-                    for j in range(0, resamples + 1, _TILE[1]):
-                        b = np.arange(j, min(j + _TILE[1], resamples + 1))
-                        total[b] += weights(a[part], c[part], b).astype(float).T @ values[part]
+                add_weighted(total, a[mine], c[mine], values[mine])
         if held:
             yield _sums(held, by, kinds, sums)
 
