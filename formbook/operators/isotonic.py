@@ -19,9 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formbook.operators.joins import asof_join
-from formbook.operators.skew import DEFAULT_RULE, SplitRule
+from formbook.operators.skew import SplitRule
 
 FAN = 8
+# all rows are one key of the as-of join, so it is cut into blocks long before a task would feel it
+BLOCKS = SplitRule(hot_rows=250_000, block_rows=250_000, check_bytes=16 << 20)
 COLUMNS = ("low", "high", "weight", "total")
 POOLS = ", ".join(f"{c} double" for c in COLUMNS)
 STEPS = "start double, low double, high double, weight double, value double, next_low double, next_value double"
@@ -118,8 +120,8 @@ def between(score: Column, high: Column, value: Column, next_low: Column, next_v
     return F.when((score <= high) | next_low.isNull(), value).otherwise(gap)
 
 
-def apply_steps(df: DataFrame, steps: DataFrame, score: str, into: str, row_id: list[str], rule: SplitRule = DEFAULT_RULE) -> DataFrame:
-    """``df`` with the calibrated score ``into``; scores beyond the fitted range take the first or last value."""
+def apply_steps(df: DataFrame, steps: DataFrame, score: str, into: str, row_id: list[str], rule: SplitRule = BLOCKS) -> DataFrame:
+    """``df`` with the calibrated score ``into``; scores beyond the fitted range take the first or last value. A task holds a block of rows, whatever their number."""
     known = F.when(~F.isnan(F.col(score).cast("double")), F.col(score).cast("double"))
     left = df.withColumns({"__all": F.lit(0), "__score": known})
     right = steps.withColumn("__all", F.lit(0))

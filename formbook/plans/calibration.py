@@ -8,7 +8,7 @@ from formbook.functions.odds import devig_american
 from formbook.operators import backtest as bt
 from formbook.operators import models as md
 from formbook.operators import stats as st
-from formbook.operators.isotonic import apply_steps, isotonic_steps
+from formbook.operators.isotonic import BLOCKS, apply_steps, isotonic_steps
 from formbook.plans.frames import BET_ID, BETS, bets, prob_sql, with_sql
 from formbook.plans.registry import query
 from formbook.plans.resampling import CI_SQL, RESAMPLES, draws_sql
@@ -103,7 +103,7 @@ def f5(spark, d):
     scored = calibrated(rows).where("split <> 'fit'")
     long = scored.select("split", "y", "chosen", F.inline(F.array(*[F.struct(F.lit(n).alias("candidate"), c(n).cast("double").alias("p")) for n in names])))
     errors = long.groupBy("split", "candidate", "chosen").agg(F.count(F.lit(1)).alias("n_rows"), F.avg(st.brier(c("p"), c("y"))).alias("brier"))
-    out = errors.join(st.roc_auc(long, ["split", "candidate"], "p", "y").drop("n_pos", "n_neg"), ["split", "candidate"])
+    out = errors.join(st.roc_auc(long, ["split", "candidate"], "p", "y", BLOCKS).drop("n_pos", "n_neg"), ["split", "candidate"])
     return out.withColumn("selected", (c("candidate") == c("chosen")).cast("int")).drop("chosen")
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from formbook.operators import isotonic as iso
+from formbook.operators.skew import SplitRule
 
 
 def brute(levels):
@@ -86,3 +87,17 @@ def test_empty_fit_gives_no_steps_and_no_values(spark):
     assert steps.count() == 0
     row = iso.apply_steps(spark.createDataFrame([(1, 0.4)], "id int, p double"), steps, "p", "cal", ["id"]).first()
     assert row["cal"] is None
+
+
+def test_rows_in_blocks_get_the_values_of_rows_in_one(spark):
+    rng = random.Random(12)
+    rows = [(i, rng.choice([None, float("nan"), rng.randrange(40) / 40]), float(rng.random() < 0.5)) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, s double, y double")
+    steps = iso.isotonic_steps(df, "s", "y")
+    found = [
+        {r["id"]: r["cal"] for r in iso.apply_steps(df, steps, "s", "cal", ["id"], rule=rule).collect()}
+        for rule in (SplitRule(hot_rows=40, block_rows=50, check_bytes=0), SplitRule())
+    ]
+    assert found[0] == found[1] and len(found[0]) == 600
+    # the default cuts far below what a task can hold
+    assert iso.BLOCKS.block_rows <= 500_000 and iso.BLOCKS.check_bytes < SplitRule().check_bytes
