@@ -134,3 +134,13 @@ def test_models_score_in_a_session_that_observed_a_query(spark, tmp_path):
     vectors = [(i, i // 2 % 2, [float(i // 2 % 2), 1.0, float(i % 5)]) for i in range(40)]
     spark.createDataFrame(vectors, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert f2_embeddings(spark, str(tmp_path)).where("p > 0.5").count() > 0
+
+
+def test_rows_of_a_fit_are_dealt_over_bounded_tasks(spark, monkeypatch):
+    df = spark.range(1000).select("id", (F.col("id") % 7).alias("v")).coalesce(1)
+    assert md.dealt(df, df.columns, ["v"]).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(md, "ROWS", 100)
+    out = md.dealt(df, df.columns, ["v"])
+    sizes = out.groupBy(F.spark_partition_id()).count().collect()
+    assert out.rdd.getNumPartitions() == 10 and max(r["count"] for r in sizes) < 200 and sum(r["count"] for r in sizes) == 1000
+    assert out.rdd.glom().collect() == md.dealt(df, df.columns, ["v"]).rdd.glom().collect()
