@@ -12,6 +12,7 @@ Defined results: rows without a score, a label or a positive weight take no part
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -19,11 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formbook.operators.joins import asof_join
-from formbook.operators.skew import SplitRule
+from formbook.operators.skew import DEFAULT_RULE, SplitRule
 
 FAN = 8
 # all rows are one key of the as-of join, so it is cut into blocks long before a task would feel it
-BLOCKS = SplitRule(hot_rows=250_000, block_rows=250_000, check_bytes=16 << 20)
+BLOCKS = replace(DEFAULT_RULE, hot_rows=250_000, block_rows=250_000, check_bytes=16 << 20)
 COLUMNS = ("low", "high", "weight", "total")
 POOLS = ", ".join(f"{c} double" for c in COLUMNS)
 STEPS = "start double, low double, high double, weight double, value double, next_low double, next_value double"
