@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from formbook.llm.common import mix, prefix_hashes, span_hashes, steps, utf8
 from formbook.llm.components import components
-from formbook.session import checkpointed
+from formbook.session import checkpointed, passing_shuffles
 
 WORDS = 5
 ROWS, BANDS = 4, 14
@@ -433,12 +433,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, text: str =
     """
     # texts without a word stay apart
     alone = F.concat(F.lit("-"), F.coalesce(F.col(key).cast("string"), F.lit("")))
-    rows = checkpointed(docs.select(F.col(key).alias("_key"), F.when(_bare(text), alone).otherwise(F.md5(text)).alias("_node")))
-    texts = rows.groupBy("_node").agg(F.min("_key").alias("_least"), F.count("*").alias("_rows"))
-    found = classes(docs, similarity, text)
-    placed = checkpointed(texts.join(found, F.col("_node") == F.col("node"), "left").select("_node", F.coalesce("component", "_node").alias("_class"), "_least", "_rows"))
-    facts = checkpointed(placed.groupBy(F.col("_class").alias("_c")).agg(F.min("_least").alias("class_id"), F.sum("_rows").alias("class_size")))
-    told = checkpointed(placed.join(facts, F.col("_class") == F.col("_c")).select(F.col("_node").alias("_t"), "class_id", "class_size"))
+    with passing_shuffles(docs.sparkSession):
+        rows = checkpointed(docs.select(F.col(key).alias("_key"), F.when(_bare(text), alone).otherwise(F.md5(text)).alias("_node")))
+        texts = rows.groupBy("_node").agg(F.min("_key").alias("_least"), F.count("*").alias("_rows"))
+        found = classes(docs, similarity, text)
+        placed = checkpointed(texts.join(found, F.col("_node") == F.col("node"), "left").select("_node", F.coalesce("component", "_node").alias("_class"), "_least", "_rows"))
+        facts = checkpointed(placed.groupBy(F.col("_class").alias("_c")).agg(F.min("_least").alias("class_id"), F.sum("_rows").alias("class_size")))
+        told = checkpointed(placed.join(facts, F.col("_class") == F.col("_c")).select(F.col("_node").alias("_t"), "class_id", "class_size"))
     return rows.join(told, F.col("_node") == F.col("_t")).select(F.col("_key").alias(key), "class_id", "class_size")
 
 
@@ -450,9 +451,10 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text"
     node = _free("_node", docs)
     worded = docs.where(~_bare(text)).withColumn(node, F.md5(text))
     texts = worded.groupBy(F.col(node).alias("_n")).agg(F.min(F.struct(F.col(key).alias("k"))).alias("_least"))
-    found = classes(docs, similarity, text)
-    placed = texts.join(found, F.col("_n") == F.col("node"), "left").select(F.coalesce("component", "_n").alias("_class"), F.struct(F.col("_least.k").alias("k"), F.col("_n").alias("n")).alias("_first"))
-    first = checkpointed(placed.groupBy("_class").agg(F.min("_first").alias("_first")).select(F.col("_first.k").alias("_k"), F.col("_first.n").alias("_n")))
+    with passing_shuffles(docs.sparkSession):
+        found = classes(docs, similarity, text)
+        placed = texts.join(found, F.col("_n") == F.col("node"), "left").select(F.coalesce("component", "_n").alias("_class"), F.struct(F.col("_least.k").alias("k"), F.col("_n").alias("n")).alias("_first"))
+        first = checkpointed(placed.groupBy("_class").agg(F.min("_first").alias("_first")).select(F.col("_first.k").alias("_k"), F.col("_first.n").alias("_n")))
     stays = worded.join(first, (F.col(node) == F.col("_n")) & F.col(key).eqNullSafe(F.col("_k")), "left_semi").dropDuplicates([key, node])
     return docs.where(_bare(text)).unionByName(stays.select(*docs.columns))
 

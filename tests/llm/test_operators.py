@@ -146,6 +146,16 @@ def test_frequencies_count_each_text_once(spark):
     assert known.texts == len(texts) and often and dict(zip(known.runs.tolist(), known.idf.tolist(), strict=True)) == pytest.approx(often)
 
 
+def test_shuffle_files_go_with_their_step(spark, data, monkeypatch):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, seen, write = spark.conf.get(key, "false"), [], minhash.checkpointed
+    monkeypatch.setattr(minhash, "checkpointed", lambda df: [seen.append(spark.conf.get(key)), write(df)][1])
+    docs = table(spark, data, "documents")
+    assert minhash.near_duplicates(docs).count() == docs.count()
+    assert minhash.keep_one(docs).count() and set(seen) == {"true"}
+    assert spark.conf.get(key) == before
+
+
 def test_components(spark):
     edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "e"), ("f", "f"), ("z", "c"), ("a", "z")], "a string, b string")
     assert {r["node"]: r["component"] for r in components(edges, "a", "b").collect()} == {"a": "a", "b": "a", "c": "a", "z": "a", "d": "d", "e": "d"}
