@@ -6,12 +6,13 @@ its count times an inverse document frequency. Consistent weighted sampling draw
 share a band are candidates, and a candidate counts after its weighted Jaccard similarity has been computed. Connected texts are one class.
 
 Document frequencies cover the whole corpus, each distinct text once, so copies alike to the byte leave the weights as they are.
-idf = 1 + ln(1 + 1 / max(share of texts, 10 %)): runs in more than 10 % of the texts weigh less than the rest, and none weighs less than 0.49 of it. So two texts
-of plain Jaccard similarity 0.9 (over counts) have a weighted one of 0.9 x 0.49 / (0.9 x 0.49 + 0.1) > 0.81 at least, however many texts hold what they share.
-There are at most 10 x (runs per text) of the common runs, at any size of the corpus, so the table that is handed to tasks is bounded.
-They are found exactly. First pass, with D distinct texts in N rows: each group of rows names the runs that more than 5 % x D / N of it hold. A run in more than
-10 % of the texts was named with counts of more than 5 % of D in sum, since the groups that did not name it hold less than 5 % of D;
-so at most 20 x N / D x (runs per text) candidates are left. Second pass: these are counted over all distinct texts; what is shuffled are the candidates that a text holds.
+idf = 4 + ln(1 / s) / ln(1000), where s is the share of texts that hold the run, 1 / 1000 at least: 4 for a run in every text, 4.33 in a tenth, 4.67 in a hundredth, 5 in a thousandth or fewer.
+None weighs less than 0.8 of another, so two texts of plain Jaccard similarity 5 / 6 (over counts) have a weighted one of 0.8 at least, however many texts hold what they share;
+a steeper idf parts more of the edited copies in large groups, since a group's own runs are frequent by its size.
+Up to a thousand texts every run has a weight by its own frequency. There are at most 1000 x (runs per text) runs above that share, at any size of the corpus, so the table that is handed to tasks is bounded.
+They are found exactly. First pass, with D distinct texts in N rows and a share c: each group of rows names the runs that more than c / 2 x D / N of it hold. A run in more than
+c of the texts was named with counts of more than c / 2 x D in sum, since the groups that did not name it hold less than c / 2 x D;
+so at most 2 / c x N / D x (runs per text) candidates are left. Second pass: these are counted over all distinct texts; what is shuffled are the candidates that a text holds.
 
 Candidates are not all pairs. In each of a few turns every bucket that still holds several classes names one of its texts, and its texts of other classes are
 compared with that one, if weights and draws allow a similarity that high; this joins what belongs together. Buckets that still hold several classes
@@ -41,8 +42,10 @@ ROWS, BANDS = 4, 14
 SIMILARITY = 0.8
 ROUNDS = 2
 TOGETHER = 1024  # texts of a block of a bucket
-COMMON = 0.1
-GROUP = 1000  # documents that name common runs together
+COMMON = 0.001
+LEAST = 4  # the weight of a run in every text; one in a thousandth of them or fewer has one more
+GROUP = 4000  # documents that name common runs together
+MOST = 1 << 23  # runs that a group holds, in rows beyond which it ends
 _K = ROWS * BANDS
 _KEEP = np.uint64((1 << 48) - 1)
 
@@ -60,7 +63,7 @@ _INV_R = (1 / _R).astype(np.float32)
 
 @dataclass(frozen=True)
 class Frequencies:
-    """Distinct texts of the corpus, and the runs in more than ``COMMON`` of them with their inverse document frequencies."""
+    """Distinct texts of the corpus, and the runs in more than ``COMMON`` of them with their inverse document frequencies (the others have the greatest)."""
 
     texts: int
     runs: np.ndarray
@@ -76,7 +79,7 @@ class Frequencies:
 
 
 def idf(share: float) -> float:
-    return 1 + math.log(1 + 1 / max(share, COMMON))
+    return LEAST + math.log(max(share, COMMON)) / math.log(COMMON)
 
 
 def bags(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,15 +149,17 @@ def frequencies(docs: DataFrame, text: str = "text") -> Frequencies:
         for part, data, offsets in _batches(batches):
             parts.append(bags(data, offsets)[1])
             rows += part.num_rows
-            if rows >= GROUP:
+            if rows >= GROUP or sum(map(len, parts)) >= MOST:
                 if held:
                     yield name(*held.pop())
                 held, parts, rows = [(parts, rows)], [], 0
         before = held.pop() if held else ([], 0)
         yield name(before[0] + parts, before[1] + rows)
 
-    candidates = texts.mapInArrow(named, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")).where(F.col("n") > COMMON / 2 * total)
-    names = np.sort(np.array([r["run"] for r in candidates.select("run").collect()], np.int64)).astype(np.uint64)
+    # tasks of less than a group would name runs that are rare in the whole
+    grouped = texts.coalesce(max(1, (facts["rows"] or 0) // GROUP))
+    candidates = grouped.mapInArrow(named, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")).where(F.col("n") > COMMON / 2 * total)
+    names = np.sort(candidates.select("run").toArrow().column(0).to_numpy()).astype(np.uint64)
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in _batches(batches, 1):
@@ -178,8 +183,8 @@ def frequencies(docs: DataFrame, text: str = "text") -> Frequencies:
         return Frequencies(total, names, np.zeros(0))
     once = texts.select(F.md5("t").alias("node"), "t").mapInArrow(held, "node string, held binary").distinct().select("held")
     counts = once.mapInArrow(counted, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")).where(F.col("n") > COMMON * total)
-    rows = sorted((r["run"], r["n"]) for r in counts.collect())
-    return Frequencies(total, np.array([r for r, _ in rows], np.uint64), np.array([idf(n / total) for _, n in rows]))
+    rows = counts.toArrow().sort_by("run")
+    return Frequencies(total, rows.column("run").to_numpy().astype(np.uint64), np.array([idf(n / total) for n in rows.column("n").to_pylist()]))
 
 
 def draws(row: np.ndarray, run: np.ndarray, weight: np.ndarray, rows: int) -> np.ndarray:

@@ -146,6 +146,20 @@ def test_frequencies_count_each_text_once(spark):
     assert known.texts == len(texts) and often and dict(zip(known.runs.tolist(), known.idf.tolist(), strict=True)) == pytest.approx(often)
 
 
+def test_rare_and_less_rare_runs_weigh_differently(spark):
+    # one run in every text, one in 5 of 200, one in 2
+    rows = [f"{passage(0, 5)} {passage(10, 5) if i < 5 else ''} {passage(20, 5) if i < 2 else ''} x{i}" for i in range(200)]
+    known = minhash.frequencies(spark.createDataFrame([(t,) for t in rows], "text string"))
+
+    def weight(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        return known.of(minhash.bags(data, np.array([0, len(data)]))[1])[0]
+
+    common, fewer, few = weight(passage(0, 5)), weight(passage(10, 5)), weight(passage(20, 5))
+    assert common == minhash.idf(1.0) < fewer < few < minhash.idf(0.0)
+    assert common >= 0.8 * minhash.idf(0.0)  # plain similarity 5 / 6 is enough in groups of any size
+
+
 def test_shuffle_files_go_with_their_step(spark, data, monkeypatch):
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before, seen, write = spark.conf.get(key, "false"), [], minhash.checkpointed
