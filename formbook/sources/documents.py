@@ -191,9 +191,11 @@ def _event_quotes(df: DataFrame, event: Column, keep: Sequence[str]) -> DataFram
 
 def flatten_quotes(envelopes: DataFrame, markets: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """One row per event, snapshot, book, market, player and side."""
-    rows = _event_quotes(envelopes, F.col("data"), [*keep, "timestamp"])
+    # time stamps are read before the envelope becomes many rows
+    stamped = envelopes.select(*keep, to_utc(F.col("timestamp")).alias("resolved_ts"), "data")
+    rows = _event_quotes(stamped, F.col("data"), [*keep, "resolved_ts"])
     return rows.where(F.col("market").isin(*markets)).select(
-        *keep, "event_id", "commence_time", "home_team", "away_team", to_utc(F.col("timestamp")).alias("resolved_ts"),
+        *keep, "event_id", "commence_time", "home_team", "away_team", "resolved_ts",
         "book", "market", "outcome_index", F.col("o.description").alias("player_name_raw"), F.col("o.name").alias("side"),
         F.col("o.point").alias("line"), F.col("o.price").alias("price_decimal"),
     )

@@ -274,3 +274,14 @@ def test_late_closing_lines_and_corrected_results(spark, tmp_path):
     assert seen[2] == ({1: "lost"}, {7: ("LOSS", 22, 2), 8: ("WIN", 21, -1)})  # corrected, and back-filled
     assert seen[3] == seen[2]
     assert seen[4] == ({1: "lost", 2: "open"}, {**seen[2][1], 9: (None, 18, -2)})
+
+
+def test_time_stamps_are_read_once_per_envelope(spark):
+    doc = """{"timestamp": "%s", "data": {"id": "e", "bookmakers": [{"key": "b", "markets": [{"key": "m", "outcomes": [{"name": "Over", "price": 1.5}, {"name": "Under", "price": 2.5}]}]}]}}"""
+    texts = spark.createDataFrame([(1, doc % "2024-01-01T22:30:00Z"), (2, doc % "2024-13-01"), (3, "{}"), (4, None), (5, "no document")], "k long, doc string")
+    q = dc.flatten_quotes(dc.parse_json(texts, "doc", dc.ODDS_ENVELOPE, ["k"]), ["m"], ["k"])
+    rows = q.select("k", "side", F.unix_micros("resolved_ts").alias("us")).orderBy("k", "side")
+    assert [tuple(r) for r in rows.collect()] == [(1, "Over", 1704148200000000), (1, "Under", 1704148200000000), (2, "Over", None), (2, "Under", None)]
+    plan = q.select("side", "resolved_ts")._jdf.queryExecution().optimizedPlan().toString()
+    # in the plan's text, what runs earlier stands further down
+    assert plan.index("RLIKE") > plan.index("explode")
