@@ -285,3 +285,17 @@ def test_time_stamps_are_read_once_per_envelope(spark):
     plan = q.select("side", "resolved_ts")._jdf.queryExecution().optimizedPlan().toString()
     # in the plan's text, what runs earlier stands further down
     assert plan.index("RLIKE") > plan.index("explode")
+
+
+def test_partitions_of_a_batch_are_listed_without_reading_its_files(spark, tmp_path):
+    log = lg.KeyedLog(str(tmp_path), "p", lg.newest_row(["p", "id"]))
+    rows = spark.createDataFrame([("a b", 1, 1), ("x=y/z", 2, 1), (None, 3, 1)], "p string, id long, v long")
+    assert log._write(rows, 0, 0) == ["p=__HIVE_DEFAULT_PARTITION__", "p=a%20b", "p=x%253Dy%252Fz"]
+    assert log._write(rows.where("id > 3"), 1, 0) == []
+    sc = spark.sparkContext
+    sc.setJobGroup("list-parts", "")
+    try:
+        log._write(rows, 2, 0)
+        assert len(sc.statusTracker().getJobIdsForGroup("list-parts")) == 1  # the write
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
