@@ -179,7 +179,8 @@ _LINES = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 def envelopes(spark, d, bulk=False):
     data = F.array(_event_struct()) if bulk else _event_struct()
     doc = st(F.date_format("l_shipdate", "yyyy-MM-dd'T'22:30:00'Z'").alias("timestamp"), data.alias("data"))
-    schema = dc.BULK_ENVELOPE if bulk else dc.ODDS_ENVELOPE
+    # of bulk envelopes only prices are asked for
+    schema = dc.BULK_PRICES if bulk else dc.ODDS_ENVELOPE
     keep = _LINES if not bulk else ["l_orderkey", "l_linenumber"]
     needed = sorted({*_LINES, "l_shipdate", "l_returnflag", "l_linestatus", "l_quantity", "l_tax", "l_discount"})
     # landed envelopes are many files; the table that stands in for them is one
@@ -209,7 +210,7 @@ def s8(spark, d):
     UNION ALL SELECT book, 'Under', count(*), count(pu), sum((1 / pu) / (1 / po + 1 / pu)) FROM outs GROUP BY 1""",
 )
 def s9(spark, d):
-    m = dc.flatten_bulk_markets(envelopes(spark, d, bulk=True), ["player_total_saves"])
+    m = dc.flatten_bulk_markets(envelopes(spark, d, bulk=True), ["player_total_saves"], columns=["book", "outcome_label", "implied_prob_devig"])
     return m.groupBy("book", "outcome_label").agg(
         F.count(lit(1)).alias("n_rows"), F.count("implied_prob_devig").alias("n_devigged"), F.sum("implied_prob_devig").alias("total_prob")
     )

@@ -44,6 +44,11 @@ _EVENT = (
 )
 ODDS_ENVELOPE = f"timestamp string, previous_timestamp string, next_timestamp string, data {_EVENT}"
 BULK_ENVELOPE = f"timestamp string, previous_timestamp string, next_timestamp string, data array<{_EVENT}>"
+# what the prices of an envelope's groups need: other fields are read past and not made into values
+BULK_PRICES = (
+    "data array<struct<bookmakers: array<struct<key: string, markets: array<struct<key: string, "
+    "outcomes: array<struct<name: string, price: double>>>>>>>>"
+)
 HTTP_RECORD = "status_code int, fetched_at string, requested_ts string, pass_name string, event_id string, raw_body string"
 INDEXED_PAYLOAD = (
     "players array<struct<id: string, first_name: string, last_name: string>>, "
@@ -201,24 +206,32 @@ def flatten_quotes(envelopes: DataFrame, markets: Sequence[str], keep: Sequence[
     )
 
 
-def flatten_bulk_markets(envelopes: DataFrame, markets: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """The same for files that list every game of a slate, with each group's own de-vig."""
-    games = envelopes.select(*keep, "timestamp", F.explode("data").alias("d"))
+BULK_COLUMNS = ("event_id", "home_team", "resolved_ts", "book", "market", "outcome_label", "point", "price_decimal", "implied_prob_devig")
+
+
+def flatten_bulk_markets(envelopes: DataFrame, markets: Sequence[str], keep: Sequence[str] = (), columns: Sequence[str] = BULK_COLUMNS) -> DataFrame:
+    """The same for files that list every game of a slate, with each group's own de-vig.
+
+    ``columns`` are those wanted; the envelopes need only the fields these are made of.
+    """
+    of_game = {"resolved_ts": to_utc(F.col("timestamp")), "event_id": F.col("d.id"), "home_team": F.col("d.home_team")}
+    stamps = ["timestamp"] if "resolved_ts" in columns else []
+    games = envelopes.select(*keep, *stamps, F.explode("data").alias("d"))
     rows = games.select(
-        *keep, to_utc(F.col("timestamp")).alias("resolved_ts"), F.col("d.id").alias("event_id"),
-        F.col("d.home_team").alias("home_team"), F.explode("d.bookmakers").alias("b"),
+        *keep, *[of_game[n].alias(n) for n in of_game if n in columns], F.explode("d.bookmakers").alias("b"),
     ).select("*", F.col("b.key").alias("book"), F.explode("b.markets").alias("m")).drop("b")
-    priced = F.filter("m.outcomes", lambda o: F.coalesce(o["price"] > 0, F.lit(False)))
-    clean = (F.size("m.outcomes") == 2) & (F.size(priced) == 2)
-    total = F.aggregate("m.outcomes", F.lit(0.0), lambda acc, o: acc + 1.0 / F.nullif(o["price"], F.lit(0.0)))
+    # a group is clean when it has two outcomes and both are priced, so its total is a sum of two terms
+    first, second = (F.get("m.outcomes", F.lit(i))["price"] for i in (0, 1))
+    clean = (F.size("m.outcomes") == 2) & (first > 0) & (second > 0)
+    total = 1.0 / first + 1.0 / second
+    of_outcome = {
+        "outcome_label": F.col("o.name"), "point": F.col("o.point"), "price_decimal": F.col("o.price"),
+        "implied_prob_devig": 1.0 / F.nullif(F.col("o.price"), F.lit(0.0)) / F.col("__t"),
+    }
     return (
         rows.where(F.col("m.key").isin(*markets))
         .select("*", F.col("m.key").alias("market"), F.when(clean, total).alias("__t"), F.explode("m.outcomes").alias("o"))
-        .select(
-            *keep, "event_id", "home_team", "resolved_ts", "book", "market", F.col("o.name").alias("outcome_label"),
-            F.col("o.point").alias("point"), F.col("o.price").alias("price_decimal"),
-            (1.0 / F.nullif(F.col("o.price"), F.lit(0.0)) / F.col("__t")).alias("implied_prob_devig"),
-        )
+        .select(*keep, *[of_outcome[n].alias(n) if n in of_outcome else n for n in columns])
     )
 
 

@@ -88,6 +88,27 @@ def test_odds_envelope_and_bulk(spark, tmp_path):
     assert got == {("player_total_saves", 0.5), ("h2h", None)} and m.count() == 6
 
 
+def test_bulk_prices_need_no_other_fields(spark):
+    def group(key, *prices):
+        return {"key": key, "outcomes": [{"name": n, "description": "G", "point": 25.5, **({} if p is None else {"price": p})} for n, p in zip("OUX", prices)]}
+
+    groups = [("a", (2.0, 4.0)), ("b", (2.0, None)), ("c", (2.0, 0.0)), ("d", (2.0, -3.0)), ("e", (2.0, 2.0, 2.0)), ("f", (2.0,)), ("g", ("NaN", 2.0)), ("h", ())]
+    event = {"id": "e1", "home_team": "A", "bookmakers": [{"key": k, "markets": [group("m", *p), group("other", 2.0, 2.0)]} for k, p in groups]}
+    texts = [json.dumps({"timestamp": "2024-01-01T00:00:00Z", "data": [event, {"id": "e2", "bookmakers": []}, None]}), "{broken", None, "{}", '{"data":[]}']
+    docs = spark.createDataFrame([(t,) for t in texts], "doc string")
+    wanted = ["book", "outcome_label", "implied_prob_devig"]
+    whole = dc.flatten_bulk_markets(dc.parse_json(docs, "doc", dc.BULK_ENVELOPE), ["m"])
+    lean = dc.flatten_bulk_markets(dc.parse_json(docs, "doc", dc.BULK_PRICES), ["m"], columns=wanted)
+    assert lean.columns == wanted and len(whole.columns) == len(dc.BULK_COLUMNS)
+    got = sorted(map(str, map(tuple, lean.collect())))
+    assert got == sorted(map(str, map(tuple, whole.select(*wanted).collect())))
+    clean = {("a", "O"): 0.5 / 0.75, ("a", "U"): 0.25 / 0.75, ("g", "O"): float("nan"), ("g", "U"): float("nan")}
+    expected = [(k, n, clean.get((k, n))) for k, p in groups for n, _ in zip("OUX", p)]
+    assert got == sorted(map(str, expected))
+    # no function that is evaluated outside generated code, once per outcome
+    assert "lambda" not in whole._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_schedule_first_document_wins(spark):
     docs = [(1, '{"games":[{"id":1,"season":1,"gameType":2,"gameDate":"2024-01-01","homeTeam":{"abbrev":"A"},"awayTeam":{"abbrev":"B"}}]}'),
             (2, '{"games":[{"id":1,"season":1,"gameType":2,"gameDate":"2024-02-02","homeTeam":{"abbrev":"A"},"awayTeam":{"abbrev":"B"}}]}')]
