@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from formbook.operators import boosting as bo
 from formbook.operators import models as md
-from formbook.plans import learning
+from formbook.plans import learning, load
 
 NAMES = ["a", "b", "c"]
 
@@ -125,3 +125,46 @@ def test_ablation_fits_the_whole_recipe_for_every_family(spark, tmp_path, monkey
     assert sorted(out) == ["all", "long", "short"] and len({r["n"] for r in out.values()}) == 1
     assert [m.getNumTrees for m in models] == [400, 400, 400] and [m.numFeatures for m in models] == [4, 6, 10]
     assert all(m.treeWeights == [1.0] + [0.05] * 399 for m in models)
+
+
+def searched(spark, trees, needed=None):
+    rng = random.Random(8)
+    rows = [(x, float(rng.random() < x * x), "train" if i % 3 else "val", i) for i, x in enumerate(rng.random() for _ in range(3000))]
+    data, names = md.with_indicators(spark.createDataFrame(rows, "x double, y double, split string, other int"), ["x"])
+    score = lambda val: val.agg((-F.avg((F.col("p_over") - F.col("y")) ** 2)).alias("rank"), F.count(F.lit(1)).alias("n"))
+    return md.successive_halving(data, names, "y", [{"maxDepth": 2}], [md.Rung(trees, 1.0)], score, needed=needed)
+
+
+def test_a_search_passes_over_its_rows_as_often_whatever_its_trees(spark):
+    context, jobs, grown = spark.sparkContext, {}, {}
+    for trees in (1, 6):
+        context.setJobGroup(f"search of {trees}", "")
+        try:
+            grown[trees] = searched(spark, trees)[0]["grown"]
+        finally:
+            context.setLocalProperty("spark.jobGroup.id", None)
+        jobs[trees] = len(context.statusTracker().getJobIdsForGroup(f"search of {trees}"))
+    assert grown[1] == 1 and grown[6] > 2
+    assert jobs[1] == jobs[6] > 0
+
+
+def test_a_search_scores_alike_on_the_columns_it_needs(spark):
+    assert searched(spark, 3, ["y"]) == searched(spark, 3)
+
+
+def test_search_by_rung_against_its_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(10)
+    start = datetime.datetime(1995, 1, 1)
+    rows = []
+    for i in range(2000):
+        quantity = float(rng.randrange(1, 51))
+        price = round(quantity * rng.uniform(500, 3500), 2)
+        rows.append((i, i % 50, i % 13, i % 7 + 1, quantity, price, rng.randrange(11) / 100, rng.randrange(9) / 100, "R", rng.choice("OF"), start + datetime.timedelta(days=i)))
+    kinds = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    want = con.execute(load()[1]["f3_search_by_rung"]).fetchall()
+    assert [tuple(r) for r in learning.f3_rungs(spark, str(tmp_path)).collect()] == [pytest.approx(r) for r in want]
