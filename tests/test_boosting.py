@@ -61,6 +61,18 @@ def test_cells_of_several_tasks_grow_the_same_trees(ready, monkeypatch):
     assert probabilities(bo.fit(estimator(maxIter=2, maxDepth=2), cells), ready) == pytest.approx(probabilities(one, ready), abs=1e-12)
 
 
+def test_a_fit_sums_over_as_many_tasks_as_there_are(ready, monkeypatch):
+    # a session may deal rows over more partitions than were asked for
+    monkeypatch.setattr(bo, "slots", lambda spark: 2)
+    plain, one = type(ready).repartition, bo.fit(estimator(maxIter=2, maxDepth=2), counted(ready))
+    monkeypatch.setattr(type(ready), "repartition", lambda df, n, *by: plain(df, max(n, 7), *by))
+    for size, parts in ((bo.CELLS, 1), (500, 2)):
+        monkeypatch.setattr(bo, "CELLS", size)
+        cells = counted(ready)
+        assert cells.parts == cells.frame.rdd.getNumPartitions() == parts
+        assert probabilities(bo.fit(estimator(maxIter=2, maxDepth=2), cells), ready) == pytest.approx(probabilities(one, ready), abs=1e-12)
+
+
 def test_cells_count_every_row(ready):
     cells = counted(ready, "v")
     told = cells.frame.groupBy("val").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("w")).alias("w"), F.sum(F.col("n") * F.col("y")).alias("y")).collect()
